@@ -55,16 +55,22 @@ class Aligned:
     # Positions that hold canonical text already; None when v0 is a whole payload.
     written: frozenset[int] | None
 
-    def with_payload(self, df: DataFrame, name: str = "payload") -> DataFrame:
-        """Replace the value columns of a derived frame with the JSON payload."""
+    def with_payload(self, df: DataFrame, only: Column | None = None) -> DataFrame:
+        """Replace the value columns of a derived frame with the JSON payload.
+
+        Rows for which ``only`` does not hold get no payload, and no text is written for them.
+        """
         kept = [c for c in df.columns if c not in self.values]
+        wanted = (lambda c: c) if only is None else (lambda c: F.when(only, c))
         if self.written is None:
-            return df.withColumnRenamed(self.values[0], name)
+            return df.select(*kept, wanted(F.col(self.values[0])).alias("payload"))
+        if only is not None:
+            df = df.select(*kept, *[wanted(F.col(v)).alias(v) for v in self.values])
         open_values = [v for i, v in enumerate(self.values) if i not in self.written]
         staged, texts = staged_texts(df, open_values, self.strategy)
         by_value = dict(zip(open_values, texts))
         payload = payload_of([by_value.get(v, F.col(v)) for v in self.values])
-        return staged.select(*kept, payload.alias(name))
+        return staged.select(*kept, wanted(payload).alias("payload"))
 
 
 def _side(df: DataFrame, names: Sequence[str], common: Sequence[T.DataType | None], strategy: Strategy) -> DataFrame:

@@ -104,7 +104,8 @@ def bag_difference(source: DataFrame, target: DataFrame, strategy: Strategy | st
 
 def except_all(left: DataFrame, right: DataFrame, strategy: Strategy | str | None = None) -> DataFrame:
     """Rows of ``left`` without their counterparts in ``right``, copies counted, as (key, payload)."""
-    return keyed_payload(left, strategy).exceptAll(keyed_payload(right, strategy))
+    both = align(left, right, strategy)
+    return both.with_payload(both.source.exceptAll(both.target))
 
 
 def unique_keys(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -170,9 +171,8 @@ def classify_with_payloads(
     """Like ``classify``, and the payloads left over of keys that differ; the others have none."""
     both = align(source, target, strategy)
     copies = _copies(both.source, both.target, by_key)
-    groups = both.with_payload(copies).withColumn("payload", F.when(_more() != 0, F.col("payload")))
     return _folded(
-        groups, F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows")
+        both.with_payload(copies, only=_more() != 0), F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows")
     )
 
 

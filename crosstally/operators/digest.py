@@ -95,11 +95,12 @@ def domain_digest(runs: DataFrame) -> DataFrame:
     line = _labelled({"profile": "profile_id", "runId": "run_id", **statuses, **counts})
     lines = (
         runs.filter(F.col("profile_id").isNotNull() & F.col("domain_run_id").isNotNull())
-        .groupBy("domain_run_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("run_id").alias("place"), line.alias("line")))).alias("entries"))
+        .select(F.col("domain_run_id").alias("parent"), F.struct(F.col("run_id").alias("place"), line.alias("line")).alias("entry"))
+        .groupBy("parent")
+        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     )
     parents = runs.filter(F.col("profile_id").isNull())
-    joined = parents.join(lines, F.col("run_id") == lines["domain_run_id"], "left")
+    joined = parents.join(lines, F.col("run_id") == F.col("parent"), "left")
     text = F.concat(
         F.lit("Summarize this domain run across profiles.\n"),
         _labelled({"domain": "domain_id", "domainRunId": "run_id", **statuses, **counts}),

@@ -27,12 +27,8 @@ def delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return joined.filter(F.col("__key").isNull() | ~same).select(*current.columns)
 
 
-def chained_baseline(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """Latest record of every key over all runs since, and with, each profile's last full run.
-
-    ``runs`` are current run rows; only completed profile runs count. Columns ``domain_id`` and
-    ``profile_id`` tell the profiles apart.
-    """
+def chain_of_runs(runs: DataFrame) -> DataFrame:
+    """(run_id, domain_id, profile_id) of the completed runs since, and with, each profile's last full run."""
     profile = ["domain_id", "profile_id"]
     completed = runs.filter((F.col("status") == "COMPLETED") & F.col("profile_id").isNotNull())
     last_full = (
@@ -40,11 +36,21 @@ def chained_baseline(records: DataFrame, runs: DataFrame) -> DataFrame:
         .groupBy(*profile)
         .agg(F.max("run_id").alias("first_run"))
     )
-    chain = completed.join(last_full, profile).filter(F.col("run_id") >= F.col("first_run")).select("run_id", *profile)
-    rest = [c for c in records.columns if c not in ("run_id", KEY)]
-    latest = (
-        records.join(chain, "run_id")
-        .groupBy(*profile, KEY)
-        .agg(F.max_by(F.struct("run_id", *rest), F.col("run_id")).alias("latest"))
+    return completed.join(last_full, profile).filter(F.col("run_id") >= F.col("first_run")).select("run_id", *profile)
+
+
+def latest_records(records: DataFrame, *by: str) -> DataFrame:
+    """The record of the newest run for every key (and ``by`` columns)."""
+    rest = [c for c in records.columns if c not in ("run_id", KEY, *by)]
+    newest = records.groupBy(*by, KEY).agg(
+        F.max_by(F.struct("run_id", *rest), F.col("run_id")).alias("newest")
     )
-    return latest.select(*profile, KEY, "latest.*")
+    return newest.select(*by, KEY, "newest.*")
+
+
+def chained_baseline(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """Latest record of every key over all runs since, and with, each profile's last full run.
+
+    ``runs`` are current run rows; only completed profile runs count.
+    """
+    return latest_records(records.join(chain_of_runs(runs), "run_id"), "domain_id", "profile_id")

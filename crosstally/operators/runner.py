@@ -16,7 +16,7 @@ from ..plans.spec import Profile
 from ..plans.window import RunScope, Window, resolve_scope, resolve_window
 from ..sources.extract import extract, stored_statement
 from .compare import COUNTS, MATCHED, classify_with_payloads, reconcile_counts, records_of, status_counts
-from .incremental import chained_baseline, delta
+from .incremental import chain_of_runs, delta, latest_records
 from .ledger import Ledger
 
 
@@ -144,10 +144,12 @@ class Runner:
         records = self.ledger.records()
         if self.baseline == "previous":
             return records.filter(F.col("run_id") == baseline_id)
-        runs = self.ledger.runs().filter(
+        own = self.ledger.runs().filter(
             (F.col("domain_id") == profile.domain_id) & (F.col("profile_id") == profile.profile_id)
         )
-        return chained_baseline(records, runs)
+        # The ids of one profile's runs since its last full run; as literals they select folders to read.
+        chain = [r.run_id for r in chain_of_runs(own).select("run_id").collect()]
+        return latest_records(records.filter(F.col("run_id").isin(chain)))
 
     def run_domain(
         self,

@@ -50,13 +50,19 @@ def upsert(
         F.count(F.lit(1)).alias("changes"), F.min(at).alias("first_at")
     )
     of_entity = W.partitionBy(*ids).orderBy("segment")
+    live = history.filter("active").select(
+        *ids,
+        F.col("version").alias("live_version"),
+        F.col("created_at").alias("live_created_at"),
+        F.col("created_by").alias("live_created_by"),
+    )
     per_segment = per_segment.select(
         *ids,
         "segment",
         (F.sum("changes").over(of_entity) - F.col("changes")).alias("earlier"),
         F.lead("first_at").over(of_entity).alias("next_first_at"),
         F.min("first_at").over(W.partitionBy(*ids)).alias("entity_first_at"),
-    )
+    ).join(live, ids, "left")
     within = W.partitionBy(*ids, "segment").orderBy(*places)
     numbered = (
         ordered.withColumn("place", F.row_number().over(within))
@@ -65,13 +71,7 @@ def upsert(
         .withColumn("place", F.col("place") + F.col("earlier"))
         .withColumn("next_at", F.coalesce("next_at", "next_first_at"))
     )
-    live = history.filter("active").select(
-        *ids,
-        F.col("version").alias("live_version"),
-        F.col("created_at").alias("live_created_at"),
-        F.col("created_by").alias("live_created_by"),
-    )
-    added = numbered.join(live, ids, "left").select(
+    added = numbered.select(
         *ids,
         *payload,
         (F.coalesce("live_version", F.lit(0)) + F.col("place")).cast("int").alias("version"),
