@@ -1,5 +1,4 @@
 from .hashing import (
-    keyed_digest,
     keyed_payload,
     payload_digest,
     payload_hash,
@@ -8,7 +7,7 @@ from .hashing import (
     with_row_hash,
 )
 from .keys import KEY, KEY_ALIAS, keyed, reject_null_keys
-from .normalize import Strategy, document_text, normalize, normalized, staged_texts
+from .normalize import Strategy, document_text, normalize, normalized, quoted, staged_texts
 from .tags import has_tag, normalize_tags, with_tags
 
 __all__ = [
@@ -18,13 +17,13 @@ __all__ = [
     "document_text",
     "has_tag",
     "keyed",
-    "keyed_digest",
     "keyed_payload",
     "normalize",
     "normalize_tags",
     "normalized",
     "payload_digest",
     "payload_hash",
+    "quoted",
     "reject_null_keys",
     "staged_texts",
     "with_field_hashes",

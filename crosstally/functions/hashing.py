@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .keys import KEY
-from .normalize import STRICT_TAGS, Strategy, staged_texts
+from .normalize import STRICT_TAGS, Strategy, literal, quoted, staged_texts
 
-
-def _zero() -> Column:
-    # Fixed value: every hashed value is followed by one zero byte, so ["ab", "c"] and ["a", "bc"] differ.
-    return F.char(F.lit(0))
+# Fixed value: every hashed value is followed by one zero byte, so ["ab", "c"] and ["a", "bc"] differ.
+_ZERO = "char(0)"
 
 
 def comparable(df: DataFrame) -> list[str]:
@@ -21,38 +18,33 @@ def comparable(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != KEY]
 
 
-def hash_of(texts: Sequence[Column]) -> Column:
-    """SHA-256, lower hex, over the texts in order."""
-    parts = [part for text in texts for part in (text, _zero())]
-    return F.sha2(F.concat(*parts) if parts else F.lit(""), 256)
+def hash_of(texts: Sequence[str]) -> str:
+    """SHA-256, lower hex, over the texts in order (SQL in, SQL out, as below)."""
+    parts = [part for text in texts for part in (text, _ZERO)]
+    return f"sha2(concat({', '.join(parts)}), 256)" if parts else "sha2('', 256)"
 
 
-def payload_of(texts: Sequence[Column]) -> Column:
+def payload_of(texts: Sequence[str]) -> str:
     """JSON array of the texts in order."""
-    return F.to_json(F.array(*texts)) if texts else F.lit("[]")
-
-
-def digest_of(texts: Sequence[Column]) -> Column:
-    """The row hash as 32 bytes: half the shuffle volume of the hex text, same order."""
-    return F.unhex(hash_of(texts))
+    return f"to_json(array({', '.join(texts)}))" if texts else "'[]'"
 
 
-def payload_digest(payload_text: Column) -> Column:
+def payload_digest(payload: str) -> str:
     """32 bytes that stand for a payload while it is shuffled."""
-    return F.unhex(F.sha2(payload_text, 256))
+    return f"unhex(sha2({payload}, 256))"
 
 
-def payload_hash(payload_text: Column, strategy: Strategy | str | None = None) -> Column:
+def payload_hash(payload: str, strategy: Strategy | str | None = None) -> str:
     """Hash of a payload text, hashed as one string value; NULL for no payload."""
     if Strategy.of(strategy) is Strategy.STRICT:
-        payload_text = F.concat(F.lit(STRICT_TAGS["string"] + ":"), payload_text)
-    return F.sha2(F.concat(payload_text, _zero()), 256)
+        payload = f"concat({literal(STRICT_TAGS['string'] + ':')}, {payload})"
+    return f"sha2(concat({payload}, {_ZERO}), 256)"
 
 
 def _added(df: DataFrame, columns, strategy, name: str, build) -> DataFrame:
     names = comparable(df) if columns is None else list(columns)
     staged, texts = staged_texts(df, names, strategy)
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns], build(names, texts).alias(name))
+    return staged.selectExpr(*map(quoted, df.columns), f"{build(names, texts)} AS {quoted(name)}")
 
 
 def with_row_hash(df, columns=None, strategy=None, name: str = "row_hash") -> DataFrame:
@@ -64,7 +56,7 @@ def with_field_hashes(df, columns=None, strategy=None, name: str = "field_hashes
     """Add a map from column name to the hash of that single value."""
 
     def build(names, texts):
-        return F.create_map(*[p for n, t in zip(names, texts) for p in (F.lit(n), hash_of([t]))])
+        return f"map({', '.join(f'{literal(n)}, {hash_of([t])}' for n, t in zip(names, texts))})"
 
     return _added(df, columns, strategy, name, build)
 
@@ -75,12 +67,5 @@ def with_payload(df, columns=None, strategy=None, name: str = "payload") -> Data
 
 
 def keyed_payload(df: DataFrame, strategy=None) -> DataFrame:
-    """(key, payload): all a detail comparison needs of a side."""
-    staged, texts = staged_texts(df, comparable(df), strategy)
-    return staged.select(KEY, payload_of(texts).alias("payload"))
-
-
-def keyed_digest(df: DataFrame, strategy=None) -> DataFrame:
-    """(key, row digest): all a counting comparison needs of a side."""
-    staged, texts = staged_texts(df, comparable(df), strategy)
-    return staged.select(KEY, digest_of(texts).alias("digest"))
+    """(key, payload): a side as a detail comparison stores it."""
+    return with_payload(df, None, strategy).select(KEY, "payload")

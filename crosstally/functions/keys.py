@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 
@@ -26,21 +25,20 @@ def key_column_of(df: DataFrame) -> str:
     return found[0]
 
 
-def _key_first(df: DataFrame):
+def _key_first(df: DataFrame) -> tuple[str, list[str]]:
     name = key_column_of(df)
-    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return F.col(f"`{name}`").cast("string"), rest
+    quote = lambda c: "`" + c.replace("`", "``") + "`"
+    return f"CAST({quote(name)} AS STRING)", [quote(c) for c in df.columns if c != name]
 
 
 def keyed(df: DataFrame) -> DataFrame:
     """Key first, as text, then the comparable columns. A NULL key fails the job when it is met."""
     key, rest = _key_first(df)
-    checked = F.coalesce(key, F.raise_error(_NULL_KEY).cast("string"))
-    return df.select(checked.alias(KEY), *rest)
+    return df.selectExpr(f"coalesce({key}, CAST(raise_error('{_NULL_KEY}') AS STRING)) AS {KEY}", *rest)
 
 
 def reject_null_keys(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split into (usable rows, rows without a key) instead of failing."""
     key, rest = _key_first(df)
-    split = df.select(key.alias(KEY), *rest)
-    return split.filter(F.col(KEY).isNotNull()), split.filter(F.col(KEY).isNull())
+    split = df.selectExpr(f"{key} AS {KEY}", *rest)
+    return split.filter(f"{KEY} IS NOT NULL"), split.filter(f"{KEY} IS NULL")

@@ -1,4 +1,4 @@
-"""Canonical text of a value, as Column expressions picked from the schema.
+"""Canonical text of a value, as built-in SQL expressions picked from the schema.
 
 Two strategies:
 
@@ -7,8 +7,8 @@ Two strategies:
 * ``TypeStrict`` - the text is prefixed with the boxed class name of the type,
   so ``int 10`` and ``bigint 10`` differ.
 
-Everything here is built-in Spark SQL: no UDF, so it stays inside whole-stage code
-generation and next to the scan.
+There is no UDF, so everything stays in the JVM next to the scan. Expressions are put together as
+SQL text: a table with hundreds of columns then costs the driver one call, not thousands.
 """
 
 from __future__ import annotations
@@ -59,171 +59,179 @@ class Strategy(str, Enum):
         raise ConfigurationError(f"Unknown hashing strategy: {value}; use TypeLenient or TypeStrict")
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A text value as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _type_name(dtype: T.DataType) -> str:
-    return dtype.simpleString().split("(")[0]
+    return dtype.simpleString().split("(")[0].split(" ")[0]
 
 
-def _trim_zeros(text: Column) -> Column:
+def _trimmed_zeros(text: str) -> str:
     """Drop the zeros that end a fraction, and the point if nothing is left behind it.
 
     Only for texts with a decimal point, or none that end in zero (``NaN``, ``Infinity``).
     """
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-
-
-def _plain_from_exponent(text: Column) -> Column:
-    """``1.25E-5`` -> ``0.0000125``. Exponent form always has one digit before the point."""
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(text, r"-|\.0E.*|E.*|\.", "")
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0"))
-    fraction = F.substr(padded, exponent + 2)
-    large = F.concat(
-        sign,
-        F.substr(padded, F.lit(1), exponent + 1),
-        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
-    )
-    return F.when(exponent < 0, small).otherwise(large)
-
-
-def _number_text(text: Column, dtype: T.DataType) -> Column:
+    return f"rtrim('.', rtrim('0', {text}))"
+
+
+# ``1.25E-5`` -> ``0.0000125``, ``-1.5E7`` -> ``-15000000``. In exponent form there is always one digit
+# before the point. ``x`` is the text, ``d`` its digits, ``e`` its exponent, ``m`` its sign.
+_SHIFTED = r"""
+CASE WHEN x.e < 0 THEN concat(x.m, '0.', repeat('0', -x.e - 1), x.d)
+     WHEN x.e + 1 >= length(x.d) THEN concat(x.m, rpad(x.d, x.e + 1, '0'))
+     ELSE concat(x.m, substr(x.d, 1, x.e + 1), '.', substr(x.d, x.e + 2)) END
+"""
+_SPLIT = r"""
+named_struct('m', IF(startswith(t, '-'), '-', ''), 'd', regexp_replace(t, '-|[.]0E.*|E.*|[.]', ''),
+             'e', try_cast(substring_index(t, 'E', -1) AS INT))
+"""
+
+
+def _number_text(text: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.IntegralType):
         return text
     if isinstance(dtype, T.DecimalType):
-        return _trim_zeros(text) if dtype.scale > 0 else text
+        return _trimmed_zeros(text) if dtype.scale > 0 else text
     # The exponent form is rare. As a lambda its long expression is not unrolled into the generated
     # code of every number column, which would outgrow what the JIT compiles.
-    shifted = F.transform(F.array(text), _plain_from_exponent)[0]
-    return F.when(text.contains("E"), shifted).otherwise(_trim_zeros(text))
+    shifted = f"transform(transform(array({text}), t -> {_SPLIT}), x -> {_SHIFTED})[0]"
+    return f"CASE WHEN contains({text}, 'E') THEN {shifted} ELSE {_trimmed_zeros(text)} END"
 
 
-def _iso_clock(text: Column, keep_zero_seconds: bool) -> Column:
+def _iso_clock(text: str, keep_zero_seconds: bool) -> str:
     """ISO text from Spark's own: ``T`` separator, fraction in groups of three digits."""
-    joined = F.replace(text, F.lit(" "), F.lit("T"))
-    if keep_zero_seconds:
-        whole = joined
-    else:
-        whole = F.when(joined.endswith(":00"), F.substr(joined, F.lit(1), F.length(joined) - 3)).otherwise(joined)
-    digits = F.length(F.substring_index(text, ".", -1))
-    missing = F.when(digits <= 3, 3 - digits).otherwise(6 - digits)
-    return F.when(text.contains("."), F.concat(joined, F.repeat(F.lit("0"), missing))).otherwise(whole)
+    joined = f"replace({text}, ' ', 'T')"
+    whole = joined
+    if not keep_zero_seconds:
+        whole = f"IF(endswith({text}, ':00'), left({joined}, length({text}) - 3), {joined})"
+    digits = f"length(substring_index({text}, '.', -1))"
+    missing = f"IF({digits} <= 3, 3, 6) - {digits}"
+    return f"CASE WHEN contains({text}, '.') THEN concat({joined}, repeat('0', {missing})) ELSE {whole} END"
 
 
-def _utc_clock(col: Column) -> Column:
+def _utc_clock(value: str) -> str:
     """Spark's text of an instant in UTC, whatever the session time zone is."""
-    seconds = (F.unix_micros(col).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(18,6)")
-    zero = F.lit(0)
-    utc = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(zero, zero, zero, seconds)
-    return utc.cast("string")
+    seconds = f"CAST(CAST(unix_micros({value}) AS DECIMAL(20,0)) / 1000000 AS DECIMAL(18,6))"
+    return f"CAST(TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}) AS STRING)"
 
 
-def _instant_text(col: Column) -> Column:
-    return F.concat(_iso_clock(_utc_clock(col), keep_zero_seconds=True), F.lit("Z"))
+def _instant(value: str) -> str:
+    return f"concat({_iso_clock(_utc_clock(value), keep_zero_seconds=True)}, 'Z')"
 
 
-def _json_string(col: Column) -> Column:
+def _json_string(value: str) -> str:
     """A quoted and escaped JSON string."""
-    boxed = F.to_json(F.array(col))
-    return F.substr(boxed, F.lit(2), F.length(boxed) - 2)
+    boxed = f"to_json(array({value}))"
+    return f"substr({boxed}, 2, length({boxed}) - 2)"
+
 
+def _member(name: str) -> str:
+    return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '": '
 
-def _document_json(col: Column, dtype: T.DataType) -> Column:
+
+def _document_json(value: str, dtype: T.DataType, depth: int) -> str:
     """JSON text of a value inside a document, in the spaced form document stores print."""
     if isinstance(dtype, T.StructType):
-        members = [
-            F.when(
-                col[field.name].isNotNull(),
-                F.concat(F.lit(_quoted(field.name) + ": "), _document_json(col[field.name], field.dataType)),
-            )
-            for field in dtype.fields
-        ]
-        return F.concat(F.lit("{"), F.array_join(F.array(*members), ", "), F.lit("}"))
+        members = []
+        for field in dtype.fields:
+            inner = f"{value}.{quoted(field.name)}"
+            text = f"concat({literal(_member(field.name))}, {_document_json(inner, field.dataType, depth)})"
+            members.append(f"IF({inner} IS NOT NULL, {text}, NULL)")
+        return f"concat('{{', concat_ws(', ', {', '.join(members) or literal('')}), '}}')"
     if isinstance(dtype, T.ArrayType):
-        items = F.transform(col, lambda item: F.coalesce(_document_json(item, dtype.elementType), F.lit("null")))
-        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+        item = f"i{depth}"
+        text = _document_json(item, dtype.elementType, depth + 1)
+        return f"concat('[', array_join(transform({value}, {item} -> coalesce({text}, 'null')), ', '), ']')"
     if isinstance(dtype, T.DecimalType):
-        return F.concat(F.lit('{"$numberDecimal": "'), col.cast("string"), F.lit('"}'))
+        return f"""concat('{{"$numberDecimal": "', CAST({value} AS STRING), '"}}')"""
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return col.cast("string")
+        return f"CAST({value} AS STRING)"
     if isinstance(dtype, T.TimestampType):
-        return F.concat(F.lit('{"$date": "'), _instant_text(col), F.lit('"}'))
+        return f"""concat('{{"$date": "', {_instant(value)}, '"}}')"""
     if isinstance(dtype, T.MapType):
-        return F.to_json(_sorted_map(col))
-    return _json_string(document_text(col, dtype))
-
-
-def _quoted(name: str) -> str:
-    return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
+        return _map_json(value)
+    return _json_string(document_text(value, dtype, depth))
 
 
-def _sorted_map(col: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(col)))
+def _map_json(value: str) -> str:
+    return f"to_json(map_from_entries(array_sort(map_entries({value}))))"
 
 
-def document_text(col: Column, dtype: T.DataType) -> Column:
+def document_text(value: str, dtype: T.DataType, depth: int = 0) -> str:
     """Flatten document types to text: binary to hex, nested documents to JSON, lists to ``[a, b]``.
 
-    Plain types keep their own text. Absent members and SQL NULL members are the same thing.
+    Takes and gives SQL. Plain types keep their own text. Absent members and NULL members are the
+    same thing.
     """
     if isinstance(dtype, T.BinaryType):
-        return F.lower(F.hex(col))
+        return f"lower(hex({value}))"
     if isinstance(dtype, T.StructType):
-        return F.when(col.isNotNull(), _document_json(col, dtype))
+        return f"IF({value} IS NOT NULL, {_document_json(value, dtype, depth)}, NULL)"
     if isinstance(dtype, T.ArrayType):
-        items = F.transform(col, lambda item: F.coalesce(document_text(item, dtype.elementType), F.lit("null")))
-        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+        item = f"i{depth}"
+        text = document_text(item, dtype.elementType, depth + 1)
+        return f"concat('[', array_join(transform({value}, {item} -> coalesce({text}, 'null')), ', '), ']')"
     if isinstance(dtype, T.MapType):
-        return F.to_json(_sorted_map(col))
+        return _map_json(value)
     if isinstance(dtype, T.TimestampType):
-        return _instant_text(col)
-    return col.cast("string")
+        return _instant(value)
+    return f"CAST({value} AS STRING)"
 
 
-def _base(col: Column, dtype: T.DataType, strategy: Strategy) -> Column | None:
+def _base(value: str, dtype: T.DataType, strategy: Strategy) -> str | None:
     """First step for types whose text is inspected several times; None when one step is enough."""
     name = _type_name(dtype)
     if name == "timestamp":
-        return _utc_clock(col)
+        return _utc_clock(value)
     if name in ("timestamp_ntz", "time"):
-        return col.cast("string")
-    if isinstance(dtype, T.FractionalType) and strategy is Strategy.LENIENT:
+        return f"CAST({value} AS STRING)"
+    if strategy is Strategy.LENIENT and isinstance(dtype, T.DecimalType):
+        return f"CAST({value} AS STRING)"
+    if strategy is Strategy.LENIENT and isinstance(dtype, T.FractionalType):
         # Adding zero turns negative zero into zero and changes nothing else.
-        return (col if isinstance(dtype, T.DecimalType) else col + F.lit(0).cast(dtype)).cast("string")
+        return f"CAST({value} + CAST(0 AS {name}) AS STRING)"
     return None
 
 
-def _finish(col: Column, base: Column | None, dtype: T.DataType, strategy: Strategy) -> Column:
+def _finished(value: str, base: str | None, dtype: T.DataType, strategy: Strategy) -> str:
     name = _type_name(dtype)
     if name == "void":
-        return F.lit(NULL_TEXT)
+        return literal(NULL_TEXT)
     if name == "timestamp":
-        text = F.concat(_iso_clock(base, keep_zero_seconds=True), F.lit("Z"))
+        text = f"concat({_iso_clock(base, keep_zero_seconds=True)}, 'Z')"
     elif name in ("timestamp_ntz", "time"):
         text = _iso_clock(base, keep_zero_seconds=False)
     elif strategy is Strategy.LENIENT and isinstance(dtype, T.BooleanType):
-        text = F.when(col, "1").when(~col, "0")
+        text = f"CASE WHEN {value} THEN '1' WHEN NOT {value} THEN '0' END"
     elif strategy is Strategy.LENIENT and isinstance(dtype, T.NumericType):
-        text = _number_text(col.cast("string") if base is None else base, dtype)
+        text = _number_text(base or f"CAST({value} AS STRING)", dtype)
     else:
-        text = document_text(col, dtype)
+        text = document_text(value, dtype)
     if strategy is Strategy.STRICT:
-        text = F.concat(F.lit(STRICT_TAGS.get(name, STRICT_TAGS["string"]) + ":"), text)
-    return F.coalesce(text, F.lit(NULL_TEXT))
+        text = f"concat({literal(STRICT_TAGS.get(name, STRICT_TAGS['string']) + ':')}, {text})"
+    return f"coalesce({text}, {literal(NULL_TEXT)})"
 
 
-def normalized(col: Column, dtype: T.DataType, strategy: Strategy | str | None = None) -> Column:
-    """Canonical text of one value; never NULL."""
+def normalized(column: str, dtype: T.DataType, strategy: Strategy | str | None = None) -> Column:
+    """Canonical text of one named column; never NULL."""
     strategy = Strategy.of(strategy)
-    return _finish(col, _base(col, dtype, strategy), dtype, strategy)
+    value = quoted(column)
+    return F.expr(_finished(value, _base(value, dtype, strategy), dtype, strategy))
 
 
 def staged_texts(
     df: DataFrame,
     columns: Sequence[str],
     strategy: Strategy | str | None = None,
-) -> tuple[DataFrame, list[Column]]:
-    """The canonical texts of several columns, in two projections.
+) -> tuple[DataFrame, list[str]]:
+    """The canonical texts of several columns, as SQL, in two projections.
 
     Numbers and timestamps are cast to text in the first projection and tidied in the second, so
     the cast is evaluated once per value and the generated code stays small enough to be compiled
@@ -237,14 +245,13 @@ def staged_texts(
         raise ConfigurationError(f"Unknown columns: {unknown}")
     helpers, texts = [], []
     for i, name in enumerate(columns):
-        col = F.col(f"`{name}`")
-        base = _base(col, types[name], strategy)
+        value = quoted(name)
+        base = _base(value, types[name], strategy)
         if base is not None:
-            helpers.append(base.alias(f"__text{i}"))
-            base = F.col(f"__text{i}")
-        texts.append(_finish(col, base, types[name], strategy))
-    staged = df.select("*", *helpers) if helpers else df
-    return staged, texts
+            helpers.append(f"{base} AS __text{i}")
+            base = f"__text{i}"
+        texts.append(_finished(value, base, types[name], strategy))
+    return (df.selectExpr("*", *helpers) if helpers else df), texts
 
 
 def normalize(
@@ -255,7 +262,5 @@ def normalize(
     """Replace the given columns (all of them by default) with their canonical text."""
     wanted = df.columns if columns is None else list(columns)
     staged, texts = staged_texts(df, wanted, strategy)
-    by_name = dict(zip(wanted, texts))
-    return staged.select(
-        *[by_name[c].alias(c) if c in by_name else F.col(f"`{c}`") for c in df.columns]
-    )
+    by_name = {c: f"{text} AS {quoted(c)}" for c, text in zip(wanted, texts)}
+    return staged.selectExpr(*[by_name.get(c, quoted(c)) for c in df.columns])

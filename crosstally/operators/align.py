@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.hashing import comparable, payload_of
+from ..functions.hashing import comparable, keyed_payload, payload_of
 from ..functions.keys import KEY
-from ..functions.normalize import NULL_TEXT, Strategy, staged_texts
+from ..functions.normalize import NULL_TEXT, Strategy, literal, quoted, staged_texts
 
 _COMPARED_AS_IS = (
     T.BooleanType,
@@ -55,38 +54,38 @@ class Aligned:
     # Positions that hold canonical text already; None when v0 is a whole payload.
     written: frozenset[int] | None
 
-    def with_payload(self, df: DataFrame, only: Column | None = None) -> DataFrame:
+    def with_payload(self, df: DataFrame, only: str | None = None) -> DataFrame:
         """Replace the value columns of a derived frame with the JSON payload.
 
         Rows for which ``only`` does not hold get no payload, and no text is written for them.
         """
         kept = [c for c in df.columns if c not in self.values]
-        wanted = (lambda c: c) if only is None else (lambda c: F.when(only, c))
+        wanted = lambda value: value if only is None else f"CASE WHEN {only} THEN {value} END"
         if self.written is None:
-            return df.select(*kept, wanted(F.col(self.values[0])).alias("payload"))
+            return df.selectExpr(*kept, f"{wanted(self.values[0])} AS payload")
         if only is not None:
-            df = df.select(*kept, *[wanted(F.col(v)).alias(v) for v in self.values])
+            df = df.selectExpr(*kept, *[f"{wanted(v)} AS {v}" for v in self.values])
         open_values = [v for i, v in enumerate(self.values) if i not in self.written]
         staged, texts = staged_texts(df, open_values, self.strategy)
         by_value = dict(zip(open_values, texts))
-        payload = payload_of([by_value.get(v, F.col(v)) for v in self.values])
-        return staged.select(*kept, wanted(payload).alias("payload"))
+        payload = payload_of([by_value.get(v, v) for v in self.values])
+        return staged.selectExpr(*kept, f"{wanted(payload)} AS payload")
 
 
 def _side(df: DataFrame, names: Sequence[str], common: Sequence[T.DataType | None], strategy: Strategy) -> DataFrame:
+    types = {f.name: f.dataType for f in df.schema.fields}
     written = [n for n, c in zip(names, common) if c is None]
     staged, texts = staged_texts(df, written, strategy)
     by_name = dict(zip(written, texts))
 
-    def value(name: str, dtype: T.DataType | None) -> Column:
+    def value(name: str, dtype: T.DataType | None) -> str:
         if dtype is None:
             return by_name[name]
-        column = F.col(f"`{name}`").cast(dtype)
         if isinstance(dtype, T.StringType) and strategy is Strategy.LENIENT:
-            return F.coalesce(column, F.lit(NULL_TEXT))
-        return column
+            return f"coalesce({quoted(name)}, {literal(NULL_TEXT)})"
+        return quoted(name) if types[name] == dtype else f"CAST({quoted(name)} AS {dtype.simpleString()})"
 
-    return staged.select(KEY, *[value(n, c).alias(f"v{i}") for i, (n, c) in enumerate(zip(names, common))])
+    return staged.selectExpr(KEY, *[f"{value(n, c)} AS v{i}" for i, (n, c) in enumerate(zip(names, common))])
 
 
 def align(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None) -> Aligned:
@@ -94,10 +93,7 @@ def align(source: DataFrame, target: DataFrame, strategy: Strategy | str | None
     names = comparable(source), comparable(target)
     if len(names[0]) != len(names[1]) or not names[0]:
         # Rows of different width are never equal; their payload texts tell them apart.
-        sides = []
-        for df, columns in zip((source, target), names):
-            staged, texts = staged_texts(df, columns, strategy)
-            sides.append(staged.select(KEY, payload_of(texts).alias("v0")))
+        sides = [keyed_payload(df, strategy).withColumnRenamed("payload", "v0") for df in (source, target)]
         return Aligned(*sides, ("v0",), strategy, None)
     types = [{f.name: f.dataType for f in df.schema.fields} for df in (source, target)]
     common = [common_type(types[0][a], types[1][b], strategy) for a, b in zip(*names)]

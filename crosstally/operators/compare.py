@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..errors import ConfigurationError
 from ..functions.hashing import comparable, keyed_payload, payload_digest, payload_hash
 from ..functions.keys import KEY
-from ..functions.normalize import Strategy
+from ..functions.normalize import Strategy, literal
 from ..plans.settings import CompareMode
 from .align import align
 
@@ -50,12 +50,17 @@ COUNTS = (
 RECORD_COLUMNS = (KEY, "source_hash", "target_hash", "status", "field_diffs", "source_payload", "target_payload")
 
 
+# Copies the source has beyond the target's; negative the other way round.
+_MORE = "(source_rows - target_rows)"
+
+
 def _stacked(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows of both sides, marked with the side they count for."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    return source.select("*", one.alias("s"), none.alias("t")).unionAll(
-        target.select("*", none.alias("s"), one.alias("t"))
-    )
+    return source.selectExpr("*", "1L AS s", "0L AS t").unionAll(target.selectExpr("*", "0L AS s", "1L AS t"))
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*map(F.expr, aggregates))
 
 
 def _copies(source: DataFrame, target: DataFrame, by_key: bool = False) -> DataFrame:
@@ -63,23 +68,15 @@ def _copies(source: DataFrame, target: DataFrame, by_key: bool = False) -> DataF
     stacked = _stacked(source, target)
     if by_key:
         stacked = stacked.repartition(KEY)
-    return stacked.groupBy(*source.columns).agg(
-        F.sum("s").alias("source_rows"), F.sum("t").alias("target_rows")
-    )
+    return _grouped(stacked, source.columns, "sum(s) AS source_rows", "sum(t) AS target_rows")
 
 
-def _more() -> Column:
-    """Copies the source has beyond the target's; negative the other way round."""
-    return F.col("source_rows") - F.col("target_rows")
+def _status(source_left: str, target_left: str) -> str:
+    return f"""CASE WHEN {source_left} AND {target_left} THEN '{MISMATCHED}' WHEN {source_left} THEN '{SOURCE_ONLY}'
+                    WHEN {target_left} THEN '{TARGET_ONLY}' ELSE '{MATCHED}' END AS status"""
 
 
-def _status(source_left: Column, target_left: Column) -> Column:
-    return (
-        F.when(source_left & target_left, MISMATCHED)
-        .when(source_left, SOURCE_ONLY)
-        .when(target_left, TARGET_ONLY)
-        .otherwise(MATCHED)
-    )
+_PAYLOAD_STATUS = _status("source_payload IS NOT NULL", "target_payload IS NOT NULL")
 
 
 def bag_difference(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None) -> DataFrame:
@@ -88,16 +85,8 @@ def bag_difference(source: DataFrame, target: DataFrame, strategy: Strategy | st
     ``source_surplus`` and ``target_surplus`` are both directions of EXCEPT ALL in one shuffle.
     """
     both = align(source, target, strategy)
-    zero = F.lit(0).cast("bigint")
-    surplus = (
-        _copies(both.source, both.target)
-        .filter(_more() != 0)
-        .select(
-            KEY,
-            *both.values,
-            F.greatest(_more(), zero).alias("source_surplus"),
-            F.greatest(-_more(), zero).alias("target_surplus"),
-        )
+    surplus = _copies(both.source, both.target).filter(f"{_MORE} <> 0").selectExpr(
+        KEY, *both.values, f"greatest({_MORE}, 0L) AS source_surplus", f"greatest(-{_MORE}, 0L) AS target_surplus"
     )
     return both.with_payload(surplus).select(KEY, "payload", "source_surplus", "target_surplus")
 
@@ -116,12 +105,9 @@ def unique_keys(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def duplicate_keys(source: DataFrame, target: DataFrame) -> DataFrame:
     """Keys that occur more than once on a side, with their row counts."""
-    counted = (
-        _stacked(source.select(KEY), target.select(KEY))
-        .groupBy(KEY)
-        .agg(F.sum("s").alias("source_rows"), F.sum("t").alias("target_rows"))
-    )
-    return counted.filter((F.col("source_rows") > 1) | (F.col("target_rows") > 1))
+    stacked = _stacked(source.select(KEY), target.select(KEY))
+    counted = _grouped(stacked, [KEY], "sum(s) AS source_rows", "sum(t) AS target_rows")
+    return counted.filter("source_rows > 1 OR target_rows > 1")
 
 
 def classify(
@@ -136,30 +122,29 @@ def classify(
     holds a large share of the rows, such as for keys that are unique on each side.
     """
     both = align(source, target, strategy)
-    per_key = _copies(both.source, both.target, by_key).groupBy(KEY).agg(
-        F.sum("source_rows").alias("source_rows"),
-        F.sum("target_rows").alias("target_rows"),
-        F.max(_more() > 0).alias("source_left"),
-        F.max(_more() < 0).alias("target_left"),
-    )
-    return per_key.select(
-        KEY, _status(F.col("source_left"), F.col("target_left")).alias("status"), "source_rows", "target_rows"
+    per_key = _grouped(
+        _copies(both.source, both.target, by_key),
+        [KEY],
+        "sum(source_rows) AS source_rows",
+        "sum(target_rows) AS target_rows",
+        f"max({_MORE} > 0) AS source_left",
+        f"max({_MORE} < 0) AS target_left",
     )
+    return per_key.selectExpr(KEY, _status("source_left", "target_left"), "source_rows", "target_rows")
 
 
-def _folded(groups: DataFrame, *more_columns: Column) -> DataFrame:
+def _folded(groups: DataFrame, source_left: str, target_left: str, *more: str) -> DataFrame:
     """Step 2 with payloads: what is left over of each key, and the status it implies.
 
     When several payloads of a key are left over on a side, the greatest text stands for them.
     """
-    folded = groups.groupBy(KEY).agg(
-        F.max(F.when(_more() > 0, F.col("payload"))).alias("source_payload"),
-        F.max(F.when(_more() < 0, F.col("payload"))).alias("target_payload"),
-        *more_columns,
-    )
-    return folded.withColumn(
-        "status", _status(F.col("source_payload").isNotNull(), F.col("target_payload").isNotNull())
-    )
+    return _grouped(
+        groups,
+        [KEY],
+        f"max(CASE WHEN {source_left} THEN payload END) AS source_payload",
+        f"max(CASE WHEN {target_left} THEN payload END) AS target_payload",
+        *more,
+    ).selectExpr("*", _PAYLOAD_STATUS)
 
 
 def classify_with_payloads(
@@ -172,7 +157,11 @@ def classify_with_payloads(
     both = align(source, target, strategy)
     copies = _copies(both.source, both.target, by_key)
     return _folded(
-        both.with_payload(copies, only=_more() != 0), F.sum("source_rows").alias("source_rows"), F.sum("target_rows").alias("target_rows")
+        both.with_payload(copies, only=f"{_MORE} <> 0"),
+        f"{_MORE} > 0",
+        f"{_MORE} < 0",
+        "sum(source_rows) AS source_rows",
+        "sum(target_rows) AS target_rows",
     )
 
 
@@ -180,11 +169,11 @@ def leftovers(source: DataFrame, target: DataFrame, strategy: Strategy | str | N
     """Key, status and payloads of the keys that differ; equal copies leave after step 1."""
     both = align(source, target, strategy)
     copies = _copies(both.source, both.target, by_key)
-    return _folded(both.with_payload(copies.filter(_more() != 0)))
+    return _folded(both.with_payload(copies.filter(f"{_MORE} <> 0")), f"{_MORE} > 0", f"{_MORE} < 0")
 
 
 def _digested(df: DataFrame, strategy) -> DataFrame:
-    return keyed_payload(df, strategy).withColumn("digest", payload_digest(F.col("payload")))
+    return keyed_payload(df, strategy).selectExpr("*", f"{payload_digest('payload')} AS digest")
 
 
 def leftovers_by_digest(
@@ -203,31 +192,22 @@ def leftovers_by_digest(
         raise ConfigurationError("Set spark.checkpoint.dir to a folder all executors share")
     digests = [_digested(side, strategy).select(KEY, "digest") for side in (source, target)]
     copies = _copies(*digests)
-    open_pairs = copies.filter(_more() != 0).select(KEY, "digest", (_more() > 0).alias("on_source")).checkpoint(eager=True)
-    size = open_pairs.agg(F.coalesce(F.sum(F.octet_length(KEY) + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    open_pairs = copies.filter(f"{_MORE} <> 0").selectExpr(KEY, "digest", f"{_MORE} > 0 AS on_source").checkpoint()
+    size = open_pairs.selectExpr(f"coalesce(sum(octet_length({KEY}) + 64), 0) AS bytes").first().bytes
     fits = size <= _broadcast_limit(spark)
 
     def payloads(side: DataFrame, on_source: bool) -> DataFrame:
         rows = _digested(side, strategy)
-        pairs = open_pairs.filter(F.col("on_source") == on_source).select(KEY, "digest")
+        pairs = open_pairs.filter("on_source" if on_source else "NOT on_source").select(KEY, "digest")
         if fits:
-            kept = rows.join(F.broadcast(pairs), [KEY, "digest"], "left_semi")
+            pairs = F.broadcast(pairs)
         else:
-            folded = rows.groupBy(KEY, "digest").agg(F.max("payload").alias("payload"))
-            kept = folded.join(pairs, [KEY, "digest"], "left_semi")
-        return kept.select(KEY, F.col("payload"), F.lit(on_source).alias("on_source"))
-
-    folded = (
-        payloads(source, True)
-        .unionAll(payloads(target, False))
-        .groupBy(KEY)
-        .agg(
-            F.max(F.when(F.col("on_source"), F.col("payload"))).alias("source_payload"),
-            F.max(F.when(~F.col("on_source"), F.col("payload"))).alias("target_payload"),
-        )
-    )
-    status = _status(F.col("source_payload").isNotNull(), F.col("target_payload").isNotNull())
-    return folded.withColumn("status", status)
+            rows = _grouped(rows, [KEY, "digest"], "max(payload) AS payload")
+        kept = rows.join(pairs, [KEY, "digest"], "left_semi")
+        return kept.selectExpr(KEY, "payload", f"{str(on_source).lower()} AS on_source")
+
+    found = payloads(source, True).unionAll(payloads(target, False))
+    return _folded(found, "on_source", "NOT on_source")
 
 
 def _broadcast_limit(spark) -> int:
@@ -238,26 +218,24 @@ def _broadcast_limit(spark) -> int:
     return int(float(number[:-1]) * units[number[-1]]) if number[-1:] in units else int(number)
 
 
-def status_counts(per_key: DataFrame) -> list[Column]:
-    """The six counts over a frame of classified keys."""
-    keys = F.count(F.lit(1))
-    of = lambda status: F.count_if(F.col("status") == status)
-    differing = of(MISMATCHED) + of(SOURCE_ONLY) + of(TARGET_ONLY)
-    zero = F.lit(0).cast("bigint")
-    return [
-        F.coalesce(F.sum("source_rows"), zero).alias("source_count"),
-        F.coalesce(F.sum("target_rows"), zero).alias("target_count"),
-        F.greatest(keys - differing, zero).alias("matched_count"),
-        of(MISMATCHED).alias("mismatched_count"),
-        of(SOURCE_ONLY).alias("source_only_count"),
-        of(TARGET_ONLY).alias("target_only_count"),
-    ]
+def status_counts() -> list[Column]:
+    """The six counts, as aggregates over a frame of classified keys."""
+    of = lambda status: f"count_if(status = '{status}')"
+    differing = " - ".join(of(s) for s in (MISMATCHED, SOURCE_ONLY, TARGET_ONLY))
+    counts = (
+        "coalesce(sum(source_rows), 0L)",
+        "coalesce(sum(target_rows), 0L)",
+        f"greatest(count(1) - {differing}, 0L)",
+        of(MISMATCHED),
+        of(SOURCE_ONLY),
+        of(TARGET_ONLY),
+    )
+    return [F.expr(f"{count} AS {name}") for count, name in zip(counts, COUNTS)]
 
 
 def summary(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None, by_key: bool = False) -> DataFrame:
     """The six counts of a detail comparison: rows per side, keys per status."""
-    per_key = classify(source, target, strategy, by_key)
-    return per_key.agg(*status_counts(per_key))
+    return classify(source, target, strategy, by_key).agg(*status_counts())
 
 
 def reconcile_counts(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None) -> DataFrame:
@@ -268,33 +246,34 @@ def reconcile_counts(source: DataFrame, target: DataFrame, strategy: Strategy |
     the key, of at most one row per key and task.
     """
     both = align(source, target, strategy)
-    row = F.struct(*both.values)
-    per_key = _stacked(both.source, both.target).groupBy(KEY).agg(
-        F.max(F.when(F.col("s") == 1, row)).alias("source_row"),
-        F.max(F.when(F.col("t") == 1, row)).alias("target_row"),
-        F.sum("s").alias("source_rows"),
-        F.sum("t").alias("target_rows"),
+    row = f"struct({', '.join(both.values)})"
+    per_key = _grouped(
+        _stacked(both.source, both.target),
+        [KEY],
+        f"max(CASE WHEN s = 1 THEN {row} END) AS source_row",
+        f"max(CASE WHEN t = 1 THEN {row} END) AS target_row",
+        "sum(s) AS source_rows",
+        "sum(t) AS target_rows",
     )
-    source_row, target_row = F.col("source_row"), F.col("target_row")
-    in_both = (F.col("source_rows") > 0) & (F.col("target_rows") > 0)
-    zero = F.lit(0).cast("bigint")
-    return per_key.agg(
-        F.count_if(F.col("source_rows") > 0).alias("source_count"),
-        F.count_if(F.col("target_rows") > 0).alias("target_count"),
-        F.count_if(in_both & source_row.eqNullSafe(target_row)).alias("matched_count"),
-        F.count_if(in_both & ~source_row.eqNullSafe(target_row)).alias("mismatched_count"),
-        F.count_if(F.col("target_rows") == 0).alias("source_only_count"),
-        F.count_if(F.col("source_rows") == 0).alias("target_only_count"),
-        F.coalesce(F.sum("source_rows"), zero).alias("source_rows"),
-        F.coalesce(F.sum("target_rows"), zero).alias("target_rows"),
+    in_both = "source_rows > 0 AND target_rows > 0"
+    return per_key.selectExpr(
+        "count_if(source_rows > 0) AS source_count",
+        "count_if(target_rows > 0) AS target_count",
+        f"count_if({in_both} AND source_row <=> target_row) AS matched_count",
+        f"count_if({in_both} AND NOT (source_row <=> target_row)) AS mismatched_count",
+        "count_if(target_rows = 0) AS source_only_count",
+        "count_if(source_rows = 0) AS target_only_count",
+        "coalesce(sum(source_rows), 0L) AS source_rows",
+        "coalesce(sum(target_rows), 0L) AS target_rows",
     )
 
 
-def _values(payload: Column) -> Column:
-    return F.from_json(payload, "array<string>")
+def _value(side: str, at: int | None) -> str:
+    """Text at a position of a payload; NULL beyond its end."""
+    return "CAST(NULL AS STRING)" if at is None else f"get(from_json({side}_payload, 'array<string>'), {at})"
 
 
-def condition_differs(conditions: Sequence[str], fields: Sequence[str]) -> Column:
+def condition_differs(conditions: Sequence[str], fields: Sequence[str]) -> str:
     """Does one of the condition fields differ between the two payloads?
 
     A condition that names no known field counts as a difference. Without known fields the
@@ -302,48 +281,36 @@ def condition_differs(conditions: Sequence[str], fields: Sequence[str]) -> Colum
     """
     names = list(fields) or list(conditions)
     if any(c not in names for c in conditions):
-        return F.lit(True)
-    source, target = _values(F.col("source_payload")), _values(F.col("target_payload"))
-    tests = [~F.get(source, names.index(c)).eqNullSafe(F.get(target, names.index(c))) for c in conditions]
-    differs = tests[0]
-    for test in tests[1:]:
-        differs = differs | test
-    return differs
-
-
-def _field_status(source: Column, target: Column) -> Column:
-    return (
-        F.when(source.isNull() & target.isNull(), MATCHED)
-        .when(source.isNull(), TARGET_ONLY)
-        .when(target.isNull(), SOURCE_ONLY)
-        .when(source == target, MATCHED)
-        .otherwise(MISMATCHED)
-    )
+        return "TRUE"
+    at = [names.index(c) for c in conditions]
+    return " OR ".join(f"NOT ({_value('source', i)} <=> {_value('target', i)})" for i in at)
 
 
-def field_diffs(conditions: Sequence[str], fields: Sequence[str], width: int) -> Column:
+def field_diffs(conditions: Sequence[str], fields: Sequence[str], width: int) -> str:
     """JSON object from field name to status, in field order; NULL when there are no fields.
 
     Fields are the conditions if given, else the declared names, else ``c0, c1, ...`` for as many
     positions as the longer of the two payloads has (``width`` at most).
     """
-    source, target = _values(F.col("source_payload")), _values(F.col("target_payload"))
     shown = list(dict.fromkeys(conditions)) or list(fields)
     generated = not shown
     shown = shown or [f"c{i}" for i in range(width)]
     positions = list(fields) or shown
     if not shown:
-        return F.lit(None).cast("string")
-    size = F.greatest(F.coalesce(F.size(source), F.lit(0)), F.coalesce(F.size(target), F.lit(0)))
+        return "CAST(NULL AS STRING)"
     members = []
     for name in shown:
         at = positions.index(name) if name in positions else None
-        left = F.lit(None).cast("string") if at is None else F.get(source, at)
-        right = F.lit(None).cast("string") if at is None else F.get(target, at)
-        quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-        member = F.concat(F.lit(f'"{quoted}":"'), _field_status(left, right), F.lit('"'))
-        members.append(F.when(size > at, member) if generated else member)
-    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+        left, right = _value("source", at), _value("target", at)
+        label = '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":"'
+        status = f"""CASE WHEN {left} <=> {right} THEN '{MATCHED}' WHEN {left} IS NULL THEN '{TARGET_ONLY}'
+                         WHEN {right} IS NULL THEN '{SOURCE_ONLY}' ELSE '{MISMATCHED}' END"""
+        member = f"""concat({literal(label)}, {status}, '"')"""
+        if generated:
+            # Every value of a payload is a text, so a position is beyond both ends when both are NULL.
+            member = f"CASE WHEN {left} IS NOT NULL OR {right} IS NOT NULL THEN {member} END"
+        members.append(member)
+    return f"concat('{{', concat_ws(',', {', '.join(members)}), '}}')"
 
 
 def records_of(
@@ -360,21 +327,16 @@ def records_of(
     if mode is CompareMode.COUNTS:
         differing = differing.limit(0)
     elif mode is CompareMode.MISMATCH_DETAILS and condition_fields:
-        differing = differing.filter(
-            (F.col("status") != MISMATCHED) | condition_differs(condition_fields, fields)
-        )
-    diffs = F.lit(None).cast("string")
-    if mode is CompareMode.FIELD_DETAILS:
-        diffs = field_diffs(condition_fields, fields, width)
-    shown = lambda name: F.col(name) if store_payloads else F.lit(None).cast("string")
-    return differing.select(
+        differing = differing.filter(f"status <> '{MISMATCHED}' OR {condition_differs(condition_fields, fields)}")
+    absent = "CAST(NULL AS STRING)"
+    diffs = field_diffs(condition_fields, fields, width) if mode is CompareMode.FIELD_DETAILS else absent
+    sides = ("source", "target")
+    return differing.selectExpr(
         KEY,
-        payload_hash(F.col("source_payload"), strategy).alias("source_hash"),
-        payload_hash(F.col("target_payload"), strategy).alias("target_hash"),
+        *[f"{payload_hash(f'{side}_payload', strategy)} AS {side}_hash" for side in sides],
         "status",
-        diffs.alias("field_diffs"),
-        shown("source_payload").alias("source_payload"),
-        shown("target_payload").alias("target_payload"),
+        f"{diffs} AS field_diffs",
+        *[f"{f'{side}_payload' if store_payloads else absent} AS {side}_payload" for side in sides],
     )
 
 

@@ -113,7 +113,7 @@ class Runner:
         # Counts are taken while the records are written. The observed frame is in the stage that
         # writes, after the last shuffle, so recomputed tasks are not counted twice.
         observation = Observation()
-        observed = per_key.observe(observation, *status_counts(per_key))
+        observed = per_key.observe(observation, *status_counts())
         width = max(len(comparable(source)), len(comparable(target)))
         names = profile.source.comparable_fields or profile.target.comparable_fields
         records = records_of(

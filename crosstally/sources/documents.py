@@ -14,41 +14,47 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigurationError
 from ..functions.keys import KEY_ALIAS
-from ..functions.normalize import document_text
+from ..functions.normalize import document_text, literal, quoted
 from ..plans.spec import SideSpec
 from ..plans.window import Window
 from .binding import bind_filter
 
 
-def path_column(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
-    """Value at a dotted path and its type; a path that leads nowhere is NULL.
+def path_sql(df: DataFrame, path: str) -> tuple[str, T.DataType]:
+    """SQL of the value at a dotted path, and its type; a path that leads nowhere is NULL.
 
     Struct members keep their type. Below a text column the rest of the path is read as JSON text,
     below a variant column as variant text.
     """
+    nothing = "CAST(NULL AS STRING)", T.StringType()
     parts = path.split(".")
     fields = {f.name: f.dataType for f in df.schema.fields}
     if parts[0] not in fields:
-        return F.lit(None).cast("string"), T.StringType()
-    column, dtype = F.col(f"`{parts[0]}`"), fields[parts[0]]
+        return nothing
+    value, dtype = quoted(parts[0]), fields[parts[0]]
     for i, part in enumerate(parts[1:], start=1):
-        rest = "$" + "".join(f"['{p}']" for p in parts[i:])
+        rest = literal("$" + "".join(f"['{p}']" for p in parts[i:]))
         if isinstance(dtype, T.StructType):
             members = {f.name: f.dataType for f in dtype.fields}
             if part not in members:
-                return F.lit(None).cast("string"), T.StringType()
-            column, dtype = column[part], members[part]
+                return nothing
+            value, dtype = f"{value}.{quoted(part)}", members[part]
         elif isinstance(dtype, T.MapType):
-            column, dtype = column[part], dtype.valueType
+            value, dtype = f"{value}[{literal(part)}]", dtype.valueType
         elif isinstance(dtype, T.StringType):
-            return F.get_json_object(column, rest), T.StringType()
+            return f"get_json_object({value}, {rest})", T.StringType()
         elif isinstance(dtype, T.VariantType):
-            return F.try_variant_get(column, rest, "string"), T.StringType()
+            return f"try_variant_get({value}, {rest}, 'string')", T.StringType()
         else:
-            return F.lit(None).cast("string"), T.StringType()
+            return nothing
     if isinstance(dtype, T.VariantType):
-        return F.try_variant_get(column, "$", "string"), T.StringType()
-    return column, dtype
+        return f"try_variant_get({value}, '$', 'string')", T.StringType()
+    return value, dtype
+
+
+def path_column(df: DataFrame, path: str) -> tuple[Column, T.DataType]:
+    value, dtype = path_sql(df, path)
+    return F.expr(value), dtype
 
 
 def _plain(value: Any) -> Any:
@@ -194,14 +200,13 @@ def extract_documents(df: DataFrame, side: SideSpec, filter_text: str | None = N
     kept = df.filter(filter_column(df, bound)) if bound else df
 
     def key_part(path: str) -> Column:
-        column, dtype = path_column(df, path)
-        return document_text(column, dtype)
+        return F.expr(document_text(*path_sql(df, path)))
 
     columns = [side.key.document_column(key_part).alias(KEY_ALIAS)]
     for path in side.comparable_fields:
-        column, dtype = path_column(df, path)
+        value, dtype = path_sql(df, path)
         nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.BinaryType))
-        columns.append((document_text(column, dtype) if nested else column).alias(path))
+        columns.append(F.expr(document_text(value, dtype) if nested else value).alias(path))
     return kept.select(*columns)
 
 
