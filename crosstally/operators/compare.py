@@ -238,29 +238,36 @@ def summary(source: DataFrame, target: DataFrame, strategy: Strategy | str | Non
     return classify(source, target, strategy, by_key).agg(*status_counts())
 
 
-def reconcile_counts(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None) -> DataFrame:
+def reconcile_counts(
+    source: DataFrame,
+    target: DataFrame,
+    strategy: Strategy | str | None = None,
+    by_key: bool = False,
+) -> DataFrame:
     """Counts with one row per key and side: the counting mode.
 
-    A key that repeats on a side is represented by its greatest row (values compared in order) and
-    counted once; ``source_rows`` and ``target_rows`` tell how many rows there were. One shuffle, on
-    the key, of at most one row per key and task.
+    A key that repeats on a side is counted once and represented by one of its rows, the same choice
+    in every run: rows rank by a hash of their values, then rows both sides hold go first. So the
+    representatives are equal exactly when the top-ranked row of a key is held by both sides, and
+    both steps aggregate nothing but numbers. Values are compared themselves, the hash only ranks.
+    ``source_rows`` and ``target_rows`` tell how many rows there were.
     """
     both = align(source, target, strategy)
-    row = f"struct({', '.join(both.values)})"
+    rank = f"xxhash64({', '.join(both.values)})"
     per_key = _grouped(
-        _stacked(both.source, both.target),
+        _copies(both.source, both.target, by_key),
         [KEY],
-        f"max(CASE WHEN s = 1 THEN {row} END) AS source_row",
-        f"max(CASE WHEN t = 1 THEN {row} END) AS target_row",
-        "sum(s) AS source_rows",
-        "sum(t) AS target_rows",
+        f"max({rank}) AS top",
+        f"max(CASE WHEN source_rows > 0 AND target_rows > 0 THEN {rank} END) AS top_shared",
+        "sum(source_rows) AS source_rows",
+        "sum(target_rows) AS target_rows",
     )
     in_both = "source_rows > 0 AND target_rows > 0"
     return per_key.selectExpr(
         "count_if(source_rows > 0) AS source_count",
         "count_if(target_rows > 0) AS target_count",
-        f"count_if({in_both} AND source_row <=> target_row) AS matched_count",
-        f"count_if({in_both} AND NOT (source_row <=> target_row)) AS mismatched_count",
+        f"count_if({in_both} AND top <=> top_shared) AS matched_count",
+        f"count_if({in_both} AND NOT (top <=> top_shared)) AS mismatched_count",
         "count_if(target_rows = 0) AS source_only_count",
         "count_if(source_rows = 0) AS target_only_count",
         "coalesce(sum(source_rows), 0L) AS source_rows",

@@ -108,7 +108,7 @@ class Runner:
     def _compare(self, run, profile: Profile, settings: CompareSettings, window, scope, baseline_id) -> Mapping[str, int]:
         source, target = self.sides(profile, window)
         if settings.resolved_mode is CompareMode.COUNTS:
-            return reconcile_counts(source, target, profile.strategy).first().asDict()
+            return reconcile_counts(source, target, profile.strategy, self.by_key).first().asDict()
         per_key = classify_with_payloads(source, target, profile.strategy, self.by_key)
         # Counts are taken while the records are written. The observed frame is in the stage that
         # writes, after the last shuffle, so recomputed tasks are not counted twice.

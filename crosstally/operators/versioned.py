@@ -81,7 +81,7 @@ def upsert(
         F.coalesce("next_at", at).alias("updated_at"),
         F.lit(actor).alias("updated_by"),
     )
-    first = changes.groupBy(*ids).agg(F.min(at).alias("closed_at"))
+    first = per_segment.groupBy(*ids).agg(F.min("entity_first_at").alias("closed_at"))
     closing = F.col("active") & F.col("closed_at").isNotNull()
     kept = history.join(first, ids, "left").withColumns(
         {

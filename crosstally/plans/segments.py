@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SEGMENTS = 64
 
@@ -15,17 +14,24 @@ def with_segment(df: DataFrame, order: str, segments: int = SEGMENTS, name: str
     The bounds are computed once, up front, so every use of the frame sees the same segments.
     ``order`` must be a number, date or timestamp.
     """
-    kind = dict(df.dtypes)[order]
-    column = F.col(order)
-    if kind.startswith("timestamp"):
-        column = F.unix_micros(column.cast("timestamp"))
-    elif kind == "date":
-        column = F.unix_date(column)
-    position = column.cast("double")
-    probabilities = [i / segments for i in range(1, segments)]
-    bounds = df.select(position.alias("p")).approxQuantile("p", probabilities, 0.5 / segments) if segments > 1 else []
-    limits = sorted(set(bounds))
+    position = {"timestamp": f"unix_micros({order})", "date": f"unix_date({order})"}.get(dict(df.dtypes)[order], order)
+    if dict(df.dtypes)[order] == "timestamp_ntz":
+        position = f"unix_micros(CAST({order} AS TIMESTAMP))"
+    position = f"CAST({position} AS DOUBLE)"
+    limits: list[float] = []
+    if segments > 1:
+        probabilities = [i / segments for i in range(1, segments)]
+        limits = sorted(set(df.selectExpr(f"{position} AS p").approxQuantile("p", probabilities, 0.5 / segments)))
+    return df.selectExpr("*", f"{_numbered(position, limits, 0)} AS {name}")
+
+
+def _numbered(position: str, limits: list[float], first: int) -> str:
+    """How many limits lie below the position, by halving."""
     if not limits:
-        return df.withColumn(name, F.lit(0))
-    passed = F.filter(F.array(*[F.lit(b) for b in limits]), lambda bound: bound < position)
-    return df.withColumn(name, F.size(passed))
+        return str(first)
+    middle = len(limits) // 2
+    below, above = limits[:middle], limits[middle + 1 :]
+    return (
+        f"CASE WHEN {position} > {limits[middle]!r}D THEN {_numbered(position, above, first + middle + 1)} "
+        f"ELSE {_numbered(position, below, first)} END"
+    )

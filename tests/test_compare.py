@@ -67,6 +67,7 @@ def test_duplicates_follow_bag_rules(rows):
     assert six(summary(source, target)) == (4, 4, 0, 0, 1, 1)
     # The counting mode sees one row per key.
     assert six(reconcile_counts(source, target)) == (2, 2, 2, 0, 0, 0)
+    assert six(reconcile_counts(source, target, by_key=True)) == (2, 2, 2, 0, 0, 0)
     assert sorted(r.migration_key for r in except_all(source, target).collect()) == ["k"]
     found = {(r.migration_key, r.payload): (r.source_surplus, r.target_surplus) for r in bag_difference(source, target).collect()}
     assert found == {("k", '["a"]'): (1, 0), ("m", '["x"]'): (0, 1)}
@@ -174,7 +175,8 @@ def test_plans_shuffle_twice_and_never_broadcast(rows):
     for df in (classify(source, target), reconcile_details(source, target)):
         assert plan(df).count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan(df)
     assert plan(classify(source, target, by_key=True)).count("Exchange hashpartitioning") == 1
-    assert "SortAggregate" not in plan(classify(source, target))
+    for df in (classify(source, target), reconcile_counts(source, target)):
+        assert "SortAggregate" not in plan(df)
 
 
 bags = st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["x", "y", None])), max_size=12)
@@ -206,6 +208,28 @@ def test_statuses_equal_counter_arithmetic(rows, left, right):
     )
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(left=bags, right=bags)
+def test_counting_mode_equals_one_representative_per_key(spark, rows, left, right):
+    source, target = rows(left, "string"), rows(right, "string")
+    rank = {None: None}
+    for value, hashed in spark.sql("SELECT c, xxhash64(c) FROM VALUES ('x'), ('y'), ('<NULL>') AS t(c)").collect():
+        rank[value] = hashed
+    rank[None] = rank["<NULL>"]
+    top = lambda bag, key: max((rank[v] for k, v in bag if k == key), default=None)
+    keys = {k for k, _ in left} | {k for k, _ in right}
+    pairs = [(top(left, k), top(right, k)) for k in keys]
+    in_both = [(a, b) for a, b in pairs if a is not None and b is not None]
+    assert six(reconcile_counts(source, target)) == (
+        sum(a is not None for a, _ in pairs),
+        sum(b is not None for _, b in pairs),
+        sum(a == b for a, b in in_both),
+        sum(a != b for a, b in in_both),
+        sum(b is None for _, b in pairs),
+        sum(a is None for a, _ in pairs),
+    )
+
+
 def test_hot_key_is_counted_whole(spark):
     """One key with a third of all rows, all different, and one pair with many equal copies."""
     n = 3000

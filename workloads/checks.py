@@ -223,17 +223,21 @@ def _keys_and_texts() -> None:
 
 def _comparisons() -> None:
     c = CHECKS
-    pick = lambda side: f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY migration_key ORDER BY
-        l_quantity DESC NULLS LAST, l_extendedprice DESC NULLS LAST, l_returnflag DESC NULLS LAST,
-        l_linestatus DESC NULLS LAST, l_shipdate DESC NULLS LAST) AS rn FROM ({sql(side)})) WHERE rn = 1)"""
     c["recon_counts"] = f"""
-      WITH a AS (SELECT migration_key, {payload(*LINE_TEXTS.values())} AS x FROM {pick(S.LINEITEM_SOURCE)}),
-           b AS (SELECT migration_key, {payload(*LINE_TEXTS.values())} AS y FROM {pick(S.LINEITEM_TARGET)}),
+      WITH a AS (SELECT migration_key, {payload(*ORDER_TEXTS.values())} AS x FROM ({sql(S.ORDERS_SOURCE)})),
+           b AS (SELECT migration_key, {payload(*ORDER_TEXTS.values())} AS y FROM ({sql(S.ORDERS_TARGET)})),
            j AS (SELECT x, y FROM a FULL JOIN b USING (migration_key))
       SELECT count(x) AS source_count, count(y) AS target_count, count(*) FILTER (x = y) AS matched_count,
              count(*) FILTER (x <> y) AS mismatched_count, count(*) FILTER (y IS NULL) AS source_only_count,
              count(*) FILTER (x IS NULL) AS target_only_count,
-             (SELECT count(*) FROM lineitem) AS source_rows, (SELECT count(*) FROM lineitem) AS target_rows FROM j"""
+             (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS target_rows FROM j"""
+    c["recon_counts_duplicates"] = f"""
+      WITH a AS (SELECT migration_key, count(*) AS x FROM ({sql(S.LINEITEM_SOURCE)}) GROUP BY 1),
+           b AS (SELECT migration_key, count(*) AS y FROM ({sql(S.LINEITEM_TARGET)}) GROUP BY 1),
+           j AS (SELECT x, y FROM a FULL JOIN b USING (migration_key))
+      SELECT count(x) AS source_count, count(y) AS target_count, count(*) FILTER (y IS NULL) AS source_only_count,
+             count(*) FILTER (x IS NULL) AS target_only_count, CAST(sum(x) AS BIGINT) AS source_rows,
+             CAST(sum(y) AS BIGINT) AS target_rows, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS in_both FROM j"""
     c["except_all_source"] = f"WITH {LINES} SELECT * FROM se"
     c["except_all_target"] = f"WITH {LINES} SELECT * FROM te"
     c["bag_difference"] = f"""WITH {LINES}
