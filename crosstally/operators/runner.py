@@ -166,6 +166,8 @@ class Runner:
             return {"run": self.ledger.complete(parent, dict.fromkeys(COUNTS, 0)), "profiles": {}}
 
         def one(profile_id: str) -> dict[str, Any] | BaseException:
+            # With the FAIR scheduler every profile gets its own pool, so a large one does not hold up the rest.
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{domain_id}.{profile_id}")
             try:
                 return self.run_profile(
                     profile_id, domain_id, mode, condition_fields, force_full, parent["run_id"]
