@@ -276,8 +276,8 @@ def reconcile_counts(
 
 
 def _value(side: str, at: int | None) -> str:
-    """Text at a position of a payload; NULL beyond its end."""
-    return "CAST(NULL AS STRING)" if at is None else f"get(from_json({side}_payload, 'array<string>'), {at})"
+    """Text at a position of a parsed payload; NULL beyond its end."""
+    return "CAST(NULL AS STRING)" if at is None else f"get({side}_values, {at})"
 
 
 def condition_differs(conditions: Sequence[str], fields: Sequence[str]) -> str:
@@ -331,13 +331,17 @@ def records_of(
 ) -> DataFrame:
     """Records of keys that differ (``leftovers`` or the differing part of ``classify_with_payloads``)."""
     mode = CompareMode.of(mode)
+    sides = ("source", "target")
+    # Payloads are parsed once per record, in a projection of their own, however many fields are looked at.
+    differing = differing.selectExpr(
+        "*", *[f"from_json({side}_payload, 'array<string>') AS {side}_values" for side in sides]
+    )
     if mode is CompareMode.COUNTS:
         differing = differing.limit(0)
     elif mode is CompareMode.MISMATCH_DETAILS and condition_fields:
         differing = differing.filter(f"status <> '{MISMATCHED}' OR {condition_differs(condition_fields, fields)}")
     absent = "CAST(NULL AS STRING)"
     diffs = field_diffs(condition_fields, fields, width) if mode is CompareMode.FIELD_DETAILS else absent
-    sides = ("source", "target")
     return differing.selectExpr(
         KEY,
         *[f"{payload_hash(f'{side}_payload', strategy)} AS {side}_hash" for side in sides],

@@ -13,7 +13,6 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,10 +232,10 @@ class Ledger:
         stamped.write.mode("overwrite").parquet(f"{self._records_path}/run_id={run['run_id']}")
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def events(self) -> DataFrame:
         return self._read(self._events_path, RUN_SCHEMA).select(*RUN_SCHEMA.fieldNames())

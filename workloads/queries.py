@@ -17,13 +17,12 @@ from crosstally.functions import (
     normalize_tags,
     reject_null_keys,
     with_field_hashes,
-    with_payload,
     with_row_hash,
     with_tags,
 )
 from crosstally.operators.compare import COUNTS
 from crosstally.operators.ledger import Ledger
-from crosstally.sources import FileTable, extract_documents, parse_workbooks, read_file_table
+from crosstally.sources import FileTable, parse_workbooks, read_file_table
 
 from . import sides as S
 from .workbooks import as_workbooks
