@@ -188,8 +188,11 @@ def leftovers_by_digest(
     shuffle after their copies have been folded.
     """
     spark = source.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        raise ConfigurationError("Set spark.checkpoint.dir to a folder all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ConfigurationError("Set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(shared)
     digests = [_digested(side, strategy).select(KEY, "digest") for side in (source, target)]
     copies = _copies(*digests)
     open_pairs = copies.filter(f"{_MORE} <> 0").selectExpr(KEY, "digest", f"{_MORE} > 0 AS on_source").checkpoint()
