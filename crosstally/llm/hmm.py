@@ -84,7 +84,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     """From word counts (word, class, c)."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    listed = counts.where(F.col("c") * LISTED >= n).select("word", "class", "c").collect()  # at most LISTED rows
+    listed = counts.where((F.col("c") * LISTED >= n) | (F.col("class") == -1)).collect()  # at most LISTED rows and the end
     ends = next((r.c for r in listed if r["class"] == -1), 0)
     listed = sorted((r for r in listed if r["class"] != -1), key=lambda r: (-r.c, r.word))
     sizes, kinds = np.zeros(CLASSES), np.zeros(CLASSES)

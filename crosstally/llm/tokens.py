@@ -79,7 +79,7 @@ def cache(spark, folder: str, version: str) -> DataFrame:
 def counts(docs: DataFrame, path: str, folder: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row's whole text; new texts' entries are appended to ``folder``.
 
-    Null texts count as empty ones; repeated rows give a row each; a null id keeps its row; extra columns are
+    Null texts count as empty ones; repeated rows give a row each (and may be encoded more than once); a null id keeps its row; extra columns are
     ignored; an empty table gives no rows and appends nothing.
     """
     spark, version = docs.sparkSession, version_of(path)
