@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import components, saved, small_batches, words
 
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
+#: Buckets of fewer members are searched for pairs even if all are linked already.
+DENSE = 32
 
 
 def shingles(tokens: list[bytes], size: int) -> Iterator[bytes]:
@@ -108,24 +110,30 @@ def links(
     names = [f"f{i}" for i in range(lanes)]
     differ = lambda x, y: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in names)
     check = verify or (lambda pairs: pairs)
+    # A node becomes many rows, so even few bytes of nodes are dealt over all tasks.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    keyed = nodes.select(F.explode(variants(lanes, count)).alias("key"), "node", *names).alias("keyed")
-    smallest = F.min(F.struct("node", *names)).alias("lead")
-    shared = keyed.groupBy("key").agg(smallest, F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    keyed = nodes.repartition(tasks).select(F.explode(variants(lanes, count)).alias("key"), "node", *names).alias("keyed")
+    lead = keyed.groupBy("key").agg(
+        F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in names), F.count("*").alias("n")
+    ).where("n > 1").drop("n").alias("lead")
     star = (
-        keyed.join(shared, "key").where(f"node <> lead.node AND {differ('keyed', 'lead')} <= {most}")
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {differ('keyed', 'lead')} <= {most}"))
+        .select(F.col("lead.node").alias("a"), F.col("keyed.node").alias("b")).distinct()
     )
     first = saved(check(star), "stars")
-    labels = saved(components(first), "labels")
+    labels = components(first)
 
     labelled = saved(
         nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
         "labelled",
     )
-    keyed = labelled.select(F.explode(variants(lanes, count)).alias("key"), "node", "label", *names)
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = keyed.join(mixed.select("key"), "key", "left_semi")
+    keyed = labelled.repartition(tasks).select(F.explode(variants(lanes, count)).alias("key"), "node", "label", *names)
+    # Large buckets whose members are all linked have nothing to add.
+    done = keyed.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
+    ).where(f"low = high AND n >= {DENSE}").select("key")
+    rest = keyed.join(done, "key", "left_anti")
     across = (
         rest.alias("x").join(
             rest.alias("y"),
