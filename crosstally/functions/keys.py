@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..errors import ConfigurationError
+from .normalize import document_text, is_binary
 
 # Fixed value: the alias a custom query gives its key column (any letter case).
 KEY_ALIAS = "MigrationKey"
@@ -25,10 +27,15 @@ def key_column_of(df: DataFrame) -> str:
     return found[0]
 
 
+def _inexact(dtype: T.DataType) -> bool:
+    """Types whose plain cast depends on the session's mode, or is not compared byte by byte."""
+    return isinstance(dtype, T.DecimalType) or (isinstance(dtype, T.StringType) and not is_binary(dtype))
+
+
 def _key_first(df: DataFrame) -> tuple[str, list[str]]:
     name = key_column_of(df)
     quote = lambda c: "`" + c.replace("`", "``") + "`"
-    return f"CAST({quote(name)} AS STRING)", [quote(c) for c in df.columns if c != name]
+    return document_text(quote(name), df.schema[name].dataType) if _inexact(df.schema[name].dataType) else f"CAST({quote(name)} AS STRING)", [quote(c) for c in df.columns if c != name]
 
 
 def keyed(df: DataFrame) -> DataFrame:

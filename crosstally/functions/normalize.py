@@ -94,6 +94,18 @@ named_struct('m', IF(startswith(t, '-'), '-', ''), 'd', regexp_replace(t, '-|[.]
 """
 
 
+def is_binary(dtype: T.DataType) -> bool:
+    """Is this the plain text type, compared byte by byte?"""
+    return dtype == T.StringType()
+
+
+def plain_decimal(value: str) -> str:
+    """All digits of a decimal. Without ANSI mode Spark writes small ones with an exponent."""
+    text = f"CAST({value} AS STRING)"
+    shifted = f"transform(transform(array({text}), t -> {_SPLIT}), x -> {_SHIFTED})[0]"
+    return f"CASE WHEN contains({text}, 'E') THEN {shifted} ELSE {text} END"
+
+
 def _number_text(text: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.IntegralType):
         return text
@@ -150,7 +162,7 @@ def _document_json(value: str, dtype: T.DataType, depth: int) -> str:
         text = _document_json(item, dtype.elementType, depth + 1)
         return f"concat('[', array_join(transform({value}, {item} -> coalesce({text}, 'null')), ', '), ']')"
     if isinstance(dtype, T.DecimalType):
-        return f"""concat('{{"$numberDecimal": "', CAST({value} AS STRING), '"}}')"""
+        return f"""concat('{{"$numberDecimal": "', {plain_decimal(value)}, '"}}')"""
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return f"CAST({value} AS STRING)"
     if isinstance(dtype, T.TimestampType):
@@ -182,6 +194,10 @@ def document_text(value: str, dtype: T.DataType, depth: int = 0) -> str:
         return _map_json(value)
     if isinstance(dtype, T.TimestampType):
         return _instant(value)
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return plain_decimal(value)
+    if isinstance(dtype, T.StringType) and not is_binary(dtype):
+        return f"collate({value}, 'UTF8_BINARY')"
     return f"CAST({value} AS STRING)"
 
 
@@ -193,7 +209,7 @@ def _base(value: str, dtype: T.DataType, strategy: Strategy) -> str | None:
     if name in ("timestamp_ntz", "time"):
         return f"CAST({value} AS STRING)"
     if strategy is Strategy.LENIENT and isinstance(dtype, T.DecimalType):
-        return f"CAST({value} AS STRING)"
+        return plain_decimal(value) if dtype.scale > 0 else f"CAST({value} AS STRING)"
     if strategy is Strategy.LENIENT and isinstance(dtype, T.FractionalType):
         # Adding zero turns negative zero into zero and changes nothing else.
         return f"CAST({value} + CAST(0 AS {name}) AS STRING)"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import comparable, keyed_payload, payload_of
 from ..functions.keys import KEY
-from ..functions.normalize import NULL_TEXT, Strategy, literal, quoted, staged_texts
+from ..functions.normalize import NULL_TEXT, Strategy, is_binary, literal, quoted, staged_texts
 
 _COMPARED_AS_IS = (
     T.BooleanType,
@@ -32,6 +32,8 @@ _COMPARED_AS_IS = (
 
 def common_type(left: T.DataType, right: T.DataType, strategy: Strategy) -> T.DataType | None:
     """Type in which equality of values is equality of canonical texts; None if there is none."""
+    if isinstance(left, T.StringType) and isinstance(right, T.StringType):
+        return T.StringType()
     if strategy is Strategy.STRICT:
         # Strict texts tell 0.0 from -0.0, grouping does not.
         floating = isinstance(left, (T.FloatType, T.DoubleType))
@@ -81,8 +83,10 @@ def _side(df: DataFrame, names: Sequence[str], common: Sequence[T.DataType | Non
     def value(name: str, dtype: T.DataType | None) -> str:
         if dtype is None:
             return by_name[name]
-        if isinstance(dtype, T.StringType) and strategy is Strategy.LENIENT:
-            return f"coalesce({quoted(name)}, {literal(NULL_TEXT)})"
+        if isinstance(dtype, T.StringType):
+            # Texts are equal byte by byte, whatever collation a column has.
+            text = quoted(name) if is_binary(types[name]) else f"collate({quoted(name)}, 'UTF8_BINARY')"
+            return f"coalesce({text}, {literal(NULL_TEXT)})" if strategy is Strategy.LENIENT else text
         return quoted(name) if types[name] == dtype else f"CAST({quoted(name)} AS {dtype.simpleString()})"
 
     return staged.selectExpr(KEY, *[f"{value(n, c)} AS v{i}" for i, (n, c) in enumerate(zip(names, common))])

@@ -153,16 +153,21 @@ def classify_with_payloads(
     strategy: Strategy | str | None = None,
     by_key: bool = False,
 ) -> DataFrame:
-    """Like ``classify``, and the payloads left over of keys that differ; the others have none."""
-    both = align(source, target, strategy)
-    copies = _copies(both.source, both.target, by_key)
-    return _folded(
-        both.with_payload(copies, only=f"{_MORE} <> 0"),
-        f"{_MORE} > 0",
-        f"{_MORE} < 0",
-        "sum(source_rows) AS source_rows",
-        "sum(target_rows) AS target_rows",
-    )
+    """Like ``classify``, and the payloads left over of keys that differ; the others have none.
+
+    Both parts come from one set of copies: numbers of all keys by hash aggregation, texts of differing keys only.
+    """
+    per_key, differing = numbers_and_leftovers(source, target, strategy, by_key)
+    return per_key.filter(f"status = '{MATCHED}'").selectExpr(
+        KEY, "CAST(NULL AS STRING) AS source_payload", "CAST(NULL AS STRING) AS target_payload", "source_rows", "target_rows", "status"
+    ).unionByName(per_key.filter(f"status <> '{MATCHED}'").drop("status").join(differing, KEY))
+
+
+def numbers_and_leftovers(
+    source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None, by_key: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``classify`` and ``leftovers`` over the same copies, so that their shuffle is planned once."""
+    return classify(source, target, strategy, by_key), leftovers(source, target, strategy, by_key)
 
 
 def leftovers(source: DataFrame, target: DataFrame, strategy: Strategy | str | None = None, by_key: bool = False) -> DataFrame:
@@ -183,9 +188,8 @@ def leftovers_by_digest(
 ) -> DataFrame:
     """Same result as ``leftovers`` for wide rows: digests are shuffled, payloads only of keys that differ.
 
-    The differing digests are written to the checkpoint folder first. If what was written is small
-    it is broadcast and both sides are read again without a shuffle; otherwise they are joined by
-    shuffle after their copies have been folded.
+    The differing digests are computed once, into the checkpoint folder. Payloads are then found by a join in which
+    copies have been folded; how it is carried out is left to adaptive execution.
     """
     spark = source.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -196,31 +200,16 @@ def leftovers_by_digest(
     digests = [_digested(side, strategy).select(KEY, "digest") for side in (source, target)]
     copies = _copies(*digests)
     open_pairs = copies.filter(f"{_MORE} <> 0").selectExpr(KEY, "digest", f"{_MORE} > 0 AS on_source").checkpoint()
-    size = open_pairs.selectExpr(f"coalesce(sum(octet_length({KEY}) + 64), 0) AS bytes").first().bytes
-    fits = size <= _broadcast_limit(spark)
 
     def payloads(side: DataFrame, on_source: bool) -> DataFrame:
-        rows = _digested(side, strategy)
         pairs = open_pairs.filter("on_source" if on_source else "NOT on_source").select(KEY, "digest")
-        if fits:
-            pairs = F.broadcast(pairs)
-        else:
-            rows = _grouped(rows, [KEY, "digest"], "max(payload) AS payload")
-        kept = rows.join(pairs, [KEY, "digest"], "left_semi")
+        kept = _digested(side, strategy).join(pairs, [KEY, "digest"], "left_semi")
         return kept.selectExpr(KEY, "payload", f"{str(on_source).lower()} AS on_source")
 
     found = payloads(source, True).unionAll(payloads(target, False))
     return _folded(found, "on_source", "NOT on_source")
 
 
-def _broadcast_limit(spark) -> int:
-    """The session's own limit for broadcast sides, in bytes; none when broadcasting is off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    number = text.rstrip("b")
-    return int(float(number[:-1]) * units[number[-1]]) if number[-1:] in units else int(number)
-
-
 def status_counts() -> list[Column]:
     """The six counts, as aggregates over a frame of classified keys."""
     of = lambda status: f"count_if(status = '{status}')"
@@ -249,33 +238,47 @@ def reconcile_counts(
 ) -> DataFrame:
     """Counts with one row per key and side: the counting mode.
 
-    A key that repeats on a side is counted once and represented by one of its rows, the same choice
-    in every run: rows rank by a hash of their values, then rows both sides hold go first. So the
-    representatives are equal exactly when the top-ranked row of a key is held by both sides, and
-    both steps aggregate nothing but numbers. Values are compared themselves, the hash only ranks.
-    ``source_rows`` and ``target_rows`` tell how many rows there were.
+    A key that repeats on a side is counted once and represented by its row with the greatest payload, as
+    in the detail modes. Keys with one group of equal values on each side are decided on numbers; only keys
+    with several, and on both sides, have their payloads written and folded. ``source_rows`` and ``target_rows`` tell
+    how many rows there were.
     """
     both = align(source, target, strategy)
-    rank = f"xxhash64({', '.join(both.values)})"
+    copies = _copies(both.source, both.target, by_key)
     per_key = _grouped(
-        _copies(both.source, both.target, by_key),
+        copies,
         [KEY],
-        f"max({rank}) AS top",
-        f"max(CASE WHEN source_rows > 0 AND target_rows > 0 THEN {rank} END) AS top_shared",
+        "count_if(source_rows > 0) AS source_groups",
+        "count_if(target_rows > 0) AS target_groups",
+        "count_if(source_rows > 0 AND target_rows > 0) AS shared",
         "sum(source_rows) AS source_rows",
         "sum(target_rows) AS target_rows",
     )
-    in_both = "source_rows > 0 AND target_rows > 0"
-    return per_key.selectExpr(
-        "count_if(source_rows > 0) AS source_count",
-        "count_if(target_rows > 0) AS target_count",
-        f"count_if({in_both} AND top <=> top_shared) AS matched_count",
-        f"count_if({in_both} AND NOT (top <=> top_shared)) AS mismatched_count",
-        "count_if(target_rows = 0) AS source_only_count",
-        "count_if(source_rows = 0) AS target_only_count",
-        "coalesce(sum(source_rows), 0L) AS source_rows",
-        "coalesce(sum(target_rows), 0L) AS target_rows",
+    several = "source_groups > 0 AND target_groups > 0 AND (source_groups > 1 OR target_groups > 1)"
+    folded = _grouped(
+        both.with_payload(copies.join(per_key.filter(several).select(KEY), KEY, "left_semi")),
+        [KEY],
+        "max(CASE WHEN source_rows > 0 THEN payload END) AS source_payload",
+        "max(CASE WHEN target_rows > 0 THEN payload END) AS target_payload",
+    )
+    one = "source_groups = 1 AND target_groups = 1"
+    numbers = (
+        "CAST(source_groups > 0 AS LONG)",
+        "CAST(target_groups > 0 AS LONG)",
+        f"CAST({one} AND shared = 1 AS LONG)",
+        f"CAST({one} AND shared = 0 AS LONG)",
+        "CAST(target_groups = 0 AS LONG)",
+        "CAST(source_groups = 0 AS LONG)",
+        "source_rows",
+        "target_rows",
     )
+    same = "source_payload = target_payload"
+    of_folded = ("0L", "0L", f"CAST({same} AS LONG)", f"CAST(NOT ({same}) AS LONG)", "0L", "0L", "0L", "0L")
+    names = (*COUNTS, "source_rows", "target_rows")
+    parts = [
+        df.selectExpr(*[f"{e} AS {n}" for e, n in zip(exprs, names)]) for df, exprs in ((per_key, numbers), (folded, of_folded))
+    ]
+    return parts[0].unionAll(parts[1]).selectExpr(*[f"coalesce(sum({n}), 0L) AS {n}" for n in names])
 
 
 def _value(side: str, at: int | None) -> str:

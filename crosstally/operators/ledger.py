@@ -7,6 +7,8 @@ leave two active runs behind.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 import time
 from collections.abc import Mapping
@@ -66,7 +68,8 @@ RECORD_SCHEMA = T.StructType(
 # Short names accepted for statuses.
 STATUS_ALIASES = {"SOURCE": "SOURCE_ONLY", "TARGET": "TARGET_ONLY"}
 
-_PAGE_LIMIT = 1000
+# Rows a page holds at most; asking for more is an error.
+PAGE_LIMIT = 1000
 
 
 def normalize_status(status: str | None) -> str | None:
@@ -142,11 +145,34 @@ def _of_run(records: DataFrame, run_id: int, status: str | None) -> DataFrame:
     return kept if wanted is None else kept.filter(F.col("status") == wanted)
 
 
-def records_page(records: DataFrame, run_id: int, status: str | None = None, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """One page of a run's records in key order; pages hold 1 to 1000 rows."""
-    size, skipped = max(1, min(limit, _PAGE_LIMIT)), max(0, offset)
+def _check_page(limit: int, offset: int, most: int) -> None:
+    if not 1 <= limit <= most:
+        raise ConfigurationError(f"A page holds 1 to {most} records, not {limit}")
+    if offset < 0:
+        raise ConfigurationError(f"A page can't start at record {offset}")
+
+
+def records_page(
+    records: DataFrame,
+    run_id: int,
+    status: str | None = None,
+    limit: int = PAGE_LIMIT,
+    offset: int = 0,
+    after_key: str | None = None,
+    most: int = PAGE_LIMIT,
+) -> DataFrame:
+    """One page of a run's records in key order, of ``limit`` rows (1 to ``most``).
+
+    ``after_key`` starts behind the last key of the page before: a filter that reaches the scan, while an
+    ``offset`` has to gather all rows it skips and suits the first pages only.
+    """
+    _check_page(limit, offset, most)
     columns = [c for c in records.columns if c not in ("run_id", "created_at", "created_by")]
-    return _of_run(records, run_id, status).select(*columns).orderBy(KEY).offset(skipped).limit(size)
+    kept = _of_run(records, run_id, status)
+    if after_key is not None:
+        kept = kept.filter(F.col(KEY) > after_key)
+    page = kept.select(*columns).orderBy(KEY)
+    return (page.offset(offset) if offset else page).limit(limit)
 
 
 def records_total(records: DataFrame, run_id: int, status: str | None = None) -> DataFrame:
@@ -172,6 +198,12 @@ def new_run_id() -> int:
     return (time.time_ns() // 1_000_000 << 20) | random.getrandbits(20)
 
 
+def _owner(domain_id: str, profile_id: str | None) -> str:
+    """Folder name of whose runs these are: a digest, so that any id makes a plain name and prunes exactly."""
+    text = json.dumps([domain_id, profile_id])
+    return "h" + hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
 class Ledger:
     """Run events and records below one folder that all executors share."""
 
@@ -192,11 +224,33 @@ class Ledger:
         """Write one event to a folder of its own, so that runs side by side do not share a committer."""
         event = {**row, "event_ts": datetime.now(timezone.utc)}
         values = tuple(event.get(f.name) for f in RUN_SCHEMA.fields)
-        path = f"{self._events_path}/run_id={row['run_id']}/state={row['status']}"
-        df = self.spark.createDataFrame([values], RUN_SCHEMA).drop("run_id")
-        df.coalesce(1).write.mode("overwrite").parquet(path)
+        place = f"owner={_owner(row['domain_id'], row['profile_id'])}/batch={row['run_id']}-{row['status']}"
+        df = self.spark.createDataFrame([values], RUN_SCHEMA)
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self._events_path}/{place}")
         return dict(row)
 
+    def compact(self, domain_id: str, profile_id: str | None = None) -> int:
+        """Put the finished runs of a profile (or of a domain's own runs) into one folder; the number of folders replaced.
+
+        The new folder is complete before an old one goes. Readers in between may see an event twice, which changes
+        nothing: a run is its latest event. Runs that haven't ended keep their folders.
+        """
+        owner = f"{self._events_path}/owner={_owner(domain_id, profile_id)}"
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(owner).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        if not fs.exists(hadoop_path(owner)):
+            return 0
+        own = self.events().filter(F.col("owner") == _owner(domain_id, profile_id))
+        ended = current_runs(own.drop("owner", "batch")).filter(F.col("status") != "RUNNING").select("run_id")
+        kept = own.join(ended, "run_id")
+        old = [r.batch for r in kept.select("batch").distinct().collect()]
+        if len(old) < 2:
+            return 0
+        kept.select(*RUN_SCHEMA.fieldNames()).coalesce(1).write.parquet(f"{owner}/batch=all-{new_run_id()}")
+        for batch in old:
+            fs.delete(hadoop_path(f"{owner}/batch={batch}"), True)
+        return len(old)
+
     def start(self, domain_id: str, profile_id: str | None = None, **details: Any) -> dict[str, Any]:
         """Open a run; ``details`` are further columns of the run row."""
         now = datetime.now(timezone.utc)
@@ -238,32 +292,44 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(path)
 
     def events(self) -> DataFrame:
-        return self._read(self._events_path, RUN_SCHEMA).select(*RUN_SCHEMA.fieldNames())
+        """All events, with the partition columns ``owner`` and ``batch``."""
+        partitioned = T.StructType([*RUN_SCHEMA.fields, T.StructField("owner", _text), T.StructField("batch", _text)])
+        return self._read(self._events_path, partitioned)
+
+    def _events_of(self, domain_id: str, profile_id: str | None) -> DataFrame:
+        """One profile's events; the filter prunes folders."""
+        own = (F.col("domain_id") == domain_id) & F.col("profile_id").eqNullSafe(F.lit(profile_id))
+        return self.events().filter((F.col("owner") == _owner(domain_id, profile_id)) & own).drop("owner", "batch")
 
     def runs(self) -> DataFrame:
-        return current_runs(self.events())
+        return current_runs(self.events().drop("owner", "batch"))
+
+    def runs_of(self, domain_id: str, profile_id: str | None) -> DataFrame:
+        return current_runs(self._events_of(domain_id, profile_id))
 
     def records(self) -> DataFrame:
         """All records; a filter on ``run_id`` reads only that run's folder."""
         return self._read(self._records_path, RECORD_SCHEMA)
 
     def run(self, run_id: int) -> dict[str, Any] | None:
-        row = current_runs(self.events().filter(F.col("run_id") == run_id)).first()
+        row = self.runs().filter(F.col("run_id") == run_id).first()
         return None if row is None else row.asDict()
 
     def active(self, domain_id: str, profile_id: str | None) -> dict[str, Any] | None:
-        own = (F.col("domain_id") == domain_id) & F.col("profile_id").eqNullSafe(F.lit(profile_id))
-        row = active_runs(current_runs(self.events().filter(own))).first()
+        row = active_runs(self.runs_of(domain_id, profile_id)).first()
         return None if row is None else row.asDict()
 
-    def page(self, run_id: int, status: str | None = None, limit: int = 1000, offset: int = 0) -> dict[str, Any]:
-        """A page of records with the total, as plain Python values."""
-        rows = [r.asDict() for r in records_page(self.records(), run_id, status, limit, offset).collect()]
+    def page(
+        self, run_id: int, status: str | None = None, limit: int = PAGE_LIMIT, offset: int = 0, after_key: str | None = None
+    ) -> dict[str, Any]:
+        """A page of records with the total, as plain Python values; ``next_key`` is the ``after_key`` of the next one."""
+        rows = [r.asDict() for r in records_page(self.records(), run_id, status, limit, offset, after_key).collect()]
         return {
             "run_id": run_id,
             "status": normalize_status(status),
-            "limit": max(1, min(limit, _PAGE_LIMIT)),
-            "offset": max(0, offset),
+            "limit": limit,
+            "offset": offset,
+            "next_key": rows[-1][KEY] if len(rows) == limit else None,
             "total": records_total(self.records(), run_id, status).first()["total"],
             "page_size": len(rows),
             "records": rows,

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import comparable
+from ..functions.keys import KEY
 from ..plans.catalog import Catalog
 from ..plans.settings import CompareMode, CompareSettings
 from ..plans.spec import Profile
 from ..plans.window import RunScope, Window, resolve_scope, resolve_window
 from ..sources.extract import extract, stored_statement
-from .compare import COUNTS, MATCHED, classify_with_payloads, reconcile_counts, records_of, status_counts
+from .compare import COUNTS, numbers_and_leftovers, reconcile_counts, records_of, status_counts
 from .incremental import chain_of_runs, delta, latest_records
 from .ledger import Ledger
 
@@ -25,7 +26,8 @@ class Runner:
 
     ``baseline="previous"`` compares an incremental run with the records of the active run alone;
     ``"chained"`` with the latest record of each key since the last full run.
-    ``by_key`` is handed to the comparison (see ``compare.classify``).
+    ``by_key`` is handed to every comparison (see ``compare.classify``); set it on a profile to say that this
+    profile's keys are nearly unique.
     """
 
     def __init__(
@@ -108,16 +110,19 @@ class Runner:
     def _compare(self, run, profile: Profile, settings: CompareSettings, window, scope, baseline_id) -> Mapping[str, int]:
         source, target = self.sides(profile, window)
         if settings.resolved_mode is CompareMode.COUNTS:
-            return reconcile_counts(source, target, profile.strategy, self.by_key).first().asDict()
-        per_key = classify_with_payloads(source, target, profile.strategy, self.by_key)
-        # Counts are taken while the records are written. The observed frame is in the stage that
-        # writes, after the last shuffle, so recomputed tasks are not counted twice.
+            return reconcile_counts(source, target, profile.strategy, profile.by_key or self.by_key).first().asDict()
+        # Numbers of all keys and texts of differing ones come from one shuffle of copies. The numbers are
+        # observed in the stage that writes, after the last shuffle, so recomputed tasks are not counted twice;
+        # their branch adds no row.
         observation = Observation()
-        observed = per_key.observe(observation, *status_counts())
+        per_key, differing = numbers_and_leftovers(source, target, profile.strategy, profile.by_key or self.by_key)
+        observed = per_key.observe(observation, *status_counts()).filter("source_rows < 0")
+        absent = [f"CAST(NULL AS STRING) AS {side}_payload" for side in ("source", "target")]
+        differing = differing.unionByName(observed.selectExpr(KEY, *absent, "status"))
         width = max(len(comparable(source)), len(comparable(target)))
         names = profile.source.comparable_fields or profile.target.comparable_fields
         records = records_of(
-            observed.filter(F.col("status") != MATCHED),
+            differing,
             settings.resolved_mode,
             names,
             settings.condition_fields,
@@ -131,9 +136,13 @@ class Runner:
         # An incremental run joins with its baseline, so the differing records are written first:
         # the counts stay in a writing stage, and the join knows how large its inputs are.
         staged = self._staging_path(run)
-        records.write.mode("overwrite").parquet(staged)
-        current = self.spark.read.schema(records.schema).parquet(staged)
-        self.ledger.write_records(run, delta(current, self._baseline(profile, baseline_id)))
+        try:
+            records.write.mode("overwrite").parquet(staged)
+            current = self.spark.read.schema(records.schema).parquet(staged)
+            self.ledger.write_records(run, delta(current, self._baseline(profile, baseline_id)))
+        finally:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         return observation.get
 
     def _staging_path(self, run: Mapping[str, Any]) -> str:
@@ -144,9 +153,7 @@ class Runner:
         records = self.ledger.records()
         if self.baseline == "previous":
             return records.filter(F.col("run_id") == baseline_id)
-        own = self.ledger.runs().filter(
-            (F.col("domain_id") == profile.domain_id) & (F.col("profile_id") == profile.profile_id)
-        )
+        own = self.ledger.runs_of(profile.domain_id, profile.profile_id)
         # The ids of one profile's runs since its last full run; as literals they select folders to read.
         chain = [r.run_id for r in chain_of_runs(own).select("run_id").collect()]
         return latest_records(records.filter(F.col("run_id").isin(chain)))

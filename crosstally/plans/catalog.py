@@ -82,8 +82,10 @@ class Catalog:
             "source": self._side(profile.source, first(profile.source_datasource, domain.source_datasource)),
             "target": self._side(profile.target, first(profile.target_datasource, domain.target_datasource)),
         }
+        batch_size = first(profile.batch_size, domain.batch_size, self.defaults.batch_size)
         sides = {
-            role: side.patched(key=key, identifiers=identifiers) for role, side in sides.items()
+            role: replace(side.patched(key=key, identifiers=identifiers), batch_size=first(side.batch_size, batch_size))
+            for role, side in sides.items()
         }
         return replace(
             profile,
@@ -95,7 +97,7 @@ class Catalog:
             settings=profile.settings.inherit(domain.settings, self.defaults.mode),
             strategy=first(profile.strategy, domain.strategy, self.defaults.strategy),
             query_dir=first(profile.query_dir, domain.query_dir, self.defaults.query_dir),
-            batch_size=first(profile.batch_size, domain.batch_size, self.defaults.batch_size),
+            batch_size=batch_size,
         )
 
     def _side(self, side: SideSpec, inherited: str | None) -> SideSpec:
@@ -115,20 +117,18 @@ class Catalog:
 
     def resolve_profile(self, ref: str | None, domain: str | None = None) -> Profile:
         """``domain.profile``, or a profile id that is unique, or an id inside the hinted domain."""
-        if blank(ref):
-            raise ConfigurationError("profile is required (id, name, or domain.profile)")
-        ref = ref.strip()
-        hint = None if blank(domain) else domain.strip()
-        head, dot, tail = ref.partition(".")
-        if dot and head and tail:
-            if hint is not None and hint.lower() != head.lower():
-                raise ConfigurationError(f"domain '{hint}' does not match profile ref '{ref}'")
-            return self.profile(head, tail)
-        if hint is not None:
-            return self.profile(hint, ref)
-        matches = [p for p in self.profiles() if ref.lower() in (p.profile_id.lower(), p.qualified_id.lower())]
-        if not matches:
-            raise ConfigurationError(f"Unknown profile: {ref}")
-        if len(matches) > 1:
-            raise ConfigurationError(f"Ambiguous profile '{ref}'; qualify as domain.profile or pass domain")
-        return matches[0]
+        wanted, within = (ref or "").strip(), (domain or "").strip()
+        if not wanted:
+            raise ConfigurationError("Name the profile to run")
+        named = wanted.split(".", 1)
+        if len(named) == 2 and all(named):
+            if within and within.casefold() != named[0].casefold():
+                raise ConfigurationError(f"Profile {wanted} was asked for within another domain, {within}")
+            return self.profile(*named)
+        if within:
+            return self.profile(within, wanted)
+        holders = [(d.id, p) for d in self.domains.values() for p in d.profiles if p.casefold() == wanted.casefold()]
+        if len(holders) != 1:
+            which = ", ".join(d for d, _ in holders) or "no domain"
+            raise ConfigurationError(f"Profile {wanted} has to be found in one domain, it is in {which}")
+        return self.profile(*holders[0])

@@ -190,6 +190,7 @@ class SideSpec:
     identifiers: tuple[str, ...] | None = None
     fields: tuple[str, ...] = ()
     distinct: bool = False
+    batch_size: int | None = None  # rows a relational reader fetches at once
 
     def __post_init__(self):
         put = lambda name, value: object.__setattr__(self, name, value)
@@ -258,6 +259,7 @@ class Profile:
     target_datasource: str | None = None
     query_dir: str | Path | None = None
     batch_size: int | None = None
+    by_key: bool = False  # no key holds a large share of the rows
     tags: tuple[str, ...] = ()
     domain_id: str | None = None
     profile_id: str | None = None

@@ -77,7 +77,7 @@ def bind_sql(
     return _MARKERS.sub(rename, statement), args
 
 
-def _sql_literal(value: Any) -> str:
+def _sql_literal(value: Any, zoned: str = "TIMESTAMP") -> str:
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -86,8 +86,8 @@ def _sql_literal(value: Any) -> str:
         return str(value)
     if isinstance(value, datetime):
         moment = value.astimezone(timezone.utc) if value.tzinfo else value
-        suffix = "+00:00" if value.tzinfo else ""
-        return f"TIMESTAMP '{moment.strftime('%Y-%m-%d %H:%M:%S.%f')}{suffix}'"
+        kind, suffix = (zoned, "+00:00") if value.tzinfo else ("TIMESTAMP", "")
+        return f"{kind} '{moment.strftime('%Y-%m-%d %H:%M:%S.%f')}{suffix}'"
     if isinstance(value, date):
         return f"DATE '{value.isoformat()}'"
     text = str(value)
@@ -96,8 +96,13 @@ def _sql_literal(value: Any) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def inline_sql(statement: str, params: Sequence[Any] = (), window: Window | None = None) -> str:
-    """Statement with escaped literals, for stores that take text only (``query`` option of a reader)."""
+def inline_sql(
+    statement: str, params: Sequence[Any] = (), window: Window | None = None, zoned: str = "TIMESTAMP"
+) -> str:
+    """Statement with escaped literals, for stores that take text only (``query`` option of a reader).
+
+    ``zoned`` is what the store calls a timestamp literal whose zone counts.
+    """
     _check_count("Query", count_markers(statement), params)
     values = iter(params)
 
@@ -105,8 +110,8 @@ def inline_sql(statement: str, params: Sequence[Any] = (), window: Window | None
         if match["quoted"]:
             return match["quoted"]
         if match["mark"]:
-            return _sql_literal(next(values))
-        return match.group(0) if window is None else _sql_literal(getattr(window, match["token"].lower()))
+            return _sql_literal(next(values), zoned)
+        return match.group(0) if window is None else _sql_literal(getattr(window, match["token"].lower()), zoned)
 
     return _MARKERS.sub(literal, statement)
 

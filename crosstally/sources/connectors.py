@@ -14,7 +14,10 @@ from ..errors import ConfigurationError
 from ..plans.spec import Datasource, SideSpec, SourceKind, blank
 from ..plans.window import Window
 from .binding import bind_filter, inline_sql
+from .documents import filter_paths
 
+# Relational stores ignore the zone in a plain timestamp literal; the warehouse's plain literal has one.
+_ZONED = {SourceKind.postgres: "TIMESTAMP WITH TIME ZONE"}
 _PARALLEL = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 
 
@@ -58,7 +61,7 @@ def warehouse_url(source: Datasource) -> str:
         return given
     project = source.options.get("project_id")
     if blank(project):
-        raise ConfigurationError(f"Warehouse datasource [{source.name}] requires jdbc_url or project_id")
+        raise ConfigurationError(f"Give datasource [{source.name}] a project_id or a jdbc_url")
     # Host, port and authentication codes of the warehouse's JDBC URL.
     parts = ["jdbc:bigquery://https://www.googleapis.com/bigquery/v2:443", f"ProjectId={project}"]
     key_file = source.options.get("credentials_file")
@@ -87,13 +90,13 @@ def warehouse_options(source: Datasource, statement: str) -> tuple[str, dict[str
 def document_options(source: Datasource, side: SideSpec, filter_text: str | None, window: Window | None) -> dict[str, str]:
     """Options of ``format("mongodb")``: filter and projection run in the store as a pipeline."""
     if blank(source.options.get("uri")):
-        raise ConfigurationError(f"Document datasource [{source.name}] requires uri")
+        raise ConfigurationError(f"Give datasource [{source.name}] the uri of its store")
     if blank(side.collection):
-        raise ConfigurationError("Document sides require collection")
+        raise ConfigurationError("A document side names its collection")
     if side.key is None:
         raise ConfigurationError("Document sides need a key")
     bound = bind_filter(filter_text, side.query_params, window)
-    paths = [*(side.key.columns or (side.key.expression,)), *side.comparable_fields]
+    paths = [*(side.key.columns or (side.key.expression,)), *side.comparable_fields, *filter_paths(bound)]
     projection = {path: 1 for path in dict.fromkeys(paths)}
     pipeline = ([{"$match": bound}] if bound else []) + [{"$project": projection}]
     return {
@@ -108,4 +111,4 @@ def pushed_statement(side: SideSpec, kind: SourceKind, statement: str | None, wi
     """SQL text for a store: the side's own query with escaped literals, else the generated SELECT."""
     if statement is None:
         return side.generated_sql(kind)
-    return inline_sql(statement, side.query_params, window)
+    return inline_sql(statement, side.query_params, window, _ZONED.get(kind, "TIMESTAMP"))

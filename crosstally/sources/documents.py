@@ -142,8 +142,55 @@ def _any_of(column: Column, values: Any, dtype: T.DataType) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _list_of(column: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
+    """A list column; JSON text that holds a list is read as one, anything else has none."""
+    if isinstance(dtype, T.ArrayType):
+        return column, dtype.elementType
+    if isinstance(dtype, T.StringType):
+        return F.when(F.ltrim(column).startswith("["), F.from_json(column, "array<string>")), T.StringType()
+    return F.lit(None).cast("array<string>"), T.StringType()
+
+
+def _matches(column: Column, pattern: Any, options: str, dtype: T.DataType) -> Column:
+    flags = "".join(o for o in options if o in "imsx")
+    if not isinstance(pattern, str) or len(flags) < len(options):
+        raise ConfigurationError("$regex takes a text, and options out of i, m, s, x")
+    text = f"(?{flags}){pattern}" if flags else pattern
+    return _on_items(column, dtype, lambda c, t: c.rlike(text) if isinstance(t, T.StringType) else F.lit(False))
+
+
+def _member(column: Column, dtype: T.DataType, path: str) -> tuple[Column, T.DataType]:
+    """The value at a dotted path below a list item."""
+    for part in path.split("."):
+        members = {f.name: f.dataType for f in dtype.fields} if isinstance(dtype, T.StructType) else {}
+        if isinstance(dtype, T.StringType):
+            column = F.get_json_object(column, f"$['{part}']")
+        elif part in members:
+            column, dtype = column.getField(part), members[part]
+        else:
+            return F.lit(None).cast("string"), T.StringType()
+    return column, dtype
+
+
+def _any_item(column: Column, dtype: T.DataType, condition: Any) -> Column:
+    if not isinstance(condition, Mapping):
+        raise ConfigurationError("$elemMatch takes a document")
+    items, kind = _list_of(column, dtype)
+    on_value = bool(condition) and all(k.startswith("$") and k not in ("$and", "$or", "$nor") for k in condition)
+
+    def test(item: Column) -> Column:
+        if on_value:
+            return _test(item, kind, condition)
+        return _joined(condition, lambda path, inner: _test(*_member(item, kind, path), inner))
+
+    return F.exists(items, test)
+
+
 def _condition(df: DataFrame, path: str, condition: Any) -> Column:
-    column, dtype = path_column(df, path)
+    return _test(*path_column(df, path), condition)
+
+
+def _test(column: Column, dtype: T.DataType, condition: Any) -> Column:
     operators = isinstance(condition, Mapping) and condition and all(k.startswith("$") for k in condition)
     if not operators or _plain(condition) is not condition:
         return _equals(column, condition, dtype)
@@ -163,6 +210,28 @@ def _condition(df: DataFrame, path: str, condition: Any) -> Column:
             tests.append(~settled(_any_of(column, value, dtype)))
         elif operator == "$exists":
             tests.append(column.isNotNull() if value else column.isNull())
+        elif operator == "$not":
+            inner = {"$regex": value} if isinstance(value, str) else value
+            if not isinstance(inner, Mapping):
+                raise ConfigurationError("$not takes operators or a pattern")
+            tests.append(~settled(_test(column, dtype, inner)))
+        elif operator == "$regex":
+            tests.append(_matches(column, value, condition.get("$options", ""), dtype))
+        elif operator == "$options" and "$regex" in condition:
+            continue
+        elif operator == "$size":
+            tests.append(F.size(_list_of(column, dtype)[0]) == F.lit(_plain(value)))
+        elif operator == "$all":
+            if not isinstance(value, list):
+                raise ConfigurationError("$all takes a list")
+            items, kind = _list_of(column, dtype)
+            alone = F.lit(False) if isinstance(dtype, T.ArrayType) else settled(_equals(column, value[0], dtype)) if len(
+                value) == 1 else F.lit(False)
+            held = lambda wanted: settled(F.exists(items, lambda i: settled(_equals(i, wanted, kind))))
+            each = [held(v) for v in value]
+            tests.append(alone | reduce(lambda a, b: a & b, each, F.lit(bool(value))))
+        elif operator == "$elemMatch":
+            tests.append(_any_item(column, dtype, value))
         else:
             raise ConfigurationError(f"Unsupported filter operator: {operator}")
     return reduce(lambda a, b: a & b, tests)
@@ -170,24 +239,41 @@ def _condition(df: DataFrame, path: str, condition: Any) -> Column:
 
 def filter_column(df: DataFrame, document: Mapping[str, Any]) -> Column:
     """Predicate for a bound filter document; an empty document keeps everything."""
+    return _joined(document, lambda path, condition: _condition(df, path, condition))
+
+
+def filter_paths(document: Mapping[str, Any]) -> list[str]:
+    """Paths that a bound filter document looks at."""
+    paths: list[str] = []
+    for name, condition in document.items():
+        if name in ("$and", "$or", "$nor"):
+            paths += [p for branch in condition for p in filter_paths(branch)]
+        elif not name.startswith("$"):
+            paths.append(name)
+    return list(dict.fromkeys(paths))
+
+
+def _joined(document: Mapping[str, Any], test) -> Column:
     tests = []
     for name, condition in document.items():
         if name in ("$and", "$or", "$nor"):
             if not isinstance(condition, list) or not condition:
                 raise ConfigurationError(f"{name} takes a non-empty list")
-            branches = [filter_column(df, branch) for branch in condition]
+            branches = [_joined(branch, test) for branch in condition]
             join = (lambda a, b: a & b) if name == "$and" else (lambda a, b: a | b)
             joined = reduce(join, branches)
             tests.append(~F.coalesce(joined, F.lit(False)) if name == "$nor" else joined)
         elif name.startswith("$"):
             raise ConfigurationError(f"Unsupported filter operator: {name}")
         else:
-            tests.append(_condition(df, name, condition))
+            tests.append(test(name, condition))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def extract_documents(df: DataFrame, side: SideSpec, filter_text: str | None = None, window: Window | None = None) -> DataFrame:
-    """Filter documents, then project the key and the comparable paths.
+def extract_documents(
+    df: DataFrame, side: SideSpec, filter_text: str | None = None, window: Window | None = None, filtered: bool = False
+) -> DataFrame:
+    """Filter documents (unless the store has ``filtered`` them), then project the key and the comparable paths.
 
     Document types become text here, so that a list or a nested document compares with the text
     another store holds for it.
@@ -196,7 +282,7 @@ def extract_documents(df: DataFrame, side: SideSpec, filter_text: str | None = N
         raise ConfigurationError("Document sides need fields and/or identifiers, in the order of the other side")
     if side.key is None:
         raise ConfigurationError("Document sides need a key")
-    bound = bind_filter(side.query if filter_text is None else filter_text, side.query_params, window)
+    bound = {} if filtered else bind_filter(side.query if filter_text is None else filter_text, side.query_params, window)
     kept = df.filter(filter_column(df, bound)) if bound else df
 
     def key_part(path: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from ..plans.window import Window
 from . import connectors
 from .binding import bind_sql
 from .documents import extract_documents, read_json_documents
-from .files import FileTable, read_file_table
+from .files import FileTable, read_named_table
 
 Reader = Callable[[SparkSession, SideSpec, "Datasource | None", "str | None", "Window | None"], DataFrame]
 
@@ -64,9 +65,26 @@ def select_side(df: DataFrame, side: SideSpec) -> DataFrame:
     return selected.distinct() if side.distinct else selected
 
 
-def run_query(spark: SparkSession, side: SideSpec, statement: str, window: Window | None) -> DataFrame:
+def run_query(
+    spark: SparkSession,
+    side: SideSpec,
+    statement: str,
+    window: Window | None,
+    tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Run a side's SQL. ``tables`` are known to this statement only, whatever else bears their names."""
     sql, args = bind_sql(statement, side.query_params, window)
-    return spark.sql(sql, args=args)
+    if not tables:
+        return spark.sql(sql, args=args)
+    views = {name: f"ct_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+        known = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {known} SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)", args=args)
+    finally:
+        for view in views.values():  # the statement has been resolved
+            spark.catalog.dropTempView(view)
 
 
 def _read_table(spark, side, source, statement, window):
@@ -78,15 +96,15 @@ def _read_table(spark, side, source, statement, window):
 def _read_files(spark, side, source, statement, window):
     if source is None:
         raise ConfigurationError("File sides require a file datasource")
-    table = read_file_table(spark, FileTable.of(source))
-    return run_query(spark, side, statement, window) if statement is not None else select_side(table, side)
+    name, table = read_named_table(spark, FileTable.of(source))
+    return run_query(spark, side, statement, window, {name: table}) if statement is not None else select_side(table, side)
 
 
 def _read_jdbc(spark, side, source, statement, window):
     if source is None:
         raise ConfigurationError("Relational sides require a datasource")
     pushed = connectors.pushed_statement(side, SourceKind.postgres, statement, window)
-    return spark.read.format("jdbc").options(**connectors.jdbc_options(source, pushed)).load()
+    return spark.read.format("jdbc").options(**connectors.jdbc_options(source, pushed, side.batch_size)).load()
 
 
 def _read_warehouse(spark, side, source, statement, window):
@@ -103,8 +121,12 @@ def _read_documents(spark, side, source, statement, window):
     if not blank(options.get("path")):
         documents = read_json_documents(spark, f"{options['path'].rstrip('/')}/{side.collection}", options.get("document_schema"))
     elif not blank(options.get("uri")):
+        if options.get("document_schema") is None:
+            # The reader would infer a schema from a sample, and a path the sample lacks would read as NULL.
+            raise ConfigurationError(f"Datasource [{source.name}] needs document_schema: the types of its key and fields")
         read = connectors.document_options(source, side, statement, window)
-        documents = spark.read.format("mongodb").options(**read).load()
+        documents = spark.read.format("mongodb").schema(options["document_schema"]).options(**read).load()
+        return extract_documents(documents, side, filtered=True)  # the store has filtered
     elif blank(side.collection):
         raise ConfigurationError("Document sides require collection")
     else:

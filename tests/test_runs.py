@@ -145,7 +145,12 @@ def test_pages(spark):
     )
     page = [r.migration_key for r in ct.records_page(records, 1, limit=3, offset=4).collect()]
     assert page == ["00004", "00005", "00006"]
-    assert ct.records_page(records, 1, limit=9999).count() == 1000 and ct.records_page(records, 1, limit=0).count() == 1
+    for odd in (dict(limit=9999), dict(limit=0), dict(offset=-1)):
+        with pytest.raises(ConfigurationError):
+            ct.records_page(records, 1, **odd)
+    after = [r.migration_key for r in ct.records_page(records, 1, limit=3, after_key="00006").collect()]
+    assert after == ["00007", "00008", "00009"]
+    assert ct.records_page(records, 1, limit=2000, most=5000).count() == 2000
     assert ct.records_total(records, 1, "source").first().total == 5
 
 
@@ -206,10 +211,10 @@ def test_profiles_are_found_by_reference():
     assert c.resolve_profile("party.own").profile_id == "own" == c.resolve_profile("OWN").profile_id
     assert c.resolve_profile("plain", "other").domain_id == "other"
     for ref, domain, message in (
-        ("plain", None, "Ambiguous"),
-        ("nope", None, "Unknown profile"),
-        ("party.own", "other", "does not match"),
-        (" ", None, "required"),
+        ("plain", None, "found in one domain"),
+        ("nope", None, "no domain"),
+        ("party.own", "other", "another domain"),
+        (" ", None, "Name the profile"),
         ("x.y", None, "Unknown domain"),
     ):
         with pytest.raises(ConfigurationError, match=message):

@@ -1,12 +1,15 @@
+import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pytest
 
 import crosstally as ct
-from crosstally import ConfigurationError, Datasource, KeySpec, SideSpec, Window
+from crosstally import Catalog, ConfigurationError, Datasource, Domain, KeySpec, Profile, SideSpec, Window
 from crosstally.plans.spec import SourceKind
 from crosstally.sources import FileTable, bind_filter, bind_sql, column_names, extract, inline_sql, matching_files, read_file_table
 from crosstally.sources import connectors, stored_statement
+from crosstally.sources.documents import extract_documents
 from crosstally.sources.binding import filter_needs_window, needs_window
 from workloads.workbooks import workbook
 
@@ -203,7 +206,7 @@ def test_document_side_errors(spark, party):
         (SideSpec(collection="party", key="id"), "fields"),
         (SideSpec(collection="party", fields=("name",)), "key"),
         (party.patched(key=KeySpec.defined("upper(id)")), "field path"),
-        (party.patched(query='{"a": {"$regex": "x"}}'), "Unsupported"),
+        (party.patched(query='{"a": {"$where": "x"}}'), "Unsupported"),
     ):
         with pytest.raises(ConfigurationError, match=message):
             extract(spark, side)
@@ -223,13 +226,13 @@ HEADER = "party_id,party_name,country_code,status\n"
 
 def test_csv_files_make_one_table(spark, tmp_path):
     (tmp_path / "party_20240101.csv").write_text("﻿" + HEADER + 'P1,"Acme, ""Inc""",US,ACTIVE,extra\n\n', encoding="utf-8")
-    (tmp_path / "party_20240102.csv").write_text(HEADER + "P2,  ,IN\n")
+    (tmp_path / "party_20240102.csv").write_text(HEADER + "P2, \t\u2003,IN\n", encoding="utf-8")
     (tmp_path / "other.csv").write_text("party_id\nX\n")
     table = FileTable("csv", str(tmp_path), r"party_\d+[.]csv")
     assert [p.rsplit("/", 1)[1] for p in matching_files(spark, table)] == ["party_20240101.csv", "party_20240102.csv"]
     rows = sorted(tuple(r) for r in read_file_table(spark, table).collect())
     assert rows == [("P1", 'Acme, "Inc"', "US", "ACTIVE"), ("P2", None, "IN", None)]
-    assert spark.table("party").count() == 2
+    assert spark.table("party").count() == 3  # a view of that name stays what it is
 
 
 def test_csv_without_header_and_other_delimiter(spark, tmp_path):
@@ -248,11 +251,11 @@ def test_nested_folders_match_by_relative_path(spark, tmp_path):
 def test_file_errors(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k\n1\n")
     for table, message in (
-        (FileTable("f", str(tmp_path), "("), "not valid regex"),
-        (FileTable("f", str(tmp_path), "zzz[.]csv"), "matched no"),
+        (FileTable("f", str(tmp_path), "("), "can't be compiled"),
+        (FileTable("f", str(tmp_path), "zzz[.]csv"), "fits pattern"),
         (FileTable("f", str(tmp_path / "nope")), "does not exist"),
-        (FileTable("f", ""), "requires path"),
-        (FileTable("f", str(tmp_path), format="pdf"), "Unsupported"),
+        (FileTable("f", ""), "No folder or file"),
+        (FileTable("f", str(tmp_path), format="pdf"), "can't be read"),
     ):
         with pytest.raises(ConfigurationError, match=message):
             matching_files(spark, table)
@@ -280,7 +283,7 @@ def test_workbooks_make_one_table(spark, tmp_path, shared):
     side = SideSpec(datasource="books", table="books", key="party_id", fields=tuple(head[1:]))
     rows = sorted(tuple(r) for r in extract(spark, side, {"books": source}).collect())
     assert rows == [("P1", "Acme <&>", "US", "10", "TRUE"), ("P2", None, "IN", "2.5", "FALSE")]
-    with pytest.raises(Exception, match="sheet not found"):
+    with pytest.raises(Exception, match="no sheet named"):
         read_file_table(spark, FileTable("b", str(tmp_path), ".*[.]xlsx", sheet="nope", table="b")).count()
 
 
@@ -341,6 +344,64 @@ def test_warehouse_and_document_options():
     documents = Datasource("m", "mongo", options={"uri": "mongodb://h", "database": "d"})
     side = SideSpec(collection="party", key=KeySpec.composite(["id", "cc"]), fields=("name", "cc"), query_params=("A",))
     options = connectors.document_options(documents, side, '{"status": "?"}', None)
-    assert options["aggregation.pipeline"] == '[{"$match": {"status": "A"}}, {"$project": {"id": 1, "cc": 1, "name": 1}}]'
+    assert options["aggregation.pipeline"] == '[{"$match": {"status": "A"}}, {"$project": {"id": 1, "cc": 1, "name": 1, "status": 1}}]'
     with pytest.raises(ConfigurationError, match="uri"):
         connectors.document_options(Datasource("m", "mongo"), side, "{}", None)
+
+
+def test_store_filter_is_not_applied_again(spark):
+    """A store that has filtered gives key, fields and filter paths; a filter path need not be a compared field."""
+    source = Datasource("m", "mongo", options={"uri": "mongodb://h", "document_schema": "id INT, name STRING, ts STRING"})
+    side = SideSpec(datasource="m", collection="party", key="id", fields=("name",), query='{"ts": {"$gt": ":since"}, "$or": [{"k.z": 1}]}')
+    window = Window(datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 2, 1, tzinfo=timezone.utc))
+    pipeline = json.loads(connectors.document_options(source, side, side.query, window)["aggregation.pipeline"])
+    assert pipeline[0]["$match"]["ts"] == {"$gt": "2024-01-01T00:00:00Z"} and set(pipeline[1]["$project"]) == {"id", "name", "ts", "k.z"}
+    projected = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, name STRING")
+    assert extract_documents(projected, side, filtered=True).count() == 2
+    with pytest.raises(ConfigurationError, match="document_schema"):
+        extract(spark, side, {"m": Datasource("m", "mongo", options={"uri": "mongodb://h"})}, window)
+
+
+@pytest.mark.parametrize("text, expected", [
+    ('{"tags": {"$size": 2}}', "1"), ('{"tags": {"$all": ["a", "b"]}}', "1"), ('{"tags": {"$all": ["a"]}}', "13"),
+    ('{"name": {"$regex": "^A"}}', "1"), ('{"name": {"$regex": "^a", "$options": "i"}}', "1"), ('{"name": {"$not": "^A"}}', "23"),
+    ('{"name": {"$not": {"$eq": "Bo"}}}', "13"), ('{"items": {"$elemMatch": {"n": {"$gte": 2}, "k": "x"}}}', "3"),
+    ('{"items": {"$elemMatch": {"$or": [{"n": 1}, {"n": 9}]}}}', "13"), ('{"tags": {"$elemMatch": {"$gt": "a"}}}', "12"),
+    ('{"raw.list": {"$size": 3}}', "2"), ('{"raw.list": {"$all": ["5"]}}', "2"),
+])
+def test_operators_on_lists_and_patterns(spark, text, expected):
+    rows = [(1, "Ann", ["a", "b"], [(1, "x")], None), (2, "Bo", ["c"], [], '{"list": [5, 6, 7]}'), (3, None, ["a"], [(1, "y"), (2, "x")], "{}")]
+    schema = "id INT, name STRING, tags ARRAY<STRING>, items ARRAY<STRUCT<n: INT, k: STRING>>, raw STRING"
+    side = SideSpec(collection="c", key="id", fields=("id",), query=text)
+    got = extract_documents(spark.createDataFrame(rows, schema), side)
+    assert "".join(sorted(r.MigrationKey for r in got.collect())) == expected
+
+
+def test_side_by_side_files_of_one_name(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "party.csv").write_text(f"id,v\n1,{name}\n")
+    sources = {n: Datasource(n, "file", options={"path": str(tmp_path / n), "table": "party"}) for n in ("a", "b")}
+    side = lambda n: SideSpec(datasource=n, query="WITH w AS (SELECT * FROM party) SELECT id AS MigrationKey, v FROM w WHERE v <> ? -- end",
+                              query_params=("?",))
+    one = lambda n: extract(spark, side(n), sources).first().v
+    with ThreadPoolExecutor(8) as pool:
+        names = ["a", "b"] * 20
+        assert list(pool.map(one, names)) == names
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ct_")]
+
+
+def test_window_literals_of_stores():
+    since = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    window, side = Window(since, since), SideSpec(query="SELECT :since")
+    assert connectors.pushed_statement(side, SourceKind.postgres, side.query, window) == (
+        "SELECT TIMESTAMP WITH TIME ZONE '2024-01-01 00:00:00.000000+00:00'")
+    assert connectors.pushed_statement(side, SourceKind.bigquery, side.query, window) == "SELECT TIMESTAMP '2024-01-01 00:00:00.000000+00:00'"
+
+
+def test_batch_size_reaches_the_reader():
+    catalog = Catalog(domains=[Domain("d", {"p": Profile(SideSpec(query="q"), SideSpec(query="q", batch_size=3))}, batch_size=77)])
+    profile = catalog.profile("d", "p")
+    assert (profile.source.batch_size, profile.target.batch_size) == (77, 3)
+    source = Datasource("p", "postgres", options={"url": "jdbc:postgresql://h/d"})
+    assert connectors.jdbc_options(source, "SELECT 1", profile.source.batch_size)["fetchsize"] == "77"

@@ -154,6 +154,14 @@ def _extracts() -> None:
     window = """
       SELECT CAST(event_id AS VARCHAR) AS migration_key, event_type, value, ts FROM events
       WHERE ts > TIMESTAMP '{}' AND ts <= TIMESTAMP '2024-02-01' AND event_type <> 'error'"""
+    c["extract_document_operators"] = """
+      SELECT CAST(p_partkey AS VARCHAR) AS migration_key, p_name AS "part.p_name", CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END AS "part.size"
+      FROM part WHERE p_partkey % 17 <> 0 AND NOT p_brand LIKE '%1' AND len(string_split(p_name, ' ')) = 2 AND p_size > 40
+        AND p_type <> 'any' AND lower(p_name) < 'n' AND lower(p_name) >= 'a'"""
+    c["extract_document_all"] = """
+      WITH w AS (SELECT string_split(min(p_name), ' ') AS w FROM part)
+      SELECT CAST(p_partkey AS VARCHAR) AS migration_key, p_name AS "part.p_name", CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END AS "part.size"
+      FROM part, w WHERE p_partkey % 17 <> 0 AND list_has_all(string_split(p_name, ' '), w[1:2]) AND p_brand <> 'Brand#1'"""
     c["extract_window_full"] = window.format("1970-01-01")
     c["extract_window_incremental"] = window.format("2024-01-20")
     c["extract_csv"] = """
@@ -173,8 +181,25 @@ def _extracts() -> None:
     )
 
 
+    document = part.format("CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END") + " WHERE p_partkey % 17 <> 0"
+    for name, source, target, fields in (
+        ("pair_document_table", document, part.format("p_size"), ("part.p_name", "part.size")),
+        ("pair_document_csv", document, part.format("p_size"), ("part.p_name", "part.size")),
+        ("pair_sql_document", part.format("p_size") + " WHERE p_size > 5", document, ("p_name", "p_size")),
+    ):
+        c[name] = "WITH " + compared(source, target, texts) + records(field_object({f: i for i, f in enumerate(fields)}))
+
+
 def _keys_and_texts() -> None:
     c = CHECKS
+    c["normalize_decimals"] = f"""
+      SELECT l_orderkey || '|' || l_linenumber AS line, {number('CAST(l_discount / 1000000 AS DECIMAL(18,10))')} AS tiny,
+             {number('CAST(-l_extendedprice AS DECIMAL(12,2))')} AS negative, '0' AS zero,
+             CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS whole FROM lineitem"""
+    names = "SELECT CAST(c_custkey AS STRING) AS migration_key, {} AS c_name FROM customer"
+    c["recon_collated"] = "WITH " + compared(
+        names.format("c_name"), names.format("CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END"),
+        {"c_name": text("c_name")}) + records()
     c["key_single"] = "SELECT CAST(o_orderkey AS VARCHAR) AS migration_key, o_custkey FROM orders"
     c["key_composite"] = """
       SELECT l_orderkey || '#' || l_linenumber AS migration_key, l_partkey, l_returnflag FROM lineitem"""
@@ -232,12 +257,13 @@ def _comparisons() -> None:
              count(*) FILTER (x IS NULL) AS target_only_count,
              (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS target_rows FROM j"""
     c["recon_counts_duplicates"] = f"""
-      WITH a AS (SELECT migration_key, count(*) AS x FROM ({sql(S.LINEITEM_SOURCE)}) GROUP BY 1),
-           b AS (SELECT migration_key, count(*) AS y FROM ({sql(S.LINEITEM_TARGET)}) GROUP BY 1),
-           j AS (SELECT x, y FROM a FULL JOIN b USING (migration_key))
+      WITH {LINES}, a AS (SELECT migration_key, count(*) AS x, max(payload) AS p FROM s GROUP BY 1),
+           b AS (SELECT migration_key, count(*) AS y, max(payload) AS q FROM t GROUP BY 1),
+           j AS (SELECT x, y, p, q FROM a FULL JOIN b USING (migration_key))
       SELECT count(x) AS source_count, count(y) AS target_count, count(*) FILTER (y IS NULL) AS source_only_count,
              count(*) FILTER (x IS NULL) AS target_only_count, CAST(sum(x) AS BIGINT) AS source_rows,
-             CAST(sum(y) AS BIGINT) AS target_rows, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS in_both FROM j"""
+             CAST(sum(y) AS BIGINT) AS target_rows, count(*) FILTER (p = q) AS matched_count,
+             count(*) FILTER (p <> q) AS mismatched_count FROM j"""
     c["except_all_source"] = f"WITH {LINES} SELECT * FROM se"
     c["except_all_target"] = f"WITH {LINES} SELECT * FROM te"
     c["bag_difference"] = f"""WITH {LINES}
@@ -322,6 +348,7 @@ def _ledger() -> None:
              CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM runs GROUP BY 1"""
     of_run = f"FROM ({sql(S.SUPPLIER_RECORDS)}) WHERE run_id = 7 AND status = 'TARGET_ONLY'"
     c["records_page"] = f"SELECT migration_key, status, field_diffs {of_run} ORDER BY migration_key LIMIT 100 OFFSET 20"
+    c["records_page_after"] = f"SELECT migration_key, status, field_diffs {of_run} ORDER BY migration_key LIMIT 100 OFFSET 3"
     c["records_total"] = f"SELECT count(*) AS total {of_run}"
     c["run_digest"] = f"""
       WITH runs AS ({sql(S.SUPPLIER_RUNS)}), records AS ({sql(S.SUPPLIER_RECORDS)}),
@@ -366,6 +393,15 @@ def _ledger() -> None:
       UNION ALL SELECT 'shop', 'suppliers', 'FAILED', 'FULL', {zeros}
       UNION ALL SELECT 'shop', NULL, 'FAILED', 'FULL', {zeros}"""
 
+    c["recon_domain_files"] = """
+      WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s,
+                        (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 0) AS k)
+      SELECT 'files' AS domain_id, profile_id, 'COMPLETED' AS status, CAST(source_count AS BIGINT) AS source_count,
+             CAST(target_count AS BIGINT) AS target_count, CAST(matched_count AS BIGINT) AS matched_count,
+             CAST(0 AS BIGINT) AS mismatched_count, CAST(source_only_count AS BIGINT) AS source_only_count, CAST(0 AS BIGINT) AS target_only_count
+      FROM (SELECT 'customers' AS profile_id, c AS source_count, c AS target_count, c AS matched_count, 0 AS source_only_count FROM n
+            UNION ALL SELECT 'suppliers', s, k, k, s - k FROM n UNION ALL SELECT NULL, c + s, c + k, c + k, s - k FROM n)"""
+
 
 def _versioned() -> None:
     c = CHECKS

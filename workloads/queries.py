@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -22,7 +21,7 @@ from crosstally.functions import (
 )
 from crosstally.operators.compare import COUNTS
 from crosstally.operators.ledger import Ledger
-from crosstally.sources import FileTable, parse_workbooks, read_file_table
+from crosstally.sources import parse_workbooks
 
 from . import sides as S
 from .workbooks import as_workbooks
@@ -43,27 +42,16 @@ FROM events WHERE ts > CAST(:since AS TIMESTAMP_NTZ) AND ts <= CAST(:until AS TI
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the one the session names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ct.ConfigurationError("Set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="crosstally-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ct.ConfigurationError("Set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_current: tuple[str, str] | None = None
-
-
 def tables(spark: SparkSession, folder: str) -> None:
-    """Register the tables as views, once per session and folder in a row."""
-    global _current
+    """Register the tables as views of the session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    wanted = (spark.sparkContext.applicationId, folder)
-    if _current == wanted and spark.catalog.tableExists("conversations"):
-        return
-    _current = wanted
     for name in TABLES:
         spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
 
@@ -225,10 +213,71 @@ def pair_table_csv(spark):
     folder = shared_dir(spark)
     cells = spark.sql("SELECT p_partkey, p_name, CASE WHEN p_size > 48 THEN p_size + 1 ELSE p_size END AS p_size FROM part")
     cells.write.option("header", True).csv(folder)
-    read_file_table(spark, FileTable("parts", folder, r"part-.*[.]csv", table="part_cells"))
-    table = ct.SideSpec(table="part", key=ct.KeySpec.single("p_partkey"), fields=("p_name", "p_size"))
-    file = ct.SideSpec(table="part_cells", key=ct.KeySpec.single("p_partkey"), fields=("p_name", "p_size"))
-    return ct.reconcile_details(ct.extract(spark, table), ct.extract(spark, file), mode="FIELD_DETAILS")
+    return _paired(spark, PART, *_csv_side(folder))
+
+
+PART = ct.SideSpec(table="part", key=ct.KeySpec.single("p_partkey"), fields=("p_name", "p_size"))
+
+
+def _csv_side(folder: str) -> tuple[ct.SideSpec, dict[str, ct.Datasource]]:
+    source = ct.Datasource("files", "file", options={"path": folder, "pattern": r"part-.*[.]csv", "table": "cells"})
+    return ct.SideSpec(datasource="files", table="cells", key=PART.key, fields=PART.fields), {"files": source}
+
+
+def _paired(spark, source: ct.SideSpec, target: ct.SideSpec, sources=None) -> DataFrame:
+    return ct.reconcile_details(*(ct.extract(spark, side, sources) for side in (source, target)), mode="FIELD_DETAILS")
+
+
+PART_DOCUMENTS = """
+SELECT p_partkey AS _id, named_struct('p_name', p_name, 'size', CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END) AS part,
+       split(p_name, ' ') AS words, p_brand, array(named_struct('kind', p_type, 'size', p_size),
+       named_struct('kind', 'any', 'size', p_size + 10)) AS offers
+FROM part WHERE p_partkey % 17 <> 0
+"""
+
+
+def _documents(spark) -> ct.SideSpec:
+    spark.sql(PART_DOCUMENTS).createOrReplaceTempView("part_documents")
+    return ct.SideSpec(collection="part_documents", key=ct.KeySpec.single("_id"), fields=("part.p_name", "part.size"))
+
+
+@query
+def pair_document_table(spark):
+    return _paired(spark, _documents(spark), PART)
+
+
+@query
+def pair_document_csv(spark):
+    folder = shared_dir(spark)
+    spark.sql("SELECT p_partkey, p_name, p_size FROM part").write.option("header", True).csv(folder)
+    return _paired(spark, _documents(spark), *_csv_side(folder))
+
+
+@query
+def pair_sql_document(spark):
+    custom = ct.SideSpec(query='SELECT p_partkey AS "MigrationKey", p_name, p_size FROM part WHERE p_size > ?', query_params=(5,))
+    return _paired(spark, custom, _documents(spark))
+
+
+@query
+def extract_document_operators(spark):
+    side = _documents(spark).patched(
+        query="""{"p_brand": {"$not": {"$regex": "1$"}}, "words": {"$size": 2}, "offers": {"$elemMatch": {"size": {"$gt": 40},
+                  "kind": {"$ne": "any"}}}, "part.p_name": {"$regex": "^[A-M]", "$options": "i"}, "offers.kind": {"$exists": false}}"""
+    )
+    return ct.extract(spark, side)
+
+
+@query
+def extract_document_all(spark):
+    side = _documents(spark).patched(query='{"words": {"$all": ["?", "?"]}, "p_brand": {"$not": {"$in": ["Brand#1"]}}}',
+                                     query_params=_two_words(spark))
+    return ct.extract(spark, side)
+
+
+def _two_words(spark) -> tuple[str, str]:
+    """The words of the smallest part name."""
+    return tuple(spark.sql("SELECT split(min(p_name), ' ') AS w FROM part").first().w[:2])
 
 
 # -- keys ---------------------------------------------------------------------------------------
@@ -341,10 +390,26 @@ def recon_counts(spark):
 
 @query
 def recon_counts_duplicates(spark):
-    """What does not depend on which row stands for a repeated key."""
-    counted = ct.reconcile_counts(*lineitem(spark))
-    in_both = F.col("matched_count") + F.col("mismatched_count")
-    return counted.withColumn("in_both", in_both).drop("matched_count", "mismatched_count")
+    return ct.reconcile_counts(*lineitem(spark))
+
+
+@query
+def recon_collated(spark):
+    """Texts are compared byte by byte, whatever collation their columns have."""
+    names = "SELECT CAST(c_custkey AS STRING) AS migration_key, {} AS c_name FROM customer"
+    side = lambda text: spark.sql(names.format(f"{text} COLLATE UTF8_LCASE"))
+    source, target = side("c_name"), side("CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END")
+    return ct.reconcile_details(ct.keyed(source), ct.keyed(target))
+
+
+@query
+def normalize_decimals(spark):
+    """Canonical texts of decimals of many scales, small and negative ones too."""
+    decimals = spark.sql("""
+        SELECT l_orderkey || '|' || l_linenumber AS line, CAST(l_discount / 1000000 AS DECIMAL(18,10)) AS tiny,
+               CAST(-l_extendedprice AS DECIMAL(12,2)) AS negative, CAST(0 AS DECIMAL(20,12)) AS zero,
+               CAST(l_quantity AS DECIMAL(10,0)) AS whole FROM lineitem""")
+    return ct.normalize(decimals, ["tiny", "negative", "zero", "whole"])
 
 
 @query
@@ -489,6 +554,13 @@ def records_page(spark):
     return ct.records_page(rows(spark, S.SUPPLIER_RECORDS), run_id=7, status="target", limit=100, offset=20)
 
 
+@query
+def records_page_after(spark):
+    found = rows(spark, S.SUPPLIER_RECORDS)
+    after = ct.records_page(found, run_id=7, status="target", limit=3).agg(F.max(KEY)).first()[0]
+    return ct.records_page(found, run_id=7, status="target", limit=100, after_key=after)
+
+
 @query
 def records_total(spark):
     return ct.records_total(rows(spark, S.SUPPLIER_RECORDS), run_id=7, status="TARGET_ONLY")
@@ -529,6 +601,23 @@ def recon_domain(spark):
     return ledger.runs().select("domain_id", "profile_id", "status", "run_scope", *COUNTS)
 
 
+@query
+def recon_domain_files(spark):
+    """Two profiles side by side whose files carry the same table name."""
+    sources, profiles = {}, {}
+    for name, sql in (("customers", "SELECT c_custkey AS id, c_name AS name FROM customer"),
+                      ("suppliers", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0")):
+        folder = shared_dir(spark)
+        spark.sql(sql).write.option("header", True).csv(folder)
+        sources[name] = ct.Datasource(name, "file", options={"path": folder, "pattern": r"part-.*[.]csv", "table": "party"})
+        file = ct.SideSpec(datasource=name, query="SELECT id AS MigrationKey, name FROM party")
+        profiles[name] = ct.Profile(_side(sql.replace(" AS id", " AS migration_key").split(" WHERE")[0]), file)
+    ledger = Ledger(spark, shared_dir(spark))
+    catalog = ct.Catalog(domains=[ct.Domain("files", profiles)], datasources=list(sources.values()))
+    ct.Runner(spark, catalog, ledger).run_domain("files")
+    return ledger.runs().select("domain_id", "profile_id", "status", *COUNTS)
+
+
 # -- versioned tables ---------------------------------------------------------------------------
 
 
