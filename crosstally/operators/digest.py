@@ -11,6 +11,8 @@ from .compare import MATCHED
 
 # Fixed value: how many differing keys a digest shows unless told otherwise.
 SHOWN_BY_DEFAULT = 50
+# Shares a run's records are dealt over; take more for runs of billions of records.
+SLOTS_BY_DEFAULT = 256
 
 # Labels of the digest, in the order they are written.
 _RUN_LABELS = {
@@ -39,37 +41,40 @@ def _labelled(labels: dict[str, str]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def run_digest(runs: DataFrame, records: DataFrame, shown: int = SHOWN_BY_DEFAULT) -> DataFrame:
+def run_digest(
+    runs: DataFrame, records: DataFrame, shown: int = SHOWN_BY_DEFAULT, slots: int = SLOTS_BY_DEFAULT
+) -> DataFrame:
     """(run_id, digest): header, counts, and the first ``shown`` differing keys in key order.
 
-    ``runs`` carry ``active`` (see ``with_active``). The rank limit is applied before the shuffle,
-    so each task hands on at most ``shown`` rows per run however large the run is.
+    ``runs`` carry ``active`` (see ``with_active``). Records are read once: every slot of a run (a share of its keys,
+    told by hash) gives its number of records and its first keys, and the slots of a run are merged. A run's
+    records are never in one task, however many there are.
     """
     shown = max(1, shown)
-    ranked = F.row_number().over(W.partitionBy("run_id").orderBy(KEY))
     diffs = F.when(
         F.trim(F.coalesce("field_diffs", F.lit(""))) != "", F.concat(F.lit(" fieldDiffs="), F.col("field_diffs"))
     ).otherwise("")
     line = F.concat(F.lit("- key="), F.col(KEY), F.lit(" status="), F.col("status"), diffs, F.lit("\n"))
-    first = (
-        records.filter(F.col("status") != MATCHED)
-        .select("run_id", KEY, "status", "field_diffs")
-        .withColumn("place", ranked)
+    differs = F.col("status") != MATCHED
+    of_slot = W.partitionBy("run_id", "slot")
+    ranked = (
+        records.select("run_id", F.pmod(F.xxhash64(KEY), F.lit(slots)).alias("slot"), F.struct(F.col(KEY).alias("key"), line.alias("line"))
+                       .alias("entry"), F.coalesce(differs, F.lit(False)).alias("differs"))
+        .withColumn("rows", F.count(F.lit(1)).over(of_slot))
+        .withColumn("place", F.row_number().over(of_slot.orderBy(F.desc("differs"), "entry")))
         .filter(F.col("place") <= shown)
-        .select("run_id", F.struct("place", line.alias("line")).alias("entry"))
-        .groupBy("run_id")
-        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     )
-    totals = records.groupBy("run_id").agg(F.count(F.lit(1)).alias("detail_rows"))
-    joined = (
-        runs.filter(F.col("profile_id").isNotNull()).join(totals, "run_id", "left").join(first, "run_id", "left")
+    merged = ranked.groupBy("run_id").agg(
+        F.sum(F.when(F.col("place") == 1, F.col("rows"))).alias("detail_rows"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("entry")))), 1, shown).alias("entries"),
     )
-    entries = F.coalesce("entries", F.expr("CAST(array() AS array<struct<place:int,line:string>>)"))
+    joined = runs.filter(F.col("profile_id").isNotNull()).join(merged, "run_id", "left")
+    entries = F.coalesce("entries", F.expr("CAST(array() AS array<struct<key:string,line:string>>)"))
     error = F.when(
         F.trim(F.coalesce("error_message", F.lit(""))) != "", F.concat(F.lit("error="), F.col("error_message"), F.lit("\n"))
     ).otherwise("")
     text = F.concat(
-        F.lit("Summarize this profile run.\n"),
+        F.lit("Outcome of one profile run, to be summarized.\n"),
         _labelled(_RUN_LABELS),
         F.lit("\n"),
         _labelled(_COUNT_LABELS),
@@ -102,7 +107,7 @@ def domain_digest(runs: DataFrame) -> DataFrame:
     parents = runs.filter(F.col("profile_id").isNull())
     joined = parents.join(lines, F.col("run_id") == F.col("parent"), "left")
     text = F.concat(
-        F.lit("Summarize this domain run across profiles.\n"),
+        F.lit("Outcome of a domain run and its profiles, to be summarized.\n"),
         _labelled({"domain": "domain_id", "domainRunId": "run_id", **statuses, **counts}),
         F.lit("\n"),
         F.coalesce(F.array_join(F.transform("entries", lambda e: e["line"]), "\n"), F.lit("")),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.segments import SEGMENTS, with_segment
+from ..plans.segments import ROWS_PER_SEGMENT, with_segment
 
 AUDIT = ("version", "active", "created_at", "created_by", "updated_at", "updated_by")
 
@@ -28,7 +28,7 @@ def upsert(
     actor: str,
     changed_at: str = "changed_at",
     tie_break: str | None = None,
-    segments: int = SEGMENTS,
+    rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """History after applying all changes in time order.
 
@@ -36,13 +36,13 @@ def upsert(
     Versions go on counting from the entity's active row and keep its ``created_*``; an entity
     without an active row starts at version 1.
 
-    Order within an entity is worked out per time segment and carried over between segments, so an
-    entity with most of the changes is spread over many tasks.
+    Order within an entity is worked out per segment of time, then of ``tie_break``, and carried over between
+    segments, so an entity with most of the changes is spread over as many tasks as its rows ask for.
     """
     ids = _ids(ids)
     payload = [c for c in changes.columns if c not in (*ids, changed_at, tie_break)]
     at = F.col(changed_at)
-    ordered = with_segment(changes, changed_at, segments)
+    ordered = with_segment(changes, ids, changed_at, tie_break, rows_per_segment)
     places = [at] if tie_break is None else [at, F.col(tie_break)]
 
     # One row per entity and segment: how many changes came before it, and when the next one follows.
@@ -134,7 +134,7 @@ def patch_merge(
     ids: str | Sequence[str],
     order: str,
     columns: Sequence[str] | None = None,
-    segments: int = SEGMENTS,
+    rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """Configuration after every patch: a NULL in a patch keeps the value that was set before it.
 
@@ -143,7 +143,7 @@ def patch_merge(
     """
     ids = _ids(ids)
     columns = [c for c in patches.columns if c not in (*ids, order)] if columns is None else list(columns)
-    ordered = with_segment(patches, order, segments)
+    ordered = with_segment(patches, ids, order, rows=rows_per_segment)
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__last_{c}") for c in columns]
     earlier = W.partitionBy(*ids).orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     carried = (

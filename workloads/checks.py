@@ -358,7 +358,7 @@ def _ledger() -> None:
                 || CASE WHEN field_diffs IS NULL THEN '' ELSE ' fieldDiffs=' || field_diffs END || chr(10), ''
                 ORDER BY rn) AS lines FROM ranked WHERE rn <= 50 GROUP BY 1),
       totals AS (SELECT run_id, count(*) AS rows FROM records GROUP BY 1)
-      SELECT run_id, 'Summarize this profile run.' || chr(10) || 'domain=' || domain_id || ' profile=' || profile_id
+      SELECT run_id, 'Outcome of one profile run, to be summarized.' || chr(10) || 'domain=' || domain_id || ' profile=' || profile_id
         || ' runId=' || run_id || ' status=' || status || ' mode=' || recon_mode || ' active='
         || CASE WHEN active THEN 'true' ELSE 'false' END || chr(10) || 'sourceCount=' || source_count || ' targetCount='
         || target_count || ' matched=' || matched_count || ' mismatched=' || mismatched_count || ' sourceOnly='
@@ -372,7 +372,7 @@ def _ledger() -> None:
       parts AS (SELECT domain_run_id, string_agg('profile=' || profile_id || ' runId=' || run_id || ' status=' || status
           || ' matched=' || matched_count || ' mismatched=' || mismatched_count || ' sourceOnly=' || source_only_count
           || ' targetOnly=' || target_only_count, chr(10) ORDER BY run_id) AS lines FROM runs GROUP BY 1)
-      SELECT CAST(n_nationkey AS BIGINT) AS run_id, 'Summarize this domain run across profiles.' || chr(10) || 'domain='
+      SELECT CAST(n_nationkey AS BIGINT) AS run_id, 'Outcome of a domain run and its profiles, to be summarized.' || chr(10) || 'domain='
           || n_name || ' domainRunId=' || n_nationkey || ' status=COMPLETED matched=' || n_regionkey
           || ' mismatched=0 sourceOnly=0 targetOnly=0' || chr(10) || coalesce(lines, '') AS digest
       FROM nation LEFT JOIN parts ON n_nationkey = domain_run_id"""
