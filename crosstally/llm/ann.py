@@ -25,11 +25,13 @@ from .common import saved, small_batches
 
 #: Rows the k-means is fitted on at most (those whose ids hash lowest), and the most lists.
 SAMPLE, MAX_LISTS = 20_000, 2048
+#: Queries whose true neighbours tell how many lists to visit.
+TUNED = 64
 #: Most vectors, and most queries, of one task's group.
 CHUNK, BLOCK = 20_000, 5_000
 COLUMNS = 16
 #: Width of the test in standard errors of the estimate: larger keeps more candidates.
-WIDTH = 2.1
+WIDTH = 2.4
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -105,12 +107,46 @@ def scan(query: np.ndarray, rotated: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([np.arange(first), alive])
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, probes: int = 48) -> DataFrame:
+def probes_for(listed: DataFrame, centres: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int, target: float) -> int:
+    """How many lists to visit so that these queries' true ``k`` nearest lie in them to the share ``target``.
+
+    The true neighbours of a few queries are found by one pass over all vectors (list, vec_id, v): a task keeps their
+    best ``k`` so far.
+    """
+    spark = listed.sparkSession
+    shared = spark.sparkContext.broadcast((np.array([i for i, _ in queries]), np.array([v for _, v in queries])))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        kept = [(np.zeros(0), np.zeros(0, np.int32))] * len(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, own, scores = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)) @ q.T
+            for j, query in enumerate(ids):
+                s = np.concatenate([kept[j][0], np.where(own == query, -np.inf, scores[:, j])])
+                l = np.concatenate([kept[j][1], lists])
+                top = np.argpartition(-s, min(k, len(s) - 1))[:k]
+                kept[j] = s[top], l[top]
+        for j, (s, l) in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), j), pa.int32()), pa.array(l, pa.int32()), pa.array(s)],
+                                             names=["q", "list", "score"])
+
+    found = listed.select("list", "vec_id", "v").mapInArrow(best, "q int, list int, score double").where(F.col("score") > -float("inf"))
+    turn = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    wanted = found.withColumn("turn", turn).where(F.col("turn") <= k).select("q", "list").collect()  # k rows a query
+    order = np.argsort(_distances(np.column_stack([[v for _, v in queries], np.zeros(len(queries))]), centres), axis=1, kind="stable")
+    places = np.argsort(order, axis=1)
+    return 1 + int(np.quantile([places[r.q, r.list] for r in wanted], target, method="higher")) if wanted else 1
+
+
+def nearest(rows: DataFrame, every: int = 20, k: int = 20, target: float = 0.96, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found to each vector whose id is divisible by ``every``.
 
     All other vectors are candidates; score is the inner product in double precision, ties go to the smaller vec_id.
-    Lists are visited nearest first, at least ``probes`` and until they hold ``k`` candidates. Vectors have the length
-    that most have; see ``usable`` for rows that take no part. Extra columns are ignored; an empty table gives no rows.
+    Lists are visited nearest first, as many as hold the share ``target`` of the true neighbours of ``TUNED`` queries
+    (or ``probes``), and until they hold ``k`` candidates. Vectors have the length that most have; see ``usable`` for
+    rows that take no part. Extra columns are ignored; an empty table gives no rows.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -122,7 +158,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, probes: int = 48) ->
     top = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     lifted = _lifted(np.array([r.v for r in sample]), top)
-    centres = _lists(lifted, max(1, min(MAX_LISTS, len(sample), int(common["count"] ** 0.5))))
+    centres = _lists(lifted, max(1, min(MAX_LISTS, len(sample), int(common["count"] ** 0.5 / 2))))
     known = spark.sparkContext.broadcast((centres, top))  # at most MAX_LISTS centres
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +172,9 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, probes: int = 48) ->
     sizes = np.zeros(len(centres), dtype=np.int64)
     for r in listed.groupBy("list").count().collect():  # a row a list
         sizes[r.list] = r["count"]
+    if probes is None:
+        some = vectors.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNED).collect()
+        probes = probes_for(listed, centres, [(r.vec_id, np.array(r.v)) for r in some], k, target) if some else 1
     cuts = np.maximum(1, -(-sizes // CHUNK))
     per_list = spark.sparkContext.broadcast((sizes, cuts))
 
