@@ -29,8 +29,10 @@ from .common import small_batches
 MARK = "▁"  # stands for a blank
 #: A word is marks and what follows them up to the next mark or newline; a newline stands alone.
 _WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Between a letter and punctuation, where a vocabulary has no token that spans the two.
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ɏ])(?=[.,;:!?])")
 #: So many words up to this long are remembered by a worker.
-WORD_CHARS, WORDS = 48, 400_000
+WORD_CHARS, WORDS = 48, 800_000
 PAIRS = 500_000
 
 
@@ -57,20 +59,22 @@ class Pieces:
                 self.automaton.add_word(piece, (piece, len(piece), self.ids[piece]))
         self.automaton.make_automaton()
         self.fits = lru_cache(PAIRS)(lambda a, b: self._merged(a + b) == [a, b])
-        self.words: dict[str, tuple[list[int], str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.cuts = not any(_CUT.search(p) for p in self.ids)
 
     def _merged(self, text: str) -> list[str]:
         """Merge neighbours, best score first and leftmost among equals, until no pair is a token. For short texts."""
-        parts, rank = list(text), self.rank
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return parts
+        parts, rank, never = list(text), self.rank.get, float("inf")
+        order = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while order and (best := min(order)) < never:
+            at = order.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = rank(parts[at - 1] + parts[at], never)
+            if at < len(order):
+                order[at] = rank(parts[at] + parts[at + 1], never)
+        return parts
 
     def _span(self, text: str) -> list[int]:
         """Ids of characters that are all in the vocabulary."""
@@ -90,7 +94,7 @@ class Pieces:
         return out
 
     def _word(self, word: str) -> list[int]:
-        if all(c in self.chars for c in word):
+        if self.chars.issuperset(word):
             return self._span(word)
         out, start = [], 0
         for i, c in enumerate(word):
@@ -100,22 +104,27 @@ class Pieces:
                 start = i + 1
         return out + (self._span(word[start:]) if start < len(word) else [])
 
-    def words_of(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """For each word of a text its ids and their decimal form. An empty text has none."""
-        if not text:
-            return
-        known = self.words
-        for word in _WORD.findall(MARK + text.replace(" ", MARK)):
-            found = known.get(word)
-            if found is None:
-                ids = self._word(word)
-                found = ids, ",".join(map(str, ids))
-                if len(word) <= WORD_CHARS and len(known) < WORDS:  # frequent words come early
-                    known[word] = found
-            yield found
+    def _new(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that isn't remembered; its letters and the punctuation after them are looked up apart."""
+        parts = _CUT.split(word) if self.cuts else [word]
+        if len(parts) > 1:
+            ids: tuple[int, ...] = ()
+            for part in parts:
+                ids += self.words.get(part) or self._new(part)
+        else:
+            ids = tuple(self._word(word))
+        if len(word) <= WORD_CHARS and len(self.words) < WORDS:  # frequent words come early
+            self.words[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.words_of(text) for i in ids]
+        """Ids of a whole text; an empty text has none."""
+        if not text:
+            return []
+        known, new, out = self.words.get, self._new, []
+        for word in _WORD.findall(MARK + text.replace(" ", MARK)):
+            out += known(word) or new(word)
+        return out
 
 
 @lru_cache(2)
@@ -161,15 +170,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
+        decimal = [str(i) for i in range(pieces.library.get_piece_size())].__getitem__
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for text in batch.column(1):
-                ids, hashed = [], hashlib.sha256()
-                for word, decimal in pieces.words_of(text.as_py() or ""):
-                    hashed.update(("," if ids else "").encode() + decimal.encode())
-                    ids += word
+                ids = pieces.encode(text.as_py() or "")
                 n.append(len(ids))
-                of_ids.append(hashed.hexdigest())
+                of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 back = pieces.library.decode(ids) if ids else ""
                 of_text.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays(
