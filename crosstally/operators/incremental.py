@@ -40,12 +40,14 @@ def chain_of_runs(runs: DataFrame) -> DataFrame:
 
 
 def latest_records(records: DataFrame, *by: str) -> DataFrame:
-    """The record of the newest run for every key (and ``by`` columns)."""
-    rest = [c for c in records.columns if c not in ("run_id", KEY, *by)]
-    newest = records.groupBy(*by, KEY).agg(
-        F.max_by(F.struct("run_id", *rest), F.col("run_id")).alias("newest")
-    )
-    return newest.select(*by, KEY, "newest.*")
+    """The record of the newest run for every key (and ``by`` columns); a run has one record a key.
+
+    Run ids are folded by hash, and only the records they name are kept; texts are never sorted for an aggregate.
+    """
+    newest = records.groupBy(*by, KEY).agg(F.max("run_id").alias("run_id"))
+    same = [records[c].eqNullSafe(newest[c]) for c in (*by, KEY, "run_id")]
+    rest = [records[c] for c in records.columns if c not in (*by, KEY)]
+    return records.join(newest, same, "left_semi").select(*[records[c] for c in (*by, KEY)], *rest)
 
 
 def chained_baseline(records: DataFrame, runs: DataFrame) -> DataFrame:
