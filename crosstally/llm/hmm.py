@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out, saved, small_batches, words
 
-STATES, ITERATIONS, PIECE = 8, 4, 128
+STATES, ITERATIONS, PIECE = 8, 5, 128
 OWN, CLASSES, LISTED = 8192, 1024, 400_000
 END = b"\n"  # no word holds a newline
 _FLUSH = 200_000  # words a counting task keeps before it gives them out
-_TOKENS = 400_000  # tokens that are worked on at once
+_TOKENS = 400_000  # tokens an E step works on at once
+_LONG = 1_500_000  # tokens of the texts that are scored side by side
 
 
 def class_of(word: bytes) -> int:
@@ -162,69 +163,82 @@ def first_model(symbols: np.ndarray) -> Model:
     return Model(np.full(STATES, 1 / STATES), stay, emit / emit.sum(0))
 
 
-def _ordered(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols one after the other, each sequence's start and length, longest first."""
+def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences longest first, their symbols step by step: (order, symbols, where each step begins).
+
+    A step has one symbol of each sequence that is long enough, so what a step works on lies side by side.
+    """
     sizes = np.array([len(s) for s in sequences])
-    starts = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    return np.concatenate(sequences), starts[order], sizes[order]
+    sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    steps = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # sequences longer than the step
+    whole = np.concatenate(sequences)
+    symbols = np.empty_like(whole)
+    at = np.concatenate([[0], np.cumsum(steps)])
+    for t, n in enumerate(steps):
+        np.take(whole, starts[:n] + t, out=symbols[at[t] : at[t + 1]])
+    return order, symbols, at
 
 
 def expected(model: Model, pieces: list[np.ndarray]):
     """Expected starts, moves and emissions of sequences, and their log-likelihood (one E step)."""
-    symbols, starts, sizes = _ordered(pieces)
-    longest = int(sizes[0])
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    given = emit[symbols]
-    forward = np.empty_like(given)
+    _, symbols, at = _by_step(pieces)
+    emit, move = np.ascontiguousarray(model.emit.T, dtype=np.float32), model.move.astype(np.float32)
+    forth, start = np.ascontiguousarray(move.T), model.start.astype(np.float32)[:, None]
+    given = np.empty((STATES, len(symbols)), dtype=np.float32)
+    for k in range(STATES):
+        np.take(emit[k], symbols, out=given[k])
+    state = np.empty_like(given)
     scale = np.empty(len(symbols), dtype=np.float32)
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        now = (forward[at - 1] @ move if t else model.start.astype(np.float32)) * given[at]
-        total = now.sum(1)
-        scale[at] = total
-        forward[at] = now / total[:, None]
+    last = len(at) - 2
+    for t in range(last + 1):
+        a, b = at[t], at[t + 1]
+        now = given[:, a:b] * (forth @ state[:, at[t - 1] : at[t - 1] + b - a] if t else start)
+        total = now.sum(0)
+        scale[a:b] = total
+        np.divide(now, total, out=state[:, a:b])
     moves = np.zeros((STATES, STATES))
-    back = np.ones((active[0], STATES), dtype=np.float32)
-    state = forward  # becomes the states' probabilities, from the end
-    for t in range(longest - 2, -1, -1):
-        n = active[t + 1]
-        after = starts[:n] + t + 1
-        ahead = given[after] * back[:n] / scale[after][:, None]
-        before = forward[after - 1]
-        moves += before.T @ ahead
-        back[:n] = ahead @ move.T
-        state[after - 1] = before * back[:n]
+    given /= scale
+    # Backwards, ``state`` becomes the states' probabilities; sequences that end with a step are sure of it already.
+    back = np.ones((STATES, at[1]), dtype=np.float32)
+    for t in range(last - 1, -1, -1):
+        a, b = at[t + 1], at[t + 2]
+        n = b - a
+        ahead = given[:, a:b] * back[:, :n]
+        before = state[:, at[t] : at[t] + n]
+        moves += before @ ahead.T
+        back[:, :n] = move @ ahead
+        before *= back[:, :n]
     moves *= model.move
-    emissions = np.column_stack([np.bincount(symbols, state[:, k], len(emit)) for k in range(STATES)])
-    return state[starts].sum(0, dtype=float), moves, emissions, float(np.log(scale, dtype=np.float64).sum())
+    emissions = np.column_stack([np.bincount(symbols, row, len(model.emit)) for row in state])
+    return state[:, : at[1]].sum(1, dtype=float), moves, emissions, float(np.log(scale, dtype=np.float64).sum())
 
 
 def likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each whole sequence."""
-    symbols, starts, sizes = _ordered(texts)
-    out = np.zeros(len(texts))
-    now = None
-    for t in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        now = (now[:n] @ model.move if t else model.start) * model.emit[symbols[starts[:n] + t]]
-        total = now.sum(1)
+    order, symbols, at = _by_step(texts)
+    out, now = np.zeros(len(texts)), None
+    emit, forth = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    for t in range(len(at) - 1):
+        given = emit[:, symbols[at[t] : at[t + 1]]]
+        n = given.shape[1]
+        now = (forth @ now[:, :n] if t else model.start[:, None]) * given
+        total = now.sum(0)
         out[:n] += np.log(total)
-        now /= total[:, None]
+        now /= total
     back = np.empty(len(texts))
-    back[np.argsort(-np.array([len(s) for s in texts]), kind="stable")] = out
+    back[order] = out
     return back
 
 
-def _groups(batches, column):
-    """(rows so far, symbol arrays) in groups of about _TOKENS tokens."""
+def _groups(batches, column, most):
+    """Symbol arrays of rows in groups of about ``most`` tokens."""
     group, held = [], 0
     for batch in batches:
         for value in batch.column(column):
             group.append(np.frombuffer(value.as_py(), dtype=np.uint16).astype(np.int64))
             held += len(group[-1])
-            if held >= _TOKENS:
+            if held >= most:
                 yield group
                 group, held = [], 0
     if group:
@@ -243,7 +257,7 @@ def trained(texts: DataFrame, symbols: np.ndarray, iterations: int = ITERATIONS)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
             starts, moves, emissions = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(known.emit.shape)
-            for group in _groups(batches, 0):
+            for group in _groups(batches, 0, _TOKENS):
                 pieces = [s[i : i + PIECE] for s in group for i in range(0, len(s), PIECE)]
                 a, b, c, _ = expected(known, pieces)
                 starts, moves, emissions = starts + a, moves + b, emissions + c
@@ -286,11 +300,17 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2, iterations: int = ITE
     model = spark.sparkContext.broadcast(trained(texts.where("NOT held_out"), lex.symbols, iterations))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0)]
-            for group in _groups([batch], 1):
-                found.append(likelihood(model.value, group) / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["row", "path"])
+        rows: list[int] = []
+
+        def kept():
+            for batch in batches:
+                rows.extend(batch.column(0).to_pylist())
+                yield batch
+
+        for group in _groups(kept(), 1, _LONG):
+            found = likelihood(model.value, group) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[: len(group)], pa.int64()), pa.array(found)], names=["row", "path"])
+            del rows[: len(group)]
 
     paths = texts.select("row", "symbols").mapInArrow(run, "row long, path double")
     listed_from = lex.tokens / LISTED
