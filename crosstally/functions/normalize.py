@@ -99,22 +99,28 @@ def is_binary(dtype: T.DataType) -> bool:
     return dtype == T.StringType()
 
 
+def _without_exponent(text: str, otherwise: str) -> str:
+    """The text of a number that may have an exponent; ``otherwise`` is what it is without one.
+
+    The exponent form is rare. As a lambda its long expression is not unrolled into the generated
+    code of every number column, which would outgrow what the JIT compiles.
+    """
+    shifted = f"transform(transform(array({text}), t -> {_SPLIT}), x -> {_SHIFTED})[0]"
+    return f"CASE WHEN contains({text}, 'E') THEN {shifted} ELSE {otherwise} END"
+
+
 def plain_decimal(value: str) -> str:
     """All digits of a decimal. Without ANSI mode Spark writes small ones with an exponent."""
     text = f"CAST({value} AS STRING)"
-    shifted = f"transform(transform(array({text}), t -> {_SPLIT}), x -> {_SHIFTED})[0]"
-    return f"CASE WHEN contains({text}, 'E') THEN {shifted} ELSE {text} END"
+    return _without_exponent(text, text)
 
 
 def _number_text(text: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.IntegralType):
         return text
     if isinstance(dtype, T.DecimalType):
-        return _trimmed_zeros(text) if dtype.scale > 0 else text
-    # The exponent form is rare. As a lambda its long expression is not unrolled into the generated
-    # code of every number column, which would outgrow what the JIT compiles.
-    shifted = f"transform(transform(array({text}), t -> {_SPLIT}), x -> {_SHIFTED})[0]"
-    return f"CASE WHEN contains({text}, 'E') THEN {shifted} ELSE {_trimmed_zeros(text)} END"
+        return _trimmed_zeros(_without_exponent(text, text)) if dtype.scale > 0 else text
+    return _without_exponent(text, _trimmed_zeros(text))
 
 
 def _iso_clock(text: str, keep_zero_seconds: bool) -> str:
@@ -209,7 +215,7 @@ def _base(value: str, dtype: T.DataType, strategy: Strategy) -> str | None:
     if name in ("timestamp_ntz", "time"):
         return f"CAST({value} AS STRING)"
     if strategy is Strategy.LENIENT and isinstance(dtype, T.DecimalType):
-        return plain_decimal(value) if dtype.scale > 0 else f"CAST({value} AS STRING)"
+        return f"CAST({value} AS STRING)"
     if strategy is Strategy.LENIENT and isinstance(dtype, T.FractionalType):
         # Adding zero turns negative zero into zero and changes nothing else.
         return f"CAST({value} + CAST(0 AS {name}) AS STRING)"
