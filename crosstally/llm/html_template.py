@@ -6,7 +6,7 @@ tokens with equal vectors form an equivalence class. A vector is kept as the num
 hashes of (page, count), so classes come from aggregation and no host is gathered. Frequent classes that nest inside
 one another make the template; what lies between its tokens are slots. The main slot is the deepest template
 container that holds most of the text outside menus, notices and the like; its text, without template strings, is
-the page's main text. A page without its host's main slot falls back on its own deepest container of template elements.
+the page's main text (pages say themselves what an article holds: inside one no string is dropped). A page without its host's main slot falls back on its own deepest container of template elements.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words in classes and ids of parts that are not main text.
 ASIDE = set("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-            "disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification "
+            "complementary contentinfo disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification "
             "popup popular promo promoted promotion recommended related replies reply search share sharing sidebar signup "
             "skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split())
 
@@ -60,7 +60,7 @@ class Element:
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         parts = {p.lower() for _, v in named for p in _PART.findall(v)}
         self.aside = bool(parent and parent.aside) or tag in DROPPED or (tag == "header" and not self.article) or (
-            tag not in ("body", "html", "main", "article") and bool(parts & ASIDE))
+            tag not in ("body", "html", "main", "article") and bool(parts & (ASIDE - {"header"} if self.article else ASIDE)))
         self.link = tag == "a" or bool(parent and parent.link)
         self.container = tag in CONTAINER
         # Marks of text, such as bold, don't make a place of their own.
@@ -139,7 +139,7 @@ def _measured(source: str | None):
         for node in chain:
             nodes[node][3] += own
         label = 0
-        if len(text.split(" ", LABEL_WORDS)) <= LABEL_WORDS:
+        if not (stack and stack[-1].article) and len(text.split(" ", LABEL_WORDS)) <= LABEL_WORDS:
             label = xxhash.xxh64_intdigest(f"{stack[-1].node if stack else 0}|{text}") >> 1
             strings[label] += 1
         kept.append((set(chain), text, label))
