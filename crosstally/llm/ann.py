@@ -85,26 +85,41 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, rotated: np.ndarray, k: int) -> np.ndarray:
-    """Rows of ``rotated`` that the adaptive scan doesn't give up for the rotated query."""
+def scan(queries: np.ndarray, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that the adaptive scan doesn't give up; both sides are rotated.
+
+    The first rows give each query its limit, the ``k``-th best so far. A pair goes on to the next block of columns while
+    its partial distance could still end below the limit; once few pairs are left only these are computed.
+    """
     n, size = rotated.shape
     first = min(n, max(k, 64))
-    known = np.sort(((rotated[:first] - query) ** 2).sum(1))
-    if n <= first:
-        return np.arange(n)
-    limit = known[k - 1] if first >= k else np.inf
-    alive, partial = np.arange(first, n), np.zeros(n - first)
+    lead = (queries**2).sum(1)[:, None] + (rotated[:first] ** 2).sum(1) - 2 * queries @ rotated[:first].T
+    limit = np.partition(lead, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(queries), np.inf)
+    start = tuple(x.ravel() for x in np.indices((len(queries), first)))
+    if n == first:
+        return start
+    rest, partial, alive = rotated[first:], None, None
     for at in range(0, size, COLUMNS):
         end = min(size, at + COLUMNS)
-        partial = partial + ((rotated[alive, at:end] - query[at:end]) ** 2).sum(1)
+        q, x = queries[:, at:end], rest[:, at:end]
+        if alive is None:
+            step = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T
+            partial = step if partial is None else partial + step
+            bound = limit[:, None]
+        else:
+            partial = partial + ((q[alive[0]] - x[alive[1]]) ** 2).sum(1)
+            bound = limit[alive[0]]
         if end < size:
-            stays = partial * (size / end) <= limit * (1 + WIDTH / math.sqrt(end)) ** 2
+            stays = partial * (size / end) <= bound * (1 + WIDTH / math.sqrt(end)) ** 2
+        else:
+            stays = partial <= bound * (1 + 1e-9) + 1e-9
+        if alive is not None:
+            alive, partial = (alive[0][stays], alive[1][stays]), partial[stays]
+        elif end == size or stays.mean() < 0.2:
+            alive, partial = np.nonzero(stays), partial[stays]
         else:
-            stays = partial <= limit * (1 + 1e-9) + 1e-12
-        alive, partial = alive[stays], partial[stays]
-        if not len(alive):
-            break
-    return np.concatenate([np.arange(first), alive])
+            partial = np.where(stays, partial, np.inf)
+    return np.concatenate([start[0], alive[0]]), np.concatenate([start[1], alive[1] + first])
 
 
 def probes_for(listed: DataFrame, centres: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int, target: float) -> int:
@@ -216,13 +231,17 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, target: float = 0.96,
         ids, x, q = vectors["vec_id"].to_numpy(), np.stack(vectors["v"]), np.stack(queries["q"])
         turn = rotation(x.shape[1] + 1)
         rotated, asked = _lifted(x, top) @ turn, np.column_stack([q, np.zeros(len(q))]) @ turn
-        out = []
-        for query, whole, turned in zip(queries["query_id"], q, asked):
-            near = scan(turned, rotated, k + 1)
-            near = near[ids[near] != query]
-            scores = (x[near] * whole).sum(1)
-            best = np.lexsort((ids[near], -scores))[:k]
-            out.append((np.full(len(best), query), ids[near][best], scores[best]))
+        names, out = queries["query_id"].to_numpy(), []
+        for at in range(0, len(q), 128):
+            of, near = scan(asked[at : at + 128], rotated, k + 1)
+            of = of + at
+            other = ids[near] != names[of]
+            of, near = of[other], near[other]
+            scores = np.concatenate([(x[near[i : i + 65536]] * q[of[i : i + 65536]]).sum(1) for i in range(0, len(near), 65536)] or [[]])
+            order = np.lexsort((ids[near], -scores, of))
+            of, near, scores = of[order], near[order], scores[order]
+            best = np.arange(len(of)) - np.searchsorted(of, of) < k
+            out.append((names[of[best]], ids[near[best]], scores[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     found = left.groupBy("list", "chunk", "block").cogroup(right.groupBy("list", "chunk", "block")).applyInPandas(

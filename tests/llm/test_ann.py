@@ -60,7 +60,8 @@ def test_scan_gives_up_far_candidates_and_keeps_near_ones():
     q = rng.normal(size=64)
     turn = ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    kept = ann.scan(q @ turn, x @ turn, 20)
+    of, kept = ann.scan((q @ turn)[None], x @ turn, 20)
+    assert not of.any()
     best = np.argsort(((x - q) ** 2).sum(1))[:20]
     assert len(kept) < 1000 and len(set(best) & set(kept)) >= 19
 
