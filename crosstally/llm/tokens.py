@@ -36,7 +36,7 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         known = Tokenizer.from_file(path)
-        return lambda texts: [len(e.ids) for e in known.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [len(e) for e in known.encode_batch_fast(texts, add_special_tokens=False)]
     import sentencepiece
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
