@@ -58,22 +58,39 @@ def fingerprint(tokens: list[bytes], size: int, lanes: int = 1, seed: int = 42)
     return out
 
 
-def with_fingerprints(docs: DataFrame, size: int = 4, lanes: int = 1) -> DataFrame:
+_ODD = np.random.default_rng(9).integers(0, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(tokens: list[bytes], size: int) -> np.ndarray:
+    """Two 64-bit numbers: one bit of each of 128 minimum hashes of the shingles. Bits differ with half of 1 - Jaccard."""
+    least, source = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64), shingles(tokens, size)
+    while True:
+        block = np.fromiter((xxhash.xxh64_intdigest(s, 3) for s, _ in zip(source, range(4096))), dtype="<u8")
+        if not len(block):
+            break
+        np.minimum(least, (block[:, None] * _ODD).min(0), out=least)
+    return np.packbits((least >> np.uint64(23)).astype(np.uint8) & 1, bitorder="little").view("<u8")
+
+
+def with_fingerprints(docs: DataFrame, size: int = 4, lanes: int = 1, sketched: int = 0) -> DataFrame:
     """doc_id and the lanes ``f0``, ``f1``, ... (longs with the bits of the unsigned numbers) of every row's text.
 
-    ``same`` is the XXH64 of the normalised words: rows of equal words share it.
+    ``same`` is the XXH64 of the normalised words: rows of equal words share it. With ``sketched``, ``m0`` and ``m1`` are the
+    sketch of the shingles of so many words.
     """
     small_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(lanes)]
+    names = [f"f{i}" for i in range(lanes)] + (["m0", "m1"] if sketched else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, same = np.zeros((batch.num_rows, lanes), dtype="<u8"), np.zeros(batch.num_rows, dtype="<u8")
+            prints, same = np.zeros((batch.num_rows, len(names)), dtype="<u8"), np.zeros(batch.num_rows, dtype="<u8")
             for i, text in enumerate(batch.column(1)):
                 tokens = words(text.as_py())
-                prints[i] = fingerprint(tokens, size, lanes)
+                prints[i, :lanes] = fingerprint(tokens, size, lanes)
+                if sketched:
+                    prints[i, lanes:] = sketch(tokens, sketched)
                 same[i] = xxhash.xxh64_intdigest(b" ".join(tokens), 7)
-            columns = [prints[:, i].copy().view("<i8") for i in range(lanes)]
+            columns = [prints[:, i].copy().view("<i8") for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(same.view("<i8")), *map(pa.array, columns)], names=["doc_id", "same", *names]
             )
@@ -90,35 +107,56 @@ def segments(lanes: int, count: int) -> list[tuple[int, int, int]]:
 
 
 def variants(lanes: int, count: int):
-    """Array column of the one-wildcard variants: the number of the wiped bit above, the rest of the segment below."""
+    """Array column of the one-wildcard variants: ``key``, the number of the wiped bit above, the rest of the segment below,
+    and ``own``, the wiped bit itself, plus 2 for the first variant of a segment."""
     keys, number = [], 0
     for lane, first, width in segments(lanes, count):
         part = f"(shiftrightunsigned(f{lane}, {first}) & {(1 << width) - 1}L)"
         for bit in range(width):
-            keys.append(f"({part} & {((1 << width) - 1) ^ (1 << bit)}L) | {number << 32}L")
+            key = f"({part} & {((1 << width) - 1) ^ (1 << bit)}L) | {number << 32}L"
+            own = f"CAST(shiftrightunsigned(f{lane}, {first + bit}) & 1L AS INT)" + (" + 2" if bit == 0 else "")
+            keys.append(f"named_struct('key', {key}, 'own', {own})")
             number += 1
     return F.expr(f"array({', '.join(keys)})")
 
 
 def links(
-    nodes: DataFrame, lanes: int, count: int, most: int, verify: Callable[[DataFrame], DataFrame] | None = None
+    nodes: DataFrame,
+    lanes: int,
+    count: int,
+    most: int,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    sketch_bits: int | None = None,
 ) -> DataFrame:
     """(node, component) of all nodes that have a link; nodes: (node, f0, ...), one row each.
 
-    ``most``: the differing bits allowed over all lanes. ``verify`` may drop pairs from a frame (a, b).
+    ``most``: the differing bits allowed over all lanes. ``verify`` may drop pairs from a frame (a, b); with ``sketch_bits``
+    it sees only pairs whose sketches m0, m1 differ in at most so many bits.
     """
-    names = [f"f{i}" for i in range(lanes)]
-    differ = lambda x, y: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in names)
+    prints = [f"f{i}" for i in range(lanes)]
+    sketches = [] if sketch_bits is None else ["m0", "m1"]
+    names = prints + sketches
+    bits = lambda x, y, columns: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in columns)
+
+    def near(x: str, y: str) -> str:
+        return f"{bits(x, y, prints)} <= {most}" + (f" AND {bits(x, y, sketches)} <= {sketch_bits}" if sketches else "")
+
     check = verify or (lambda pairs: pairs)
-    # A node becomes many rows, so even few bytes of nodes are dealt over all tasks.
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    keyed = nodes.repartition(tasks).select(F.explode(variants(lanes, count)).alias("key"), "node", *names).alias("keyed")
+    def by_variant(rows: DataFrame) -> DataFrame:
+        # A node becomes many rows, so even few bytes of nodes are dealt over all tasks first. The rows are then shuffled
+        # once, by their key; what follows stays in these partitions and reads the same shuffle again.
+        whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(tasks)
+        keyed = whole.select(F.explode(variants(lanes, count)).alias("v"), *rows.columns).select("v.key", "v.own", *rows.columns)
+        return keyed.where("key IS NOT NULL").repartition(tasks, "key")
+
+    keyed = by_variant(nodes.select("node", *names)).alias("keyed")
     lead = keyed.groupBy("key").agg(
         F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in names), F.count("*").alias("n")
     ).where("n > 1").drop("n").alias("lead")
     star = (
-        keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {differ('keyed', 'lead')} <= {most}"))
+        keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {near('keyed', 'lead')}"))
         .select(F.col("lead.node").alias("a"), F.col("keyed.node").alias("b")).distinct()
     )
     first = saved(check(star), "stars")
@@ -128,7 +166,7 @@ def links(
         nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
         "labelled",
     )
-    keyed = labelled.repartition(tasks).select(F.explode(variants(lanes, count)).alias("key"), "node", "label", *names)
+    keyed = by_variant(labelled)
     # Large buckets whose members are all linked have nothing to add.
     done = keyed.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
@@ -137,7 +175,9 @@ def links(
     across = (
         rest.alias("x").join(
             rest.alias("y"),
-            F.expr(f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {differ('x', 'y')} <= {most}"),
+            # Equal segments share all variants: they meet in the first one only.
+            F.expr("x.key = y.key AND x.node < y.node AND x.label <> y.label AND (x.own <> y.own OR x.own >= 2) AND "
+                   + near("x", "y")),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     )
@@ -173,8 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
 
 #: For near copies by words: fingerprints over word pairs, two lanes, and the bits that may differ before the exact check.
-#: A pair at similarity 0.8 differs in about a tenth of the bits.
-PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS = 2, 3, 28
+#: A pair at similarity 0.8 differs in about a tenth of the bits, and so do its sketches.
+PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS, PAIR_SKETCH_BITS = 2, 3, 18, 18
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -200,22 +240,26 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     of each other. Of rows that repeat an id all stay if one does; rows with a null id stay.
     """
     names = [f"f{i}" for i in range(PAIR_LANES)]
-    prints = saved(with_fingerprints(docs, 2, PAIR_LANES).where("doc_id IS NOT NULL"), "prints")
-    groups = saved(prints.groupBy("same", *names).agg(F.min("doc_id").alias("node")), "groups")
+    prints = saved(with_fingerprints(docs, 2, PAIR_LANES, size).where("doc_id IS NOT NULL"), "prints")
+    groups = saved(prints.groupBy("same", *names, "m0", "m1").agg(F.min("doc_id").alias("node")), "groups")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "candidates")
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = saved(_shingle_sets(texts.join(asked, "id", "left_semi"), size), "sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        sets = saved(_shingle_sets(texts.join(asked, "id", "left_semi"), size).withColumn("n", F.size("set")), "sets")
+        # Sets whose sizes differ too much can't be similar; only the others travel.
+        sizes = sets.select("id", "n")
+        pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(
+            F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9).select("a", "b").distinct()
+        both = pairs.join(sets.select("id", "set").toDF("a", "x"), "a").join(sets.select("id", "set").toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).where(
             "size(x) > 0").select("a", "b").distinct()
 
     # A node may be the smallest id of several texts if ids repeat: one row a node and fingerprint is enough.
-    nodes = groups.groupBy("node").agg(*(F.min_by(n, F.struct("same", *names)).alias(n) for n in names))
-    joined = links(nodes, PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS, verify)
+    nodes = groups.groupBy("node").agg(*(F.min_by(n, F.struct("same", *names)).alias(n) for n in (*names, "m0", "m1")))
+    joined = links(nodes, PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS, verify, PAIR_SKETCH_BITS)
     keepers = groups.join(joined, "node", "left").select("same", *names, F.coalesce("component", "node").alias("keeper"))
     gone = (
         prints.join(keepers, ["same", *names]).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
