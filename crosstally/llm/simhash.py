@@ -9,6 +9,10 @@ Dense groups (thousands of near copies share their buckets) do not give all pair
 fingerprint of a bucket to the bucket's smallest one only, the components of these links are labelled, and
 the second pass pairs only fingerprints of a bucket that carry different labels. No link between two
 components is lost, and pairs inside one need not be written.
+
+Bits of a fingerprint follow the cosine of word counts, so a copy with a run of words appended, cut off or inserted may differ
+in more bits than one with as many words replaced. ``one_of_each`` asks for a Jaccard similarity; its candidates share a band
+of min-hashes, which depends on that similarity only, whatever the edits. They go through the same two passes.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved, small_batches, words
@@ -61,42 +65,67 @@ def fingerprint(tokens: list[bytes], size: int, lanes: int = 1, seed: int = 42)
 _ODD = np.random.default_rng(9).integers(0, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(tokens: list[bytes], size: int) -> np.ndarray:
-    """Two 64-bit numbers: one bit of each of 128 minimum hashes of the shingles. Bits differ with half of 1 - Jaccard."""
+#: Bands of min-hashes and hashes a band: sets of similarity 0.8 share no band in 0.005 % of cases, sets of 0.5 in 45 %.
+BANDS, BAND_HASHES = 25, 5
+
+
+def min_hashes(tokens: list[bytes], size: int) -> np.ndarray:
+    """128 minimum hashes of the shingles. One is equal in two texts with a chance of their Jaccard similarity."""
     least, source = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64), shingles(tokens, size)
     while True:
         block = np.fromiter((xxhash.xxh64_intdigest(s, 3) for s, _ in zip(source, range(4096))), dtype="<u8")
         if not len(block):
             break
         np.minimum(least, (block[:, None] * _ODD).min(0), out=least)
+    return least
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers: a bit of each minimum hash. Bits differ with half of 1 - Jaccard."""
     return np.packbits((least >> np.uint64(23)).astype(np.uint8) & 1, bitorder="little").view("<u8")
 
 
-def with_fingerprints(docs: DataFrame, size: int = 4, lanes: int = 1, sketched: int = 0) -> DataFrame:
-    """doc_id and the lanes ``f0``, ``f1``, ... (longs with the bits of the unsigned numbers) of every row's text.
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of the minimum hashes."""
+    rows = least[: BANDS * BAND_HASHES].astype("<u8").reshape(BANDS, BAND_HASHES)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], dtype="<u8")
+
+
+def with_fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id and the fingerprint ``f0`` (a long with the bits of the unsigned number) of every row's text."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(words(text.as_py()), size)[0] for text in batch.column(1)], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))], names=["doc_id", "f0"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long")
+
+
+def with_bands(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, ``same``, the sketch ``m0``, ``m1`` and the keys ``bands`` of the shingles of ``size`` words of every row's text.
 
-    ``same`` is the XXH64 of the normalised words: rows of equal words share it. With ``sketched``, ``m0`` and ``m1`` are the
-    sketch of the shingles of so many words.
+    ``same`` is the XXH64 of the normalised words: rows of equal words share it.
     """
     small_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(lanes)] + (["m0", "m1"] if sketched else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, same = np.zeros((batch.num_rows, len(names)), dtype="<u8"), np.zeros(batch.num_rows, dtype="<u8")
+            numbers, bands = np.zeros((batch.num_rows, 3), dtype="<u8"), np.zeros((batch.num_rows, BANDS), dtype="<u8")
             for i, text in enumerate(batch.column(1)):
                 tokens = words(text.as_py())
-                prints[i, :lanes] = fingerprint(tokens, size, lanes)
-                if sketched:
-                    prints[i, lanes:] = sketch(tokens, sketched)
-                same[i] = xxhash.xxh64_intdigest(b" ".join(tokens), 7)
-            columns = [prints[:, i].copy().view("<i8") for i in range(len(names))]
+                least = min_hashes(tokens, size)
+                numbers[i, 0], numbers[i, 1:], bands[i] = xxhash.xxh64_intdigest(b" ".join(tokens), 7), sketch(least), band_keys(least)
+            ends = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same.view("<i8")), *map(pa.array, columns)], names=["doc_id", "same", *names]
+                [batch.column(0), *(pa.array(numbers[:, i].copy().view("<i8")) for i in range(3)),
+                 pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1).view("<i8")))],
+                names=["doc_id", "same", "m0", "m1", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, same long, " + ", ".join(f"{n} long" for n in names)
+        run, "doc_id long, same long, m0 long, m1 long, bands array<long>"
     )
 
 
@@ -120,40 +149,44 @@ def variants(lanes: int, count: int):
     return F.expr(f"array({', '.join(keys)})")
 
 
-def links(
-    nodes: DataFrame,
-    lanes: int,
-    count: int,
-    most: int,
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-    sketch_bits: int | None = None,
-) -> DataFrame:
+def links(nodes: DataFrame, lanes: int, count: int, most: int) -> DataFrame:
     """(node, component) of all nodes that have a link; nodes: (node, f0, ...), one row each.
 
-    ``most``: the differing bits allowed over all lanes. ``verify`` may drop pairs from a frame (a, b); with ``sketch_bits``
-    it sees only pairs whose sketches m0, m1 differ in at most so many bits.
+    ``most``: the differing bits allowed over all lanes.
     """
     prints = [f"f{i}" for i in range(lanes)]
-    sketches = [] if sketch_bits is None else ["m0", "m1"]
-    names = prints + sketches
-    bits = lambda x, y, columns: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in columns)
+    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, most)
 
-    def near(x: str, y: str) -> str:
-        return f"{bits(x, y, prints)} <= {most}" + (f" AND {bits(x, y, sketches)} <= {sketch_bits}" if sketches else "")
 
+def _linked(
+    nodes: DataFrame,
+    keys: Column,
+    source: list[str],
+    compared: list[str],
+    most: int,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(node, component) of all nodes that have a link; nodes: (node, the columns ``source`` that ``keys`` is made of, ``compared``).
+
+    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and their columns
+    ``compared`` differ in at most ``most`` bits; ``verify`` may drop pairs from a frame (a, b) of such nodes.
+    """
+    names = list(dict.fromkeys([*source, *compared]))
+    near = lambda x, y: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in compared) + f" <= {most}"
     check = verify or (lambda pairs: pairs)
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def by_variant(rows: DataFrame) -> DataFrame:
+    def by_key(rows: DataFrame) -> DataFrame:
         # A node becomes many rows, so even few bytes of nodes are dealt over all tasks first. The rows are then shuffled
         # once, by their key; what follows stays in these partitions and reads the same shuffle again.
         whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(tasks)
-        keyed = whole.select(F.explode(variants(lanes, count)).alias("v"), *rows.columns).select("v.key", "v.own", *rows.columns)
+        kept = [c for c in rows.columns if c not in source or c in compared]
+        keyed = whole.select(F.explode(keys).alias("v"), *kept).select("v.key", "v.own", *kept)
         return keyed.where("key IS NOT NULL").repartition(tasks, "key")
 
-    keyed = by_variant(nodes.select("node", *names)).alias("keyed")
+    keyed = by_key(nodes.select("node", *names)).alias("keyed")
     lead = keyed.groupBy("key").agg(
-        F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in names), F.count("*").alias("n")
+        F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in compared), F.count("*").alias("n")
     ).where("n > 1").drop("n").alias("lead")
     star = (
         keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {near('keyed', 'lead')}"))
@@ -166,7 +199,7 @@ def links(
         nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
         "labelled",
     )
-    keyed = by_variant(labelled)
+    keyed = by_key(labelled)
     # Large buckets whose members are all linked have nothing to add.
     done = keyed.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
@@ -212,9 +245,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies by words: fingerprints over word pairs, two lanes, and the bits that may differ before the exact check.
-#: A pair at similarity 0.8 differs in about a tenth of the bits, and so do its sketches.
-PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS, PAIR_SKETCH_BITS = 2, 3, 18, 18
+#: Bits of the 128 of two sketches that may differ before the exact check. At similarity 0.8 a bit differs with a chance of a tenth.
+SKETCH_BITS = 26
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -235,13 +267,13 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """The rows with all their columns, but one document of each group of near copies: that with the smallest doc_id.
 
     Documents link if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is what
-    links reach. Candidates come from SimHash fingerprints of word pairs by deletion-variant signatures and are
-    checked exactly. Equal words are copies whatever their spaces and A-Z case. Texts without words are copies
+    links reach. Candidates share a band of min-hashes and have close sketches; they are checked exactly. Equal words are copies whatever their spaces and A-Z case. Texts without words are copies
     of each other. Of rows that repeat an id all stay if one does; rows with a null id stay.
     """
-    names = [f"f{i}" for i in range(PAIR_LANES)]
-    prints = saved(with_fingerprints(docs, 2, PAIR_LANES, size).where("doc_id IS NOT NULL"), "prints")
-    groups = saved(prints.groupBy("same", *names, "m0", "m1").agg(F.min("doc_id").alias("node")), "groups")
+    names = ["same", "m0", "m1"]
+    prints = saved(with_bands(docs, size).where("doc_id IS NOT NULL"), "prints")
+    # Equal words have equal bands.
+    groups = saved(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "groups")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -257,12 +289,13 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
         return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).where(
             "size(x) > 0").select("a", "b").distinct()
 
-    # A node may be the smallest id of several texts if ids repeat: one row a node and fingerprint is enough.
-    nodes = groups.groupBy("node").agg(*(F.min_by(n, F.struct("same", *names)).alias(n) for n in (*names, "m0", "m1")))
-    joined = links(nodes, PAIR_LANES, PAIR_SEGMENTS, PAIR_BITS, verify, PAIR_SKETCH_BITS)
-    keepers = groups.join(joined, "node", "left").select("same", *names, F.coalesce("component", "node").alias("keeper"))
+    # A node may be the smallest id of several texts if ids repeat: one row a node and text is enough.
+    nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select("node", "row.m0", "row.m1", "row.bands")
+    keys = F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))")
+    joined = _linked(nodes, keys, ["bands"], ["m0", "m1"], SKETCH_BITS, verify)
+    keepers = groups.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     gone = (
-        prints.join(keepers, ["same", *names]).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
+        prints.select("doc_id", *names).join(keepers, names).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
         .where("keeper <> doc_id").select(F.col("doc_id").alias("gone_id"))
     )
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

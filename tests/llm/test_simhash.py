@@ -116,6 +116,43 @@ def test_one_of_each_group_stays(spark, docs):
                    for i, b in everything.items() if i != gone), gone
 
 
+def near_copy(rng, base, kind, new):
+    """The text with one kind of edit, at a Jaccard similarity of about 0.82."""
+    n, copy = len(base), list(base)
+    if kind == "appended":
+        copy += [new() for _ in range(round((n - 4) * 0.22))]
+    elif kind == "trimmed":
+        copy = copy[round((n - 4) * 0.18) :]
+    elif kind == "inserted":
+        at = rng.randrange(5, n - 5)
+        copy[at:at] = [new() for _ in range(round((n - 8) / 0.82 - n))]
+    else:
+        for i in range(edits := max(1, round((n - 4) * 0.0198))):
+            copy[(i * n + n // 2) // edits] = new()
+    return copy
+
+
+def test_one_of_each_finds_copies_of_every_kind(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    weights = [1 / (i + 3) for i in range(4000)]
+    new = lambda: rng.choices(vocabulary, weights)[0]
+    rows, pairs = [], {}
+    for kind in ("appended", "trimmed", "inserted", "replaced"):
+        for n in (100, 300):
+            for _ in range(100):
+                base = rng.choices(vocabulary, weights, k=n)
+                a, b = " ".join(base), " ".join(near_copy(rng, base, kind, new))
+                if 0.8 <= jaccard(a, b) < 0.85:
+                    pairs.setdefault((kind, n), []).append(len(rows) + 1)
+                    rows += [(len(rows), a), (len(rows) + 1, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(frame).collect()}
+    found = {k: sum(i not in kept for i in ids) / len(ids) for k, ids in pairs.items()}
+    assert len(found) == 8 and min(map(len, pairs.values())) >= 50
+    assert min(found.values()) >= 0.98, found
+
+
 def test_one_of_each_on_odd_rows(odd_docs, no_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
