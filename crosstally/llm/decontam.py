@@ -8,7 +8,9 @@ of the embedding's places; ``REPEATS`` independent walks with their samples reac
 it to. Every candidate is then checked exactly by bit-parallel dynamic programming.
 
 Items are put into classes by their number of words. A class has a window size and a stride: documents are cut into
-windows at every stride, items at every word, so a copy holds windows of the document whatever its alignment.
+windows at every stride, items at every word, so a copy holds windows of the document whatever its alignment. Windows
+have at most ``WINDOW`` words: a long one would meet too many edits, and a long item has many short ones, of which
+some are unedited even at the similarity bound.
 
 Items are a query set: they are read in blocks of at most ``BLOCK_WORDS`` words, each block a bounded broadcast, and all
 documents pass every block. Documents are never shuffled.
@@ -31,6 +33,8 @@ from .common import small_batches, words
 
 REPEATS = 12
 SAMPLES = 7
+#: Most words of a window.
+WINDOW = 12
 BLOCK_WORDS = 500_000
 #: Words of documents that are walked over at once.
 BATCH_WORDS = 400_000
@@ -42,8 +46,10 @@ def class_of(n: int) -> tuple[int, int, int]:
     low = 1
     while (up := max(low + 1, low * 8 // 5)) <= n:
         low = up
-    stride = max(1, low // 3)
-    return low, stride, max(1, low - stride)
+    if low < 9:  # one edit at most
+        stride = max(1, low // 3)
+        return low, stride, max(1, low - stride)
+    return low, 1 if low < 2 * WINDOW - 2 else 2, min(WINDOW, low * 2 // 3)
 
 
 def hashed(tokens: list[bytes]) -> np.ndarray:

@@ -72,6 +72,23 @@ def test_recall_of_edited_items(spark, docs, benchmark):
     assert sum(item in found[n] for n, item in enumerate(want)) >= 0.93 * len(want)
 
 
+@pytest.mark.parametrize("n", [5, 8, 9, 13, 14, 21, 33, 56, 89, 142, 227, 500])
+@pytest.mark.parametrize("kinds", [("replace",), ("replace", "delete", "insert")])
+def test_recall_at_the_bound_for_each_size(n, kinds):
+    rng = random.Random(n)
+    word = lambda c: b"%c%d" % (c, rng.randrange(3000))
+    items, texts = [(i, [word(119) for _ in range(n)]) for i in range(100)], []
+    for _, tokens in items:
+        copy = list(tokens)
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(copy)), rng.choice(kinds)
+            copy[at : at + (kind != "insert")] = [] if kind == "delete" else [word(120)]
+        around = [word(121) for _ in range(rng.randrange(40, 80))]
+        texts.append(around + copy + around)
+    found = decontam.Index(items, 0.8).found(texts)
+    assert sum(i in held for i, held in enumerate(found)) >= 97
+
+
 def test_blocks_of_items_give_the_same(docs, benchmark, monkeypatch):
     whole = {r.doc_id: r.item_ids for r in decontam.contaminated(docs, benchmark).collect()}
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 800)
