@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,67 @@ def components(edges: DataFrame) -> DataFrame:
             "edges",
         )
     return nodes if nodes is not None else spark.createDataFrame([], "node long, component long")
+
+
+class Scratch:
+    """Folders of one run below the shared folder, deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, kind: str) -> None:
+        self._spark, self._root, self._count = spark, new_folder(spark, kind), 0
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        """The frame, written and read again."""
+        self._count += 1
+        path = f"{self._root}/{self._count}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        context = self._spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(self._root)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finite(v: Column) -> Column:
+    """Whether an array of doubles is there and has neither null nor non-finite components."""
+    return v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def matrix(column) -> np.ndarray:
+    """Vectors of an Arrow list column, a row each; all of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """Rows of integers as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int64()))
+
+
+def floors(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as 64-bit integers."""
+    out = np.floor(scale * x)
+    if out.size and np.abs(out).max() >= 2**55:
+        raise ArithmeticError(f"A component beyond {2**55 // scale} leaves the range of exact distances")
+    return out.astype(np.int64)
+
+
+def widened(terms: int, *arrays: np.ndarray) -> list[np.ndarray]:
+    """The integer arrays, in a type that holds the sum of ``terms`` squared differences between them: 64 bits, or Python's."""
+    most = max((int(np.abs(a).max()) for a in arrays if a.size), default=0)
+    return [a.astype(np.int64 if terms * (2 * most) ** 2 < 2**62 else object) for a in arrays]
+
+
+def joined_evenly(rows: DataFrame, facts: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined (inner, nulls equal) with ``facts``, one row per value of ``key`` and its number of rows in ``size``.
+
+    Values with more than 1/``share`` of all rows, of which there are fewer than ``share``, are broadcast; the others
+    are shuffled, so that no task gets more rows of one value than that share. Drops ``size``.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * share > total
+    facts = facts.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    few = F.broadcast(facts.where(hot).drop(size))
+    rest = rows.join(few, same, "left_anti").join(facts.where(~hot).drop(size), same)
+    return rows.join(few, same).unionByName(rest).drop("_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, hmm, html_template, lines, pieces, quality, simhash, tokens, warc
+from . import ann, centroids, codes, decontam, exact_dedup, hmm, html_template, lines, pieces, quality, simhash, tokens, warc
 from .common import new_folder, table
 
 MIN_SITES = 5
@@ -52,8 +52,25 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(table(spark, folder, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.codes(table(spark, folder, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_line_dedup, op3_decontamination, op4_html_extraction, op5_lm_scoring, op6_nearest_neighbours,
-    op7_sentencepiece, op8_quality, op9_token_counts, op10_warc)}
-
-ORACLES = {"op2_line_dedup": lines.oracle(MIN_SITES)}
+    op7_sentencepiece, op8_quality, op9_token_counts, op10_warc, op11_centroid_clustering, op12_vector_codes, op13_exact_dedup)}
+
+ORACLES = {
+    "op2_line_dedup": lines.oracle(MIN_SITES),
+    "op11_centroid_clustering": centroids.oracle(),
+    "op12_vector_codes": codes.oracle(),
+    "op13_exact_dedup": exact_dedup.ORACLE,
+}

@@ -1,0 +1,80 @@
+import hashlib
+import re
+
+import duckdb
+import pytest
+
+from crosstally.llm import exact_dedup
+
+from .conftest import FOLDER, LONG
+
+
+def brute(rows):
+    """rows: (doc_id, text) -> sorted decisions, of each group the first in order of id (nulls last) stays."""
+    found = {}
+    for i, (doc_id, text) in enumerate(rows):
+        normal = re.sub("[\x20\x09-\x0d]+", " ", text or "")
+        found.setdefault(hashlib.sha256(normal.encode()).hexdigest(), []).append((doc_id is None, doc_id or 0, i, doc_id))
+    out = []
+    for sha, group in found.items():
+        group.sort(key=lambda g: g[:3])
+        out += [(g[3], group[0][3], len(group), n == 0, sha) for n, g in enumerate(group)]
+    return sorted(out, key=str)
+
+
+def decided(frame, **more):
+    return sorted(map(tuple, exact_dedup.groups(frame, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("tracked", [8, 64, exact_dedup.TRACKED])
+def test_equals_sql_however_many_counters(spark, docs, tracked):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    got = decided(docs, tracked=tracked)
+    assert got == sorted(con.execute(exact_dedup.ORACLE).fetchall(), key=str)
+    assert not all(r[3] for r in got)
+
+
+def test_hot_texts_are_split_off_and_rare_ones_are_not(spark):
+    rows = [(i, "same  words" if i % 3 == 0 else "other" if i % 7 == 0 else f"text {i // 2}") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    keys = frame.select("doc_id", exact_dedup.digest(frame["text"]).alias("digest"), "doc_id").toDF("doc_id", "digest", "_row")
+    heavy = {r.digest: r for r in exact_dedup.frequent(keys, 32).collect()}
+    assert len(heavy) <= 32
+    for text, size, keep in (("same words", 2000, 0), ("other", sum(i % 3 != 0 and i % 7 == 0 for i in range(6000)), 7)):
+        assert heavy[hashlib.sha256(text.encode()).hexdigest()][1:] == (size, keep, keep)
+    assert decided(frame, tracked=32) == brute(rows)
+
+
+def test_white_space_is_ascii_only_and_ends_are_not_trimmed(spark):
+    texts = ["a b", "a\t\n b", "a\x0b\x0c\rb", "a b", " a b", "a b ", "a  b\n", "A b", "", " ", "\n\n", None, "a\x1cb", "a\x85b"]
+    rows = list(enumerate(texts))
+    got = decided(spark.createDataFrame(rows, "doc_id long, text string"), tracked=8)
+    assert got == brute(rows)
+    assert {r[0]: r[1] for r in got}[2] == 0 and {r[0]: r[1] for r in got}[11] == 8
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for tracked in (8, 4096):
+        assert decided(odd_docs, tracked=tracked) == brute(rows)
+        left = exact_dedup.deduplicated(odd_docs, tracked)
+        assert left.dtypes == odd_docs.dtypes
+        assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 5, 6, 8]  # one of the two rows of document 1
+    assert decided(no_docs) == [] and exact_dedup.deduplicated(no_docs).collect() == []
+
+
+def test_null_ids_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (5, "b"), (5, "b"), (4, LONG), (9, LONG)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tracked in (8, 4096):
+        got = decided(frame, tracked=tracked)
+        assert got == brute(rows)
+        assert sum(r[3] for r in got) == 3
+        assert sorted(r.doc_id or 0 for r in exact_dedup.deduplicated(frame, tracked).collect()) == [0, 4, 5]
+
+
+def test_plan_has_no_python(docs):
+    for frame in (exact_dedup.groups(docs), exact_dedup.deduplicated(docs)):
+        plan = frame._jdf.queryExecution().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))

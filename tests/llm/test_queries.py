@@ -20,6 +20,12 @@ SHAPES = {
     "op9": ("documents", {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}),
     "op10": ("pages", {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string",
                        "refers_to": "bigint"}),
+    "op11": ("embeddings", {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint",
+                            "inertia": "bigint", "centroid_sha256": "string"}),
+    "op12": ("embeddings", {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint",
+                            "codebooks_sha256": "string"}),
+    "op13": ("documents", {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean",
+                           "text_sha256": "string"}),
 }
 
 
@@ -35,6 +41,7 @@ def test_shape(spark, name):
         assert sorted(r[key] for r in rows) == sorted(r[key] for r in want)
     if name in ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+        for view in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
         sql = con.execute(f"SELECT {', '.join(types)} FROM ({ORACLES[name]})").fetchall()
         assert sorted(map(tuple, rows)) == sorted(sql)
