@@ -170,8 +170,25 @@ def _extracts() -> None:
              CASE WHEN c_mktsegment <> 'BUILDING' THEN '"' || c_mktsegment || '", ' || c_nationkey END AS segment
       FROM customer"""
     c["extract_xlsx"] = """
-      SELECT CAST(c_custkey AS VARCHAR) AS migration_key, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey
+      SELECT CAST(c_custkey AS VARCHAR) AS migration_key, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+             CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS in_credit
       FROM customer"""
+    c["extract_xlsx_formats"] = """
+      WITH lines AS (
+        SELECT *, l_shipdate + to_days(l_linenumber) AS l_receiptdate, l_partkey % 5000 * 30 AS minutes, l_orderkey % 80 // 8 AS wholes, l_orderkey % 8 AS parts,
+               l_extendedprice * (l_linenumber % 3 - 1) AS signed FROM lineitem)
+      SELECT l_orderkey || '-' || l_linenumber AS migration_key, strftime(l_shipdate, '%Y-%m-%d') AS shipped,
+             month(l_receiptdate) || '/' || day(l_receiptdate) || strftime(l_receiptdate, '/%y') AS received,
+             strftime(l_shipdate, '%d.%m.%Y ') || format('{:02d}:{:02d}:{:02d}', l_orderkey % 24, l_partkey % 60, l_suppkey % 60) AS at,
+             (minutes // 60) || ':' || format('{:02d}', minutes % 60) AS lasted,
+             CAST(CAST(l_discount * 100 AS DECIMAL(9,2)) AS VARCHAR) || '%' AS discount,
+             CAST(CAST(l_tax * 100 AS DECIMAL(9,1)) AS VARCHAR) || '%' AS tax,
+             CASE WHEN signed = 0 THEN '-' WHEN signed > 0 THEN format('{:,.2f}', signed) ELSE '(' || format('{:,.2f}', -signed) || ')' END AS price,
+             format('{:,d}', CAST(l_quantity * 1000 AS BIGINT)) || ' pcs' AS quantity,
+             CASE WHEN parts = 0 THEN CAST(wholes AS VARCHAR)
+                  ELSE CASE WHEN wholes > 0 THEN wholes || ' ' ELSE '' END || parts // gcd(parts, 8) || '/' || 8 // gcd(parts, 8) END AS eighths,
+             upper(format('{:.3e}', CAST(l_partkey AS DOUBLE))) AS exact
+      FROM lines"""
     part = "SELECT CAST(p_partkey AS STRING) AS migration_key, p_name, {} AS p_size FROM part"
     texts = {"p_name": text("p_name"), "p_size": text("p_size")}
     c["pair_table_csv"] = (
@@ -182,7 +199,9 @@ def _extracts() -> None:
 
 
     document = part.format("CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END") + " WHERE p_partkey % 17 <> 0"
+    shown = "CASE WHEN p_size < 4 THEN p_size || ',000' ELSE CAST(p_size AS VARCHAR) END"
     for name, source, target, fields in (
+        ("pair_xlsx_table", part.format("p_size"), part.format(shown) + " WHERE p_partkey % 19 <> 0", ("p_name", "p_size")),
         ("pair_document_table", document, part.format("p_size"), ("part.p_name", "part.size")),
         ("pair_document_csv", document, part.format("p_size"), ("part.p_name", "part.size")),
         ("pair_sql_document", part.format("p_size") + " WHERE p_size > 5", document, ("p_name", "p_size")),

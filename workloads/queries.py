@@ -21,10 +21,9 @@ from crosstally.functions import (
 )
 from crosstally.operators.compare import COUNTS
 from crosstally.operators.ledger import Ledger
-from crosstally.sources import parse_workbooks
 
 from . import sides as S
-from .workbooks import as_workbooks
+from .workbooks import write_workbooks
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -204,8 +203,48 @@ def extract_csv(spark):
 
 @query
 def extract_xlsx(spark):
-    cells = spark.sql("SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer")
-    return ct.keyed(parse_workbooks(as_workbooks(cells), [KEY, "c_name", "c_mktsegment", "c_nationkey"], "data"))
+    """Workbooks as files, found by a name pattern and read by their header names."""
+    folder = shared_dir(spark)
+    cells = spark.sql("SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal > 0 AS in_credit FROM customer")
+    write_workbooks(cells.repartition(3), folder)
+    source = ct.Datasource("books", "file", options={"path": folder, "pattern": r"book-\d+-.*[.]xlsx", "sheet": "data", "table": "cells"})
+    side = ct.SideSpec(datasource="books", table="cells", key=ct.KeySpec.single("c_custkey"),
+                       fields=("c_name", "c_mktsegment", "c_nationkey", "in_credit"))
+    return ct.extract(spark, side, {"books": source})
+
+
+# Date, date and time, elapsed time, percent, thousands with a section for negative numbers, fraction, exponent, text beside.
+CELL_FORMATS = {
+    "shipped": "yyyy-mm-dd", "received": 14, "at": 'dd"."mm"."yyyy hh:mm:ss', "lasted": "[h]:mm", "discount": 10, "tax": "0.0%",
+    "price": '#,##0.00;[Red](#,##0.00);"-"', "quantity": '#,##0" pcs"', "eighths": "# ?/?", "exact": "0.000E+00",
+}
+
+
+@query
+def extract_xlsx_formats(spark):
+    """What cells show under dates, percents, thousands, sections by sign, fractions and exponents."""
+    folder = shared_dir(spark)
+    cells = spark.sql("""
+      SELECT concat(l_orderkey, '-', l_linenumber) AS line, CAST(l_shipdate AS DATE) AS shipped, date_add(CAST(l_shipdate AS DATE), l_linenumber) AS received,
+             CAST(l_shipdate AS TIMESTAMP_NTZ) + make_dt_interval(0, l_orderkey % 24, l_partkey % 60, l_suppkey % 60) AS at,
+             l_partkey % 5000 / 48D AS lasted, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax,
+             CAST(l_extendedprice AS DOUBLE) * (l_linenumber % 3 - 1) AS price, CAST(l_quantity * 1000 AS BIGINT) AS quantity,
+             l_orderkey % 80 / 8D AS eighths, CAST(l_partkey AS DOUBLE) AS exact
+      FROM lineitem""")
+    write_workbooks(cells.repartition(2), folder, "lines", CELL_FORMATS)
+    source = ct.Datasource("books", "file", options={"path": folder, "format": "xlsx", "sheet": "lines", "table": "lines"})
+    side = ct.SideSpec(datasource="books", table="lines", key=ct.KeySpec.single("line"), fields=tuple(CELL_FORMATS))
+    return ct.extract(spark, side, {"books": source})
+
+
+@query
+def pair_xlsx_table(spark):
+    """A table against workbooks, in which some sizes are others and numbers have thousands separators."""
+    folder = shared_dir(spark)
+    cells = spark.sql("SELECT p_partkey, p_name, CASE WHEN p_size < 4 THEN p_size * 1000 ELSE p_size END AS p_size FROM part WHERE p_partkey % 19 <> 0")
+    write_workbooks(cells, folder, formats={"p_size": 3})
+    source = ct.Datasource("books", "file", options={"path": folder, "pattern": "book-.*[.]xlsx", "table": "cells"})
+    return _paired(spark, PART, ct.SideSpec(datasource="books", table="cells", key=PART.key, fields=PART.fields), {"books": source})
 
 
 @query

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Iterator
-from xml.sax.saxutils import escape
+from collections.abc import Iterator, Mapping
+from datetime import date, datetime
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Namespaces and content types of the workbook format.
 _TYPES = (
     '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
     '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
@@ -19,37 +24,50 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def workbook(rows: list[list], sheet: str = "data", shared: bool = True) -> bytes:
-    """One sheet; numbers stay numbers, None leaves the cell out."""
+def workbook(rows: list[list], sheet: str = "data", shared: bool = True, formats: Mapping[int, str | int] | None = None,
+             from_1904: bool = False) -> bytes:
+    """One sheet; numbers stay numbers, dates become day numbers, None leaves the cell out.
+
+    ``formats`` gives columns a number format: a code, or the number of a built-in one.
+    """
     strings: dict[str, int] = {}
+    formats = dict(formats or {})
+    styles = {column: n for n, column in enumerate(formats, start=1)}
     lines = []
     for r, row in enumerate(rows, start=1):
         cells = []
         for c, value in enumerate(row):
-            ref = f"{_letters(c)}{r}"
+            ref = f'{_letters(c)}{r}"' + (f' s="{styles[c]}"' if c in styles else "")
             if value is None:
                 continue
             if isinstance(value, bool):
-                cells.append(f'<c r="{ref}" t="b"><v>{int(value)}</v></c>')
+                cells.append(f'<c r="{ref} t="b"><v>{int(value)}</v></c>')
+            elif isinstance(value, (date, datetime)):
+                cells.append(f'<c r="{ref}><v>{_day_number(value, from_1904)}</v></c>')
             elif isinstance(value, (int, float)):
-                cells.append(f'<c r="{ref}"><v>{value}</v></c>')
+                cells.append(f'<c r="{ref}><v>{value}</v></c>')
             elif shared:
-                cells.append(f'<c r="{ref}" t="s"><v>{strings.setdefault(str(value), len(strings))}</v></c>')
+                cells.append(f'<c r="{ref} t="s"><v>{strings.setdefault(str(value), len(strings))}</v></c>')
             else:
-                cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(value))}</t></is></c>')
+                cells.append(f'<c r="{ref} t="inlineStr"><is><t>{escape(str(value))}</t></is></c>')
         lines.append(f'<row r="{r}">{"".join(cells)}</row>')
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("[Content_Types].xml", _TYPES)
         book.writestr(
             "xl/workbook.xml",
-            f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+            f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><workbookPr date1904="{int(from_1904)}"/>'
+            f'<sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         )
         book.writestr(
             "xl/_rels/workbook.xml.rels",
             '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             f'<Relationship Id="rId1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
         )
+        own = {code: 164 + n for n, code in enumerate(code for code in formats.values() if isinstance(code, str))}
+        codes = "".join(f"<numFmt numFmtId=\"{n}\" formatCode={quoteattr(code)}/>" for code, n in own.items())
+        used = "".join(f'<xf numFmtId="{own.get(code, code)}"/>' for code in (0, *formats.values()))
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><numFmts>{codes}</numFmts><cellXfs>{used}</cellXfs></styleSheet>')
         items = "".join(f"<si><t>{escape(s)}</t></si>" for s in strings)
         book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{items}</sst>')
         book.writestr(
@@ -58,6 +76,12 @@ def workbook(rows: list[list], sheet: str = "data", shared: bool = True) -> byte
     return out.getvalue()
 
 
+def _day_number(value: date, from_1904: bool) -> float:
+    moment = value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)
+    days = (moment - (datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30))).total_seconds() / 86400
+    return int(days) if days == int(days) else days
+
+
 def _letters(index: int) -> str:
     name = ""
     index += 1
@@ -67,13 +91,26 @@ def _letters(index: int) -> str:
     return name
 
 
-def as_workbooks(df: DataFrame, sheet: str = "data") -> DataFrame:
-    """Each batch of rows of each partition as one workbook with a header row."""
+def write_workbooks(df: DataFrame, folder: str, sheet: str = "data", formats: Mapping[str, str | int] | None = None) -> None:
+    """Each batch of rows of each partition as one workbook with a header row below the folder, written by the tasks.
+
+    A file appears under its name when it is whole; a task that runs again replaces its files.
+    """
     names = list(df.columns)
+    columns = {names.index(c): code for c, code in (formats or {}).items()}
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            body = [[None if pd.isna(v) else v for v in row] for row in batch.itertuples(index=False, name=None)]
-            yield pd.DataFrame({"content": [workbook([names, *body], sheet)]})
+        system, base = pyarrow.fs.FileSystem.from_uri(uri)
+        system.create_dir(base, recursive=True)
+        for n, batch in enumerate(batches):
+            part = int(batch["_part"].iloc[0])
+            body = [[None if pd.isna(v) else v for v in row] for row in batch[names].itertuples(index=False, name=None)]
+            path = f"{base}/book-{part:05d}-{n:03d}.xlsx"
+            unfinished = f"{base}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(unfinished) as out:
+                out.write(workbook([names, *body], sheet, formats=columns))
+            system.move(unfinished, path)
+            yield pd.DataFrame({"path": [path]})
 
-    return df.mapInPandas(write, "content binary")
+    df.withColumn("_part", F.spark_partition_id()).mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
