@@ -29,6 +29,7 @@ from ..functions.keys import KEY
 from ..functions.normalize import Strategy, literal
 from ..plans.settings import CompareMode
 from .align import align
+from .membership import membership
 
 # Statuses of a key, and of a field inside a record.
 MATCHED = "MATCHED"
@@ -188,8 +189,8 @@ def leftovers_by_digest(
 ) -> DataFrame:
     """Same result as ``leftovers`` for wide rows: digests are shuffled, payloads only of keys that differ.
 
-    The differing digests are computed once, into the checkpoint folder. Payloads are then found by a join in which
-    copies have been folded; how it is carried out is left to adaptive execution.
+    The differing (key, digest) pairs are computed once, into the checkpoint folder. The second scan meets a Bloom filter of
+    them before anything is shuffled, so only rows that differ, and about one in 250 others, go on to the exact join.
     """
     spark = source.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -200,11 +201,15 @@ def leftovers_by_digest(
     digests = [_digested(side, strategy).select(KEY, "digest") for side in (source, target)]
     copies = _copies(*digests)
     open_pairs = copies.filter(f"{_MORE} <> 0").selectExpr(KEY, "digest", f"{_MORE} > 0 AS on_source").checkpoint()
+    pair = f"xxhash64({KEY}, digest)"
+    known = membership(open_pairs.selectExpr(f"{pair} AS h"))
 
     def payloads(side: DataFrame, on_source: bool) -> DataFrame:
         pairs = open_pairs.filter("on_source" if on_source else "NOT on_source").select(KEY, "digest")
-        kept = _digested(side, strategy).join(pairs, [KEY, "digest"], "left_semi")
-        return kept.selectExpr(KEY, "payload", f"{str(on_source).lower()} AS on_source")
+        near = known.rows_of(_digested(side, strategy), pair)
+        # Copies fold before they travel: equal digests of a key are equal payloads.
+        near = near.groupBy(KEY, "digest").agg(F.max("payload").alias("payload"))
+        return near.join(pairs, [KEY, "digest"], "left_semi").selectExpr(KEY, "payload", f"{str(on_source).lower()} AS on_source")
 
     found = payloads(source, True).unionAll(payloads(target, False))
     return _folded(found, "on_source", "NOT on_source")
@@ -239,46 +244,33 @@ def reconcile_counts(
     """Counts with one row per key and side: the counting mode.
 
     A key that repeats on a side is counted once and represented by its row with the greatest payload, as
-    in the detail modes. Keys with one group of equal values on each side are decided on numbers; only keys
-    with several, and on both sides, have their payloads written and folded. ``source_rows`` and ``target_rows`` tell
-    how many rows there were.
+    in the detail modes. A key on both sides matches if the greatest of all its payloads is on both: so one payload a key
+    and task goes through the second step, which needs no second shuffle of copies. ``source_rows`` and
+    ``target_rows`` tell how many rows there were.
     """
     both = align(source, target, strategy)
-    copies = _copies(both.source, both.target, by_key)
     per_key = _grouped(
-        copies,
+        both.with_payload(_copies(both.source, both.target, by_key)),
         [KEY],
-        "count_if(source_rows > 0) AS source_groups",
-        "count_if(target_rows > 0) AS target_groups",
-        "count_if(source_rows > 0 AND target_rows > 0) AS shared",
+        # A payload ends where its array does, so a mark behind it doesn't change the order of different ones.
+        "max(concat(payload, if(source_rows > 0 AND target_rows > 0, '+', '-'))) AS greatest",
         "sum(source_rows) AS source_rows",
         "sum(target_rows) AS target_rows",
     )
-    several = "source_groups > 0 AND target_groups > 0 AND (source_groups > 1 OR target_groups > 1)"
-    folded = _grouped(
-        both.with_payload(copies.join(per_key.filter(several).select(KEY), KEY, "left_semi")),
-        [KEY],
-        "max(CASE WHEN source_rows > 0 THEN payload END) AS source_payload",
-        "max(CASE WHEN target_rows > 0 THEN payload END) AS target_payload",
+    in_source, in_target, same = "source_rows > 0", "target_rows > 0", "right(greatest, 1) = '+'"
+    counts = (
+        f"count_if({in_source})",
+        f"count_if({in_target})",
+        f"count_if({in_source} AND {in_target} AND {same})",
+        f"count_if({in_source} AND {in_target} AND NOT {same})",
+        f"count_if(NOT {in_target})",
+        f"count_if(NOT {in_source})",
+        "coalesce(sum(source_rows), 0L)",
+        "coalesce(sum(target_rows), 0L)",
     )
-    one = "source_groups = 1 AND target_groups = 1"
-    numbers = (
-        "CAST(source_groups > 0 AS LONG)",
-        "CAST(target_groups > 0 AS LONG)",
-        f"CAST({one} AND shared = 1 AS LONG)",
-        f"CAST({one} AND shared = 0 AS LONG)",
-        "CAST(target_groups = 0 AS LONG)",
-        "CAST(source_groups = 0 AS LONG)",
-        "source_rows",
-        "target_rows",
+    return per_key.agg(
+        *[F.expr(f"{count} AS {name}") for count, name in zip(counts, (*COUNTS, "source_rows", "target_rows"))]
     )
-    same = "source_payload = target_payload"
-    of_folded = ("0L", "0L", f"CAST({same} AS LONG)", f"CAST(NOT ({same}) AS LONG)", "0L", "0L", "0L", "0L")
-    names = (*COUNTS, "source_rows", "target_rows")
-    parts = [
-        df.selectExpr(*[f"{e} AS {n}" for e, n in zip(exprs, names)]) for df, exprs in ((per_key, numbers), (folded, of_folded))
-    ]
-    return parts[0].unionAll(parts[1]).selectExpr(*[f"coalesce(sum({n}), 0L) AS {n}" for n in names])
 
 
 def _value(side: str, at: int | None) -> str:
