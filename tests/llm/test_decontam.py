@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from crosstally.llm import decontam
@@ -89,10 +90,49 @@ def test_recall_at_the_bound_for_each_size(n, kinds):
     assert sum(i in held for i, held in enumerate(found)) >= 97
 
 
+def test_walks_read_whole_windows_and_no_bucket_is_large(spark):
+    """Windows are scaled to their items, walks get to their ends, and keys tell items apart."""
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    for n in (5, 9, 20, 40, 100, 400):
+        low, high, stride, window = decontam.class_of(n)
+        assert low <= n <= high and stride <= max(1, window // 4) and window >= min(0.55 * low, 4 * low**0.5 - 1)
+    symbols = np.random.default_rng(0).integers(0, 1 << 32, 5000, dtype=np.uint32)
+    for window in (8, 20, 40):
+        walk = decontam.Walk(window, 0)
+        starts = np.arange(0, 4000, 7)
+        at, end = starts.copy(), starts + window
+        for step in range(3 * window):
+            seen = symbols[at]
+            seen[at == end] = decontam._PAD
+            at = np.minimum(at + ((seen * walk.bits[step]) >> np.uint32(31)), end)
+        assert (at - starts).mean() > 0.95 * window and (at == end).mean() > 0.9
+        assert all(max(p) >= 2 * window and min(p) < window for p in walk.places)
+    index = decontam.Index(items, 0.8)
+    for _, _, _, _, tables in index.classes:
+        for _, sides in tables:
+            for _, keys, owners, _ in sides:
+                most = max(len(set(owners[keys == key].tolist())) for key in np.unique(keys))
+                assert most <= 4
+
+
+def test_windows_that_are_not_walked_over_hold_no_copy():
+    """Even where all other words are unknown, copies at the bound keep enough of the item's words in every window."""
+    rng = random.Random(5)
+    for n in (14, 21, 34, 55, 88):
+        _, high, _, window = decontam.class_of(n)
+        tokens = [b"w%d" % i for i in range(n)]
+        for _ in range(200):
+            copy = list(tokens)
+            for at in rng.sample(range(n), n // 5):
+                copy[at] = b"x"
+            least = min(sum(w != b"x" for w in copy[i : i + window]) for i in range(n - window + 1))
+            assert least >= window - decontam.edits(high, 0.8)
+
+
 def test_blocks_of_items_give_the_same(docs, benchmark, monkeypatch):
     whole = {r.doc_id: r.item_ids for r in decontam.contaminated(docs, benchmark).collect()}
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 800)
-    assert len(decontam.blocks(benchmark, 0.8)) > 1
+    assert len(list(decontam.blocks(benchmark))) > 1
     assert {r.doc_id: r.item_ids for r in decontam.contaminated(docs, benchmark).collect()} == whole
     kept = {r.doc_id for r in decontam.clean(docs, benchmark).collect()}
     assert kept == {d for d, ids in whole.items() if not ids}
