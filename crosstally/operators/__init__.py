@@ -19,7 +19,7 @@ from .compare import (
     unique_keys,
 )
 from .digest import domain_digest, run_digest
-from .incremental import chained_baseline, delta
+from .incremental import chained_baseline, delta, delta_by_digest
 from .ledger import (
     RECORD_SCHEMA,
     RUN_SCHEMA,

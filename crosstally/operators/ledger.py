@@ -1,17 +1,20 @@
-"""Run and record ledger on plain tables that only ever grow.
+"""Run and record ledger on plain folders of which a commit log tells what counts.
 
 A run is a series of event rows (started, then completed or failed), each carrying the full row.
 The current state and the active run of a profile are derived, never updated, so a crash cannot
-leave two active runs behind.
+leave two active runs behind. A run's end and its records appear with one log entry.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import random
 import time
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
@@ -21,7 +24,9 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigurationError
 from ..functions.keys import KEY
+from .commits import CommitLog, Folder
 from .compare import COUNTS, STATUSES
+from .layout import FILE_ROWS, FILES_SCHEMA, SortedFile, baseline_table, files_of_page, write_baseline, write_file_list, write_sorted
 
 _text, _long, _time = T.StringType(), T.LongType(), T.TimestampType()
 
@@ -79,7 +84,7 @@ def normalize_status(status: str | None) -> str | None:
     name = STATUS_ALIASES.get(name, name)
     if name not in STATUSES:
         raise ConfigurationError(
-            f"Unknown status '{status}'; use MATCHED, MISMATCHED, SOURCE_ONLY|SOURCE, TARGET_ONLY|TARGET"
+            f"Unknown status '{status}': records are {', '.join(STATUSES)} (or {', '.join(STATUS_ALIASES)} for short)"
         )
     return name
 
@@ -205,51 +210,70 @@ def _owner(domain_id: str, profile_id: str | None) -> str:
 
 
 class Ledger:
-    """Run events and records below one folder that all executors share."""
+    """Run events, records and baselines below one folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str, actor: str = "crosstally"):
+    What readers see is decided by the commit log; everything else lies in folders that are written once. ``buckets`` is the
+    number that baselines are clustered into, ``file_rows`` the most records of a file.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, actor: str = "crosstally", buckets: int = 64, file_rows: int = FILE_ROWS):
         self.spark = spark
         self.path = path.rstrip("/")
         self.actor = actor
+        self.buckets = buckets
+        self.file_rows = file_rows
+        self.log = CommitLog(spark, self.path)
+        self._tables: list[str] = []
+
+    def _new(self, kind: str, place: str, **facts: Any) -> Folder:
+        return Folder(f"{kind}/{place}/{uuid.uuid4().hex}", kind, facts)
 
-    @property
-    def _events_path(self) -> str:
-        return f"{self.path}/runs"
+    def _at(self, folder: Folder) -> str:
+        return f"{self.path}/{folder.path}"
 
-    @property
-    def _records_path(self) -> str:
-        return f"{self.path}/records"
+    # -- events ---------------------------------------------------------------------------------
 
-    def _append(self, row: Mapping[str, Any]) -> dict[str, Any]:
-        """Write one event to a folder of its own, so that runs side by side do not share a committer."""
+    def _append(self, row: Mapping[str, Any], also: Iterable[Folder] = ()) -> dict[str, Any]:
+        """One event, seen together with the folders ``also``. Runs side by side share no committer."""
         event = {**row, "event_ts": datetime.now(timezone.utc)}
         values = tuple(event.get(f.name) for f in RUN_SCHEMA.fields)
-        place = f"owner={_owner(row['domain_id'], row['profile_id'])}/batch={row['run_id']}-{row['status']}"
-        df = self.spark.createDataFrame([values], RUN_SCHEMA)
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self._events_path}/{place}")
+        owner = _owner(row["domain_id"], row["profile_id"])
+        folder = self._new("runs", f"owner={owner}", owner=owner, runs={str(row["run_id"]): row["status"]})
+        self.spark.createDataFrame([values], RUN_SCHEMA).coalesce(1).write.parquet(self._at(folder))
+        also = list(also)
+        self.log.commit([folder, *also], self._replaced(also))
         return dict(row)
 
+    def _replaced(self, new: Sequence[Folder]) -> list[str]:
+        """Folders of the same runs that a retry leaves behind."""
+        runs = {(f.kind, f.facts["run_id"]) for f in new}
+        if not runs:
+            return []
+        return [f.path for f in self.log.state()[1].values() if (f.kind, f.facts.get("run_id")) in runs]
+
     def compact(self, domain_id: str, profile_id: str | None = None) -> int:
         """Put the finished runs of a profile (or of a domain's own runs) into one folder; the number of folders replaced.
 
-        The new folder is complete before an old one goes. Readers in between may see an event twice, which changes
-        nothing: a run is its latest event. Runs that haven't ended keep their folders.
+        The new folder takes the place of the old ones with one log entry, and these stay until ``vacuum``. If another
+        writer compacted them meanwhile, nothing is replaced. Runs that haven't ended keep their folders.
         """
-        owner = f"{self._events_path}/owner={_owner(domain_id, profile_id)}"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(owner).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        if not fs.exists(hadoop_path(owner)):
-            return 0
-        own = self.events().filter(F.col("owner") == _owner(domain_id, profile_id))
-        ended = current_runs(own.drop("owner", "batch")).filter(F.col("status") != "RUNNING").select("run_id")
-        kept = own.join(ended, "run_id")
-        old = [r.batch for r in kept.select("batch").distinct().collect()]
+        owner = _owner(domain_id, profile_id)
+        own = [f for f in self.log.folders("runs") if f.facts["owner"] == owner]
+        ended = {run for f in own for run, status in f.facts["runs"].items() if status != "RUNNING"}
+        old = [f for f in own if ended.issuperset(f.facts["runs"])]
         if len(old) < 2:
             return 0
-        kept.select(*RUN_SCHEMA.fieldNames()).coalesce(1).write.parquet(f"{owner}/batch=all-{new_run_id()}")
-        for batch in old:
-            fs.delete(hadoop_path(f"{owner}/batch={batch}"), True)
-        return len(old)
+        last = {}
+        for f in old:
+            last |= {run: status for run, status in f.facts["runs"].items() if last.get(run, "RUNNING") == "RUNNING"}
+        new = self._new("runs", f"owner={owner}", owner=owner, runs=last)
+        self._rows(old, RUN_SCHEMA).coalesce(1).write.parquet(self._at(new))
+        paths = [f.path for f in old]
+        return len(old) if self.log.commit([new], paths, needs=paths) is not None else 0
+
+    def vacuum(self, older_than: float = 7 * 86400) -> int:
+        """Delete folders that were replaced more than ``older_than`` seconds ago, longer than any reader works."""
+        return self.log.vacuum(older_than)
 
     def start(self, domain_id: str, profile_id: str | None = None, **details: Any) -> dict[str, Any]:
         """Open a run; ``details`` are further columns of the run row."""
@@ -270,67 +294,161 @@ class Ledger:
             }
         )
 
-    def complete(self, run: Mapping[str, Any], counts: Mapping[str, int]) -> dict[str, Any]:
+    def complete(self, run: Mapping[str, Any], counts: Mapping[str, int], records: Iterable[Folder] = ()) -> dict[str, Any]:
+        """End a run; its staged ``records`` are seen from the same moment on."""
         done = {"status": "COMPLETED", "completed_at": datetime.now(timezone.utc)}
-        return self._append({**run, **done, **{c: int(counts[c] or 0) for c in COUNTS}})
+        return self._append({**run, **done, **{c: int(counts[c] or 0) for c in COUNTS}}, records)
 
     def fail(self, run: Mapping[str, Any], error: BaseException) -> dict[str, Any]:
         done = {"status": "FAILED", "completed_at": datetime.now(timezone.utc), "error_message": failure_text(error)}
         return self._append({**run, **done})
 
-    def write_records(self, run: Mapping[str, Any], records: DataFrame) -> None:
-        """Store the records of a run. The folder is the run's own, so a retry replaces, never doubles."""
-        stamped = records.withColumns(
-            {"created_at": F.lit(datetime.now(timezone.utc)), "created_by": F.lit(self.actor)}
-        )
-        stamped.write.mode("overwrite").parquet(f"{self._records_path}/run_id={run['run_id']}")
+    def _rows(self, folders: Sequence[Folder], schema: T.StructType) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*map(self._at, folders))
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+    def _events(self, folders: Sequence[Folder]) -> DataFrame:
+        """Events of these folders, with the partition column ``owner``."""
+        schema = T.StructType([*RUN_SCHEMA.fields, T.StructField("owner", _text)])
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/runs").parquet(*map(self._at, folders))
 
     def events(self) -> DataFrame:
-        """All events, with the partition columns ``owner`` and ``batch``."""
-        partitioned = T.StructType([*RUN_SCHEMA.fields, T.StructField("owner", _text), T.StructField("batch", _text)])
-        return self._read(self._events_path, partitioned)
+        """All events."""
+        return self._events(self.log.folders("runs")).drop("owner")
 
     def _events_of(self, domain_id: str, profile_id: str | None) -> DataFrame:
-        """One profile's events; the filter prunes folders."""
-        own = (F.col("domain_id") == domain_id) & F.col("profile_id").eqNullSafe(F.lit(profile_id))
-        return self.events().filter((F.col("owner") == _owner(domain_id, profile_id)) & own).drop("owner", "batch")
+        """One profile's events; other profiles' folders are not read."""
+        owner = _owner(domain_id, profile_id)
+        own = (F.col("domain_id") == domain_id) & F.col("profile_id").eqNullSafe(F.lit(profile_id)) & (F.col("owner") == owner)
+        return self._events([f for f in self.log.folders("runs") if f.facts["owner"] == owner]).filter(own).drop("owner")
 
     def runs(self) -> DataFrame:
-        return current_runs(self.events().drop("owner", "batch"))
+        return current_runs(self.events())
 
     def runs_of(self, domain_id: str, profile_id: str | None) -> DataFrame:
         return current_runs(self._events_of(domain_id, profile_id))
 
-    def records(self) -> DataFrame:
-        """All records; a filter on ``run_id`` reads only that run's folder."""
-        return self._read(self._records_path, RECORD_SCHEMA)
-
     def run(self, run_id: int) -> dict[str, Any] | None:
-        row = self.runs().filter(F.col("run_id") == run_id).first()
+        folders = [f for f in self.log.folders("runs") if str(run_id) in f.facts["runs"]]
+        row = current_runs(self._rows(folders, RUN_SCHEMA)).filter(F.col("run_id") == run_id).first()
         return None if row is None else row.asDict()
 
     def active(self, domain_id: str, profile_id: str | None) -> dict[str, Any] | None:
         row = active_runs(self.runs_of(domain_id, profile_id)).first()
         return None if row is None else row.asDict()
 
+    # -- records --------------------------------------------------------------------------------
+
+    def stage_records(self, run: Mapping[str, Any], records: DataFrame) -> list[Folder]:
+        """Write a run's records, their list of files and their baseline; nobody sees them before they are committed.
+
+        The records are read several times, so give a frame that is cheap to read, such as a written one.
+        """
+        run_id = run["run_id"]
+        sorted_, files, baseline = (
+            self._new(kind, f"run_id={run_id}", run_id=run_id, **facts)
+            for kind, facts in (("records", {}), ("files", {}), ("baseline", {"buckets": self.buckets})))
+        stamped = records.withColumns(
+            {"created_at": F.lit(datetime.now(timezone.utc)), "created_by": F.lit(self.actor)}
+        )
+        write_sorted(stamped, self._at(sorted_), self.file_rows)
+        written = self.spark.read.schema(stamped.schema).parquet(self._at(sorted_))
+        write_file_list(self.spark, stamped.schema, self._at(sorted_), self._at(files))
+        write_baseline(written, self._at(baseline), self.buckets)
+        return [sorted_, files, baseline]
+
+    def write_records(self, run: Mapping[str, Any], records: DataFrame) -> None:
+        """Store the records of a run. Records that the run had before are replaced."""
+        new = self.stage_records(run, records)
+        self.log.commit(new, self._replaced(new))
+
+    def records(self, run_ids: Sequence[int] | None = None) -> DataFrame:
+        """Records of all runs, or of these."""
+        wanted = [f for f in self.log.folders("records") if run_ids is None or f.facts["run_id"] in run_ids]
+        fields = T.StructType([f for f in RECORD_SCHEMA.fields if f.name != "run_id"])
+        # The folder names the run: one column from the path, however many runs are read.
+        of_run = F.regexp_extract(F.col("_metadata.file_path"), r"run_id=(\d+)/[0-9a-f]+/[^/]*$", 1).cast("long")
+        if not wanted:
+            return self.spark.createDataFrame([], RECORD_SCHEMA)
+        return self._rows(wanted, fields).select(*[f.name for f in fields], of_run.alias("run_id"))
+
+    def _baseline(self, run_ids: Sequence[int]) -> tuple[DataFrame, str | None]:
+        folders = [f for f in self.log.folders("baseline") if f.facts["run_id"] in set(run_ids)]
+        if not folders:
+            return self.spark.createDataFrame([], f"{KEY} string, digest binary, run_id long"), None
+        buckets = {f.facts["buckets"] for f in folders}
+        if len(buckets) == 1:
+            name = baseline_table(self.spark, [(f.facts["run_id"], self._at(f)) for f in folders], buckets.pop())
+            return self.spark.table(name), name
+        # Written with different numbers of buckets: rows as they lie.
+        parts = [self.spark.read.parquet(self._at(f)).withColumn("run_id", F.lit(f.facts["run_id"]).cast("long")) for f in folders]
+        return functools.reduce(DataFrame.unionByName, parts), None
+
+    @contextmanager
+    def baseline_of(self, run_ids: Sequence[int]) -> Iterator[DataFrame]:
+        """migration_key, digest and run_id of these runs' records, partitioned by key: a join or an aggregation by key
+        doesn't shuffle it. The frame is good until the block ends."""
+        frame, name = self._baseline(run_ids)
+        try:
+            yield frame
+        finally:
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def baseline(self, run_ids: Sequence[int]) -> DataFrame:
+        """As ``baseline_of``, for frames that are used later; the table behind it stays until ``release``."""
+        frame, name = self._baseline(run_ids)
+        self._tables += [name] if name else []
+        return frame
+
+    def release(self) -> None:
+        """Forget the tables behind ``baseline`` frames; their files stay."""
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+
+    def _sorted_files(self, run_id: int) -> tuple[str | None, list[SortedFile]]:
+        _, folders = self.log.state()
+        of_run = {f.kind: f for f in folders.values() if f.facts.get("run_id") == run_id}
+        if "records" not in of_run:
+            return None, []
+        files = self.spark.read.schema(FILES_SCHEMA).parquet(self._at(of_run["files"])).collect()
+        return self._at(of_run["records"]), [SortedFile(**r.asDict()) for r in files]
+
+    def page_frame(
+        self, run_id: int, status: str | None = None, limit: int = PAGE_LIMIT, offset: int = 0, after_key: str | None = None
+    ) -> DataFrame:
+        """A page of a run's records in key order, read from the files that hold its ranks, usually one or two."""
+        _check_page(limit, offset, PAGE_LIMIT)
+        wanted = normalize_status(status)
+        folder, files = self._sorted_files(run_id)
+        chosen, skip = files_of_page(files, wanted, limit, offset, after_key)
+        fields = T.StructType([f for f in RECORD_SCHEMA.fields if f.name not in ("run_id", "created_at", "created_by")])
+        if not chosen:
+            return self.spark.createDataFrame([], fields)
+        found = self.spark.read.schema(fields).parquet(*[f"{folder}/{f.file}" for f in chosen])
+        if wanted is not None:
+            found = found.filter(F.col("status") == wanted)
+        if after_key is not None:
+            found = found.filter(F.col(KEY) > after_key)
+        page = found.orderBy(KEY)
+        return (page.offset(skip) if skip else page).limit(limit)
+
     def page(
         self, run_id: int, status: str | None = None, limit: int = PAGE_LIMIT, offset: int = 0, after_key: str | None = None
     ) -> dict[str, Any]:
         """A page of records with the total, as plain Python values; ``next_key`` is the ``after_key`` of the next one."""
-        rows = [r.asDict() for r in records_page(self.records(), run_id, status, limit, offset, after_key).collect()]
+        rows = [r.asDict() for r in self.page_frame(run_id, status, limit, offset, after_key).collect()]
+        wanted = normalize_status(status)
         return {
             "run_id": run_id,
-            "status": normalize_status(status),
+            "status": wanted,
             "limit": limit,
             "offset": offset,
             "next_key": rows[-1][KEY] if len(rows) == limit else None,
-            "total": records_total(self.records(), run_id, status).first()["total"],
+            "total": sum(f.rows(wanted) for f in self._sorted_files(run_id)[1]),
             "page_size": len(rows),
             "records": rows,
         }

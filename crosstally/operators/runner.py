@@ -16,8 +16,9 @@ from ..plans.settings import CompareMode, CompareSettings
 from ..plans.spec import Profile
 from ..plans.window import RunScope, Window, resolve_scope, resolve_window
 from ..sources.extract import extract, stored_statement
+from .commits import Folder
 from .compare import COUNTS, numbers_and_leftovers, reconcile_counts, records_of, status_counts
-from .incremental import chain_of_runs, delta, latest_records
+from .incremental import chain_of_runs, delta_by_digest
 from .ledger import Ledger
 
 
@@ -94,10 +95,10 @@ class Runner:
             target_query=self._stored(profile, profile.target, "target"),
         )
         try:
-            counts = self._compare(run, profile, settings, window, scope, baseline_id)
+            counts, records = self._compare(run, profile, settings, window, scope, baseline_id)
         except Exception as error:
             return self.ledger.fail(run, error)
-        return self.ledger.complete(run, counts)
+        return self.ledger.complete(run, counts, records)
 
     def _stored(self, profile: Profile, side, role: str) -> str | None:
         try:
@@ -107,10 +108,10 @@ class Runner:
         query_dir = profile.query_dir or self.catalog.defaults.query_dir
         return stored_statement(side, kind, profile.qualified_id, role, query_dir)
 
-    def _compare(self, run, profile: Profile, settings: CompareSettings, window, scope, baseline_id) -> Mapping[str, int]:
+    def _compare(self, run, profile: Profile, settings: CompareSettings, window, scope, baseline_id) -> tuple[Mapping[str, int], list[Folder]]:
         source, target = self.sides(profile, window)
         if settings.resolved_mode is CompareMode.COUNTS:
-            return reconcile_counts(source, target, profile.strategy, profile.by_key or self.by_key).first().asDict()
+            return reconcile_counts(source, target, profile.strategy, profile.by_key or self.by_key).first().asDict(), []
         # Numbers of all keys and texts of differing ones come from one shuffle of copies. The numbers are
         # observed in the stage that writes, after the last shuffle, so recomputed tasks are not counted twice;
         # their branch adds no row.
@@ -130,33 +131,34 @@ class Runner:
             width,
             self.store_payloads,
         )
-        if scope is RunScope.FULL:
-            self.ledger.write_records(run, records)
-            return observation.get
-        # An incremental run joins with its baseline, so the differing records are written first:
-        # the counts stay in a writing stage, and the join knows how large its inputs are.
+        # Records are written as they come first: the counts stay in that stage, and what sorts, samples or joins them
+        # later reads files.
         staged = self._staging_path(run)
         try:
             records.write.mode("overwrite").parquet(staged)
-            current = self.spark.read.schema(records.schema).parquet(staged)
-            self.ledger.write_records(run, delta(current, self._baseline(profile, baseline_id)))
+            kept = self.spark.read.schema(records.schema).parquet(staged)
+            if scope is RunScope.INCREMENTAL:
+                changed = f"{staged}-changed"
+                with self.ledger.baseline_of(self._baseline_runs(profile, baseline_id)) as baseline:
+                    delta_by_digest(kept, baseline).write.mode("overwrite").parquet(changed)
+                kept = self.spark.read.schema(records.schema).parquet(changed)
+            return observation.get, self.ledger.stage_records(run, kept)
         finally:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return observation.get
+            for path in (staged, f"{staged}-changed"):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _staging_path(self, run: Mapping[str, Any]) -> str:
         shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.ledger.path
         return f"{shared.rstrip('/')}/staging/run_id={run['run_id']}"
 
-    def _baseline(self, profile: Profile, baseline_id: int) -> DataFrame:
-        records = self.ledger.records()
+    def _baseline_runs(self, profile: Profile, baseline_id: int) -> list[int]:
+        """Ids of the runs an incremental run is compared with."""
         if self.baseline == "previous":
-            return records.filter(F.col("run_id") == baseline_id)
+            return [baseline_id]
         own = self.ledger.runs_of(profile.domain_id, profile.profile_id)
-        # The ids of one profile's runs since its last full run; as literals they select folders to read.
-        chain = [r.run_id for r in chain_of_runs(own).select("run_id").collect()]
-        return latest_records(records.filter(F.col("run_id").isin(chain)))
+        # The ids of one profile's runs since its last full run; they select folders to read.
+        return [r.run_id for r in chain_of_runs(own).select("run_id").collect()]
 
     def run_domain(
         self,

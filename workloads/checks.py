@@ -330,11 +330,21 @@ def _comparisons() -> None:
     fields = field_object({n: i for i, n in enumerate(CUSTOMER_TEXTS)})
     c["recon_composite_key"] = f"WITH {customers} {records(fields)}"
     c["recon_duplicates"] = f"WITH {LINES} {records()}"
+    c["ledger_page_offset"] = f"""
+      WITH {LINES}, found AS ({records(where="status = 'MISMATCHED'")}),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY migration_key) - 1 AS place, count(*) OVER () * 3 // 4 AS skipped FROM found)
+      SELECT * EXCLUDE (place, skipped) REPLACE (CAST(NULL AS VARCHAR) AS source_payload, CAST(NULL AS VARCHAR) AS target_payload)
+      FROM ranked WHERE place >= skipped AND place < skipped + 300"""
     later = compared(S.ORDERS_SOURCE, S.ORDERS_TARGET_LATER, ORDER_TEXTS, p="n")
     c["recon_incremental_delta"] = f"""WITH {ORDERS}, {later}
       SELECT n.* FROM ({records(p='n')}) n LEFT JOIN ({records()}) o ON n.migration_key = o.migration_key
       WHERE o.migration_key IS NULL OR n.status <> o.status OR n.source_payload IS DISTINCT FROM o.source_payload
          OR n.target_payload IS DISTINCT FROM o.target_payload"""
+    c["ledger_delta"] = c["recon_incremental_delta"]
+    c["ledger_chained"] = f"""
+      SELECT migration_key, CAST(max(run_id) AS BIGINT) AS run_id FROM (
+        SELECT migration_key, 2 AS run_id FROM ({c["recon_incremental_delta"]})
+        UNION ALL SELECT migration_key, 1 FROM (WITH {ORDERS} {records()})) GROUP BY 1"""
     c["baseline_chained"] = f"""
       WITH runs AS ({sql(S.MONTHLY_RUNS)}), records AS ({sql(S.MONTHLY_RECORDS)}),
       chain AS (SELECT * FROM runs r WHERE status = 'COMPLETED' AND run_id >= (

@@ -20,6 +20,7 @@ from crosstally.functions import (
     with_tags,
 )
 from crosstally.operators.compare import COUNTS
+from crosstally.operators.incremental import latest_digests
 from crosstally.operators.ledger import Ledger
 
 from . import sides as S
@@ -559,6 +560,43 @@ def ledger_records(spark):
     return ledger.records().filter(F.col("run_id") == 42).drop("created_at", "created_by")
 
 
+@query
+def ledger_delta(spark):
+    """Records of a later comparison that are new or differ from those of a stored run, which lie in buckets."""
+    ledger = Ledger(spark, shared_dir(spark))
+    ledger.write_records({"run_id": 1}, stored(spark, ct.reconcile_details(*orders(spark))))
+    later = ct.reconcile_details(*pair(spark, S.ORDERS_SOURCE, S.ORDERS_TARGET_LATER))
+    return ct.delta_by_digest(later, ledger.baseline([1]))
+
+
+@query
+def ledger_chained(spark):
+    """The newest stored run of every key, where a later run stored only what changed."""
+    ledger = Ledger(spark, shared_dir(spark))
+    ledger.write_records({"run_id": 1}, stored(spark, ct.reconcile_details(*orders(spark))))
+    later = ct.reconcile_details(*pair(spark, S.ORDERS_SOURCE, S.ORDERS_TARGET_LATER))
+    with ledger.baseline_of([1]) as baseline:
+        ledger.write_records({"run_id": 2}, stored(spark, ct.delta_by_digest(later, baseline)))
+    return latest_digests(ledger.baseline([1, 2])).select(KEY, "run_id")
+
+
+def stored(spark, df: DataFrame) -> DataFrame:
+    """The frame, written below the shared folder and read again."""
+    folder = shared_dir(spark)
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+@query
+def ledger_page_offset(spark):
+    """A page far down a run, read from the files that hold its ranks."""
+    ledger = Ledger(spark, shared_dir(spark), file_rows=5000)
+    found = ct.reconcile_details(*lineitem(spark), store_payloads=False)
+    ledger.write_records({"run_id": 5}, stored(spark, found))
+    total = sum(f.rows("MISMATCHED") for f in ledger._sorted_files(5)[1])
+    return ledger.page_frame(5, "mismatched", limit=300, offset=total * 3 // 4)
+
+
 def _runs(spark):
     return ct.current_runs(rows(spark, S.RUN_EVENTS))
 
