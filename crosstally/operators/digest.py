@@ -11,8 +11,6 @@ from .compare import MATCHED
 
 # Fixed value: how many differing keys a digest shows unless told otherwise.
 SHOWN_BY_DEFAULT = 50
-# Shares a run's records are dealt over; take more for runs of billions of records.
-SLOTS_BY_DEFAULT = 256
 
 # Labels of the digest, in the order they are written.
 _RUN_LABELS = {
@@ -41,33 +39,26 @@ def _labelled(labels: dict[str, str]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def run_digest(
-    runs: DataFrame, records: DataFrame, shown: int = SHOWN_BY_DEFAULT, slots: int = SLOTS_BY_DEFAULT
-) -> DataFrame:
+def run_digest(runs: DataFrame, records: DataFrame, shown: int = SHOWN_BY_DEFAULT) -> DataFrame:
     """(run_id, digest): header, counts, and the first ``shown`` differing keys in key order.
 
-    ``runs`` carry ``active`` (see ``with_active``). Records are read once: every slot of a run (a share of its keys,
-    told by hash) gives its number of records and its first keys, and the slots of a run are merged. A run's
-    records are never in one task, however many there are.
+    ``runs`` carry ``active`` (see ``with_active``). Every task keeps the first ``shown`` differing records of each run it
+    meets and shuffles no others, so a run's records are never in one task, however many there are.
     """
     shown = max(1, shown)
     diffs = F.when(
         F.trim(F.coalesce("field_diffs", F.lit(""))) != "", F.concat(F.lit(" fieldDiffs="), F.col("field_diffs"))
     ).otherwise("")
     line = F.concat(F.lit("- key="), F.col(KEY), F.lit(" status="), F.col("status"), diffs, F.lit("\n"))
-    differs = F.col("status") != MATCHED
-    of_slot = W.partitionBy("run_id", "slot")
-    ranked = (
-        records.select("run_id", F.pmod(F.xxhash64(KEY), F.lit(slots)).alias("slot"), F.struct(F.col(KEY).alias("key"), line.alias("line"))
-                       .alias("entry"), F.coalesce(differs, F.lit(False)).alias("differs"))
-        .withColumn("rows", F.count(F.lit(1)).over(of_slot))
-        .withColumn("place", F.row_number().over(of_slot.orderBy(F.desc("differs"), "entry")))
-        .filter(F.col("place") <= shown)
-    )
-    merged = ranked.groupBy("run_id").agg(
-        F.sum(F.when(F.col("place") == 1, F.col("rows"))).alias("detail_rows"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("entry")))), 1, shown).alias("entries"),
+    counted = records.groupBy("run_id").agg(F.count(F.lit(1)).alias("detail_rows"))
+    # A limit on a rank alone is applied before the shuffle as well as after it.
+    place = F.row_number().over(W.partitionBy("run_id").orderBy("key", "line"))
+    first = (
+        records.filter(F.col("status") != MATCHED).select("run_id", F.col(KEY).alias("key"), line.alias("line"))
+        .withColumn("place", place).filter(F.col("place") <= shown)
+        .groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("entries"))
     )
+    merged = counted.join(first, "run_id", "left")
     joined = runs.filter(F.col("profile_id").isNotNull()).join(merged, "run_id", "left")
     entries = F.coalesce("entries", F.expr("CAST(array() AS array<struct<key:string,line:string>>)"))
     error = F.when(
