@@ -19,6 +19,7 @@ from .compare import (
     unique_keys,
 )
 from .digest import domain_digest, run_digest
+from .history import HistoryTable
 from .incremental import chained_baseline, delta, delta_by_digest
 from .ledger import (
     RECORD_SCHEMA,

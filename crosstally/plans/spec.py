@@ -75,14 +75,14 @@ class KeySpec:
     def _check(self):
         if self.kind is KeyKind.DEFINED:
             if self.expression is None:
-                raise ConfigurationError("Key type DEFINED requires expression")
+                raise ConfigurationError("A defined key lacks its SQL expression")
             if any(mark in self.expression for mark in (";", "--", "/*")):
-                raise ConfigurationError("Key expression cannot contain statement separators or comments")
+                raise ConfigurationError("The SQL expression of a key is one expression: no semicolon, no comment")
             return
         if self.kind is KeyKind.SINGLE and len(self.columns) != 1:
-            raise ConfigurationError("Key type SINGLE requires exactly one column")
+            raise ConfigurationError(f"A single key has one column, not {len(self.columns)}")
         if self.kind is KeyKind.COMPOSITE and len(self.columns) < 2:
-            raise ConfigurationError("Key type COMPOSITE requires two or more columns")
+            raise ConfigurationError(f"A composite key joins at least two columns, not {len(self.columns)}")
         for column in self.columns:
             simple_identifier("key column", column)
 

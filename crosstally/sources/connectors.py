@@ -33,11 +33,16 @@ def jdbc_url(source: Datasource) -> str:
     return f"jdbc:postgresql://{host}:{port}/{source.options.get('database', 'data')}"
 
 
+def by_quantiles(source: Datasource) -> bool:
+    return [k for k in _PARALLEL if source.options.get(k) is not None] == ["partitionColumn", "numPartitions"]
+
+
 def jdbc_options(source: Datasource, statement: str, fetch_size: int | None = None) -> dict[str, str]:
     """Options of ``format("jdbc")``.
 
     With ``partitionColumn`` and its bounds on the datasource the read is split into parallel range
-    queries; large tables need that, or everything passes through one connection.
+    queries; large tables need that, or everything passes through one connection. With ``partitionColumn`` and
+    ``numPartitions`` alone the store is asked for quantiles (see ``bounds``), and the read goes by predicates.
     """
     opts: dict[str, Any] = {"url": jdbc_url(source), "driver": source.options.get("driver", "org.postgresql.Driver")}
     for name, option in (("username", "user"), ("password", "password")):
@@ -45,9 +50,9 @@ def jdbc_options(source: Datasource, statement: str, fetch_size: int | None = No
             opts[option] = source.options[name]
     opts["fetchsize"] = fetch_size or 10_000
     given = [k for k in _PARALLEL if source.options.get(k) is not None]
-    if given:
+    if given and not by_quantiles(source):
         if len(given) != len(_PARALLEL):
-            raise ConfigurationError(f"Parallel reads need all of {', '.join(_PARALLEL)}")
+            raise ConfigurationError(f"Parallel reads need all of {', '.join(_PARALLEL)}, or the first and the last")
         opts.update({k: source.options[k] for k in _PARALLEL})
         opts["dbtable"] = f"({statement}) side"
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import datetime
 from decimal import Decimal
@@ -300,3 +301,50 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
     """Newline-delimited JSON files; give the schema to avoid the pass that infers it."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.json(path)
+
+
+# Names of types in a merged variant schema, and the column types that hold them. Paths that hold values of
+# several types hold texts.
+_COLUMN_TYPES = {"OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING"}
+_SCHEMA_PARTS = re.compile(r"`(?:[^`]|``)*`|DECIMAL\(\d+,(\d+)\)|\w+|.")
+
+
+def column_schema(merged: str) -> str:
+    """Struct type, in DDL, of documents whose merged schema this is; empty if none was an object."""
+
+    def part(match: re.Match) -> str:
+        if match[1] is not None:
+            return match[0] if match[1] == "0" else "DOUBLE"
+        return _COLUMN_TYPES.get(match[0], match[0])
+
+    typed = _SCHEMA_PARTS.sub(part, merged)
+    return typed if typed.startswith("STRUCT<") else ""
+
+
+def inferred_schema(df: DataFrame, column: str) -> str:
+    """Struct type, in DDL, of all paths that any document in a column of JSON texts has.
+
+    Schemas are merged by an aggregation over all documents, in every task before one row a task is shuffled; none is
+    sampled. Texts that are no JSON objects add nothing.
+    """
+    text = F.col(column)
+    objects = df.filter(F.ltrim(text).startswith("{")).select(F.try_parse_json(text).alias("document"))
+    merged = objects.filter(F.col("document").isNotNull()).agg(F.schema_of_variant_agg("document")).first()[0]
+    return column_schema(merged)
+
+
+def parsed_documents(df: DataFrame, column: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows with their documents' fields as columns in place of the column of JSON texts.
+
+    Without a schema that of all documents is found first, which reads them once more. A text that is no JSON object has NULL fields.
+    """
+    schema = inferred_schema(df, column) if schema is None else schema
+    others = [c for c in df.columns if c != column]
+    if not schema:
+        return df.select(*others)
+    parsed = df.withColumn(column, F.from_json(F.col(column), schema))
+    fields = parsed.schema[column].dataType.names
+    shared = sorted({c.lower() for c in others} & {f.lower() for f in fields})
+    if shared:
+        raise ConfigurationError(f"Columns beside the documents are named as fields are: {shared}")
+    return parsed.select(*others, *[F.col(column).getField(f).alias(f) for f in fields])

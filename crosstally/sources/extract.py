@@ -15,7 +15,8 @@ from ..plans.spec import Datasource, SideSpec, SourceKind, blank
 from ..plans.window import Window
 from . import connectors
 from .binding import bind_sql
-from .documents import extract_documents, read_json_documents
+from .bounds import partition_predicates
+from .documents import extract_documents, parsed_documents, read_json_documents
 from .files import FileTable, read_named_table
 
 Reader = Callable[[SparkSession, SideSpec, "Datasource | None", "str | None", "Window | None"], DataFrame]
@@ -104,7 +105,13 @@ def _read_jdbc(spark, side, source, statement, window):
     if source is None:
         raise ConfigurationError("Relational sides require a datasource")
     pushed = connectors.pushed_statement(side, SourceKind.postgres, statement, window)
-    return spark.read.format("jdbc").options(**connectors.jdbc_options(source, pushed, side.batch_size)).load()
+    read = lambda sql: spark.read.format("jdbc").options(**connectors.jdbc_options(source, sql, side.batch_size)).load()
+    if not connectors.by_quantiles(source):
+        return read(pushed)
+    options = connectors.jdbc_options(source, pushed, side.batch_size)
+    parts = partition_predicates(read, pushed, source.options["partitionColumn"], int(source.options["numPartitions"]))
+    properties = {k: v for k, v in options.items() if k not in ("url", "query")}
+    return spark.read.jdbc(options["url"], f"({pushed}) side", predicates=parts, properties=properties)
 
 
 def _read_warehouse(spark, side, source, statement, window):
@@ -116,7 +123,8 @@ def _read_warehouse(spark, side, source, statement, window):
 
 
 def _read_documents(spark, side, source, statement, window):
-    """Collections: a JSON path of the datasource, a table or view of that name, or the store itself."""
+    """Collections: a JSON path of the datasource, a table or view of that name (of documents, or with a column of JSON
+    texts), or the store itself."""
     options = source.options if source is not None else {}
     if not blank(options.get("path")):
         documents = read_json_documents(spark, f"{options['path'].rstrip('/')}/{side.collection}", options.get("document_schema"))
@@ -131,6 +139,8 @@ def _read_documents(spark, side, source, statement, window):
         raise ConfigurationError("Document sides require collection")
     else:
         documents = spark.table(side.collection)
+        if not blank(options.get("document_column")):
+            documents = parsed_documents(documents, options["document_column"], options.get("document_schema"))
     return extract_documents(documents, side, statement, window)
 
 

@@ -3,14 +3,15 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 import crosstally as ct
 from crosstally import Catalog, ConfigurationError, Datasource, Domain, KeySpec, Profile, SideSpec, Window
 from crosstally.plans.spec import SourceKind
 from crosstally.sources import FileTable, bind_filter, bind_sql, column_names, extract, inline_sql, matching_files, read_file_table
 from crosstally.sources import connectors, stored_statement
-from crosstally.sources.documents import extract_documents
 from crosstally.sources.binding import filter_needs_window, needs_window
+from crosstally.sources.documents import extract_documents, inferred_schema, parsed_documents
 from workloads.workbooks import workbook
 
 SINCE = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
@@ -405,3 +406,31 @@ def test_batch_size_reaches_the_reader():
     assert (profile.source.batch_size, profile.target.batch_size) == (77, 3)
     source = Datasource("p", "postgres", options={"url": "jdbc:postgresql://h/d"})
     assert connectors.jdbc_options(source, "SELECT 1", profile.source.batch_size)["fetchsize"] == "77"
+
+
+# -- schemas of documents -----------------------------------------------------------------------
+
+
+def test_a_schema_has_every_path_of_every_document(spark):
+    texts = ['{"k":1,"a b":{"x":[1,"q"]},"n":null,"d":1.50}', '{"k":"t","o":{"OBJECT<":1}}', "broken {", "{broken", None, "[1]", "", "7",
+             ' {"k":2,"d":2.25e3,"l":[{"y":1},{"z":true}],"big":123456789012345678901234567890}', '{"l":[],"k.dot":1,"q`t":2,"v":"VARIANT"}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(5)
+    assert inferred_schema(rows, "t") == (
+        "STRUCT<`a b`: STRUCT<x: ARRAY<STRING>>, big: DECIMAL(30,0), d: DOUBLE, k: STRING, `k.dot`: BIGINT, "
+        "l: ARRAY<STRUCT<y: BIGINT, z: BOOLEAN>>, n: STRING, o: STRUCT<`OBJECT<`: BIGINT>, `q``t`: BIGINT, v: STRING>")
+    parsed = {r.id: r for r in parsed_documents(rows, "t").collect()}
+    assert len(parsed) == len(texts)
+    assert (parsed[0].k, parsed[0].d, parsed[0]["a b"].x, parsed[1].k) == ("1", 1.5, ["1", "q"], "t")
+    assert parsed[8].big == 123456789012345678901234567890 and parsed[8].l[1].z is True
+    assert all(v is None for i in (2, 3, 4, 5, 6, 7) for v in parsed[i].asDict().values() if v != i)
+    assert parsed_documents(rows.filter("id IN (4, 5)"), "t").columns == ["id"]
+    assert parsed_documents(rows.filter("id = 1"), "t", "k STRING").first().asDict() == {"id": 1, "k": "t"}
+    with pytest.raises(ConfigurationError, match="named as fields"):
+        parsed_documents(rows.withColumn("K", F.lit(1)), "t")
+
+
+def test_the_schema_is_merged_in_each_task(spark):
+    rows = spark.range(100).selectExpr("concat('{\"f', id % 7, '\":', id, '}') AS t")
+    merged = rows.agg(F.schema_of_variant_agg(F.try_parse_json("t")))
+    assert "partial_schema_of_variant_agg" in merged._jdf.queryExecution().executedPlan().toString()
+    assert inferred_schema(rows, "t").count(":") == 7

@@ -162,6 +162,15 @@ def _extracts() -> None:
       WITH w AS (SELECT string_split(min(p_name), ' ') AS w FROM part)
       SELECT CAST(p_partkey AS VARCHAR) AS migration_key, p_name AS "part.p_name", CASE WHEN p_size < 3 THEN p_size + 1 ELSE p_size END AS "part.size"
       FROM part, w WHERE p_partkey % 17 <> 0 AND list_has_all(string_split(p_name, ' '), w[1:2]) AND p_brand <> 'Brand#1'"""
+    c["extract_by_quantiles"] = """
+      SELECT l_orderkey || '-' || l_linenumber AS migration_key, l_quantity,
+             CAST(CASE WHEN l_partkey % 3 = 0 THEN 7 WHEN l_partkey % 11 > 0 THEN l_suppkey * l_suppkey END AS VARCHAR) AS part
+      FROM lineitem"""
+    c["extract_document_inferred"] = """
+      SELECT CAST(event_id AS VARCHAR) AS migration_key, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+             CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS seen,
+             CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN '[{"type":"' || event_type || '"}]' END AS "rare.only", event_type
+      FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 20"""
     c["extract_window_full"] = window.format("1970-01-01")
     c["extract_window_incremental"] = window.format("2024-01-20")
     c["extract_csv"] = """
@@ -450,6 +459,7 @@ def _versioned() -> None:
                 LEFT JOIN (SELECT * FROM h WHERE active) l ON c.customer_id = l.customer_id),
       total AS (SELECT * FROM kept UNION ALL SELECT * FROM added)"""
     c["scd2_upsert"] = f"WITH {history} SELECT * FROM total"
+    c["scd2_merge_files"] = c["scd2_upsert"]
     c["scd2_active"] = f"WITH {history} SELECT * FROM total WHERE active ORDER BY customer_id"
     closed = """SELECT r.n_nationkey, config, version, active AND NOT gone AS active, created_at, created_by,
         CASE WHEN active AND gone THEN TIMESTAMP '2002-01-01' ELSE updated_at END AS updated_at,

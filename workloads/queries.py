@@ -22,6 +22,7 @@ from crosstally.functions import (
 from crosstally.operators.compare import COUNTS
 from crosstally.operators.incremental import latest_digests
 from crosstally.operators.ledger import Ledger
+from crosstally.sources.bounds import read_in_parts
 
 from . import sides as S
 from .workbooks import write_workbooks
@@ -248,6 +249,29 @@ def pair_xlsx_table(spark):
     return _paired(spark, PART, ct.SideSpec(datasource="books", table="cells", key=PART.key, fields=PART.fields), {"books": source})
 
 
+@query
+def extract_by_quantiles(spark):
+    """A table that stands for a relational store, read in parts by quantiles of a skewed column, a view of its own each."""
+    statement = """SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS "MigrationKey",
+                          CASE WHEN l_partkey % 3 = 0 THEN 7 WHEN l_partkey % 11 > 0 THEN l_suppkey * l_suppkey END AS part, l_quantity FROM lineitem"""
+    found = read_in_parts(lambda sql: spark.sql(sql.replace('"', "`")), statement, "part", 8)
+    return ct.keyed(found.withColumn("part", F.col("part").cast("string")))
+
+
+@query
+def extract_document_inferred(spark):
+    """Documents as JSON texts, with a path that only one has and one whose values are of two types."""
+    spark.sql("""
+      SELECT event_id, event_type,
+             concat(left(props, length(props) - 1), ', "seen": ', if(event_id % 2 = 0, CAST(user_id AS STRING), concat('"', event_type, '"')),
+                    if(event_id = last, concat(', "rare": {"only": [{"type": "', event_type, '"}]}'), ''), '}') AS props
+      FROM events, (SELECT max(event_id) AS last FROM events)""").createOrReplaceTempView("event_texts")
+    source = ct.Datasource("texts", "mongo", options={"document_column": "props"})
+    side = ct.SideSpec(datasource="texts", collection="event_texts", key=ct.KeySpec.single("event_id"),
+                       fields=("k", "seen", "rare.only", "event_type"), query='{"k": {"$gte": 20}}')
+    return ct.extract(spark, side, {"texts": source})
+
+
 @query
 def pair_table_csv(spark):
     folder = shared_dir(spark)
@@ -709,6 +733,16 @@ def scd2_upsert(spark):
     return _upserted(spark)
 
 
+@query
+def scd2_merge_files(spark):
+    """The history in files by ranges of keys; only files that meet a change are written anew."""
+    history = rows(spark, S.CUSTOMER_HISTORY)
+    table = ct.HistoryTable(spark, shared_dir(spark), "customer_id", history.schema, file_rows=1000)
+    table.write(history)
+    table.upsert(rows(spark, S.ORDER_CHANGES), "sync", tie_break="change_no")
+    return table.read()
+
+
 @query
 def scd2_active(spark):
     return ct.active_snapshot(_upserted(spark), "customer_id")
