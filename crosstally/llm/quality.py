@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import Scratch, held_out, small_batches
 
 LEVEL, BLOCK = 3, 2048
 
@@ -88,7 +88,8 @@ def fit(
 ) -> Model:
     """Learn from labelled rows that are not held out; without both classes the model gives 0.5 for every text.
 
-    Rows without a label, id or text teach nothing. An id with labels of both kinds teaches nothing either.
+    Rows without a label, id or text teach nothing. An id with labels of both kinds teaches nothing either; an id with several
+    texts teaches the smallest. The driver gets the dictionaries and four numbers for each other text, however long texts are.
     A text that is longer than a fiftieth of a dictionary goes to the fit of the curve, not into a dictionary.
     """
     known = (
@@ -100,23 +101,37 @@ def fit(
     chosen = known.where("quality = 1").orderBy("turn", "doc_id").limit(per_class).unionByName(
         known.where("quality = 0").orderBy("turn", "doc_id").limit(per_class)
     )
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(
-        chosen, "doc_id").select("turn", "doc_id", "quality", "text").collect()  # at most 2 * per_class texts
-    rows.sort(key=lambda r: (r.turn, r.doc_id, r.text))
-    longest, contents, curve, turns = dictionary_bytes // 50, {0: [], 1: []}, [], {0: 0, 1: 0}
-    for r in rows:
-        data, into = r.text.encode("utf-8", "surrogatepass"), contents[r.quality]
+    scratch = Scratch(docs.sparkSession, "quality")
+    # One text an id, the smallest: at most 2 * per_class rows, which stay on storage.
+    rows = scratch.saved(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "turn", "quality").agg(F.min("text").alias("text"))
+    )
+    into_dictionary, turns, held = set(), {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in rows.select("doc_id", "quality", F.octet_length("text").alias("n")).orderBy("turn", "doc_id").collect():
         turns[r.quality] += 1
-        if turns[r.quality] % 2 and len(data) <= longest and sum(map(len, into)) + len(data) <= dictionary_bytes:
-            into.append(data)
-        else:
-            curve.append(r)
-    good, bad = b"\n".join(contents[1]), b"\n".join(contents[0])
+        if turns[r.quality] % 2 and r.n <= dictionary_bytes // 50 and held[r.quality] + r.n <= dictionary_bytes:
+            into_dictionary.add(r.doc_id)
+            held[r.quality] += r.n
+    mine = F.col("doc_id").isin(sorted(into_dictionary))
+    # At most dictionary_bytes of text a class reach the driver.
+    texts = rows.where(mine).orderBy("turn", "doc_id").select("quality", "text").collect()
+    good, bad = (b"\n".join(r.text.encode("utf-8", "surrogatepass") for r in texts if r.quality == q) for q in (1, 0))
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(*shared.value)
+        for batch in batches:
+            x = np.array([sizes(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i].copy()) for i in range(4))], names=["quality", *"abcd"])
+
+    curve = rows.where(~mine).orderBy("turn", "doc_id").select("quality", "text").mapInArrow(
+        features, "quality int, a double, b double, c double, d double").collect()  # numbers, a row an id
+    scratch.remove()
     y = np.array([r.quality for r in curve], dtype=float)
     if len(set(y.tolist())) < 2:
         return Model(good, bad, (0.0, 0.0, 0.0, 0.0, 0.0))
-    sizes = Sizes(good, bad)
-    return Model(good, bad, tuple(_logistic(np.array([sizes(r.text) for r in curve]), y)))
+    return Model(good, bad, tuple(_logistic(np.array([tuple(r)[1:] for r in curve]), y)))
 
 
 def _scorer(df: DataFrame, model: Model):
