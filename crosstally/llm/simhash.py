@@ -10,9 +10,10 @@ fingerprint of a bucket to the bucket's smallest one only, the components of the
 the second pass pairs only fingerprints of a bucket that carry different labels. No link between two
 components is lost, and pairs inside one need not be written.
 
-Bits of a fingerprint follow the cosine of word counts, so a copy with a run of words appended, cut off or inserted may differ
-in more bits than one with as many words replaced. ``one_of_each`` asks for a Jaccard similarity; its candidates share a band
-of min-hashes, which depends on that similarity only, whatever the edits. They go through the same two passes.
+``one_of_each`` asks for a Jaccard similarity, of which fingerprints tell only part: their bits follow the cosine of shingle
+counts, so a copy with a run of words appended, cut off or inserted may differ in more bits than any number of segments can
+bridge. Its candidates are the links of deletion variants together with pairs that share a band of min-hashes, which depends
+on the similarity alone. Both kinds of keys go through the same two passes, and the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, small_batches, words
+from .common import components, joined_evenly, saved, small_batches, words
 
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
 #: Buckets of fewer members are searched for pairs even if all are linked already.
@@ -69,15 +70,19 @@ _ODD = np.random.default_rng(9).integers(0, 1 << 62, 128, dtype=np.uint64) * np.
 BANDS, BAND_HASHES = 25, 5
 
 
-def min_hashes(tokens: list[bytes], size: int) -> np.ndarray:
-    """128 minimum hashes of the shingles. One is equal in two texts with a chance of their Jaccard similarity."""
+def min_hashes(tokens: list[bytes], size: int) -> tuple[np.ndarray, int]:
+    """128 minimum hashes of the shingles, one of which is equal in two texts with a chance of their Jaccard similarity, and
+    the fingerprint of the same shingles' hashes."""
     least, source = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64), shingles(tokens, size)
+    ones, n = np.zeros(64, dtype=np.int64), 0
     while True:
         block = np.fromiter((xxhash.xxh64_intdigest(s, 3) for s, _ in zip(source, range(4096))), dtype="<u8")
         if not len(block):
             break
         np.minimum(least, (block[:, None] * _ODD).min(0), out=least)
-    return least
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(block)
+    return least, int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
@@ -104,7 +109,8 @@ def with_fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def with_bands(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, ``same``, the sketch ``m0``, ``m1`` and the keys ``bands`` of the shingles of ``size`` words of every row's text.
+    """doc_id, ``same``, the fingerprint ``f0``, the sketch ``m0``, ``m1`` and the keys ``bands`` of the shingles of ``size`` words of
+    every row's text.
 
     ``same`` is the XXH64 of the normalised words: rows of equal words share it.
     """
@@ -112,20 +118,21 @@ def with_bands(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, bands = np.zeros((batch.num_rows, 3), dtype="<u8"), np.zeros((batch.num_rows, BANDS), dtype="<u8")
+            numbers, bands = np.zeros((batch.num_rows, 4), dtype="<u8"), np.zeros((batch.num_rows, BANDS), dtype="<u8")
             for i, text in enumerate(batch.column(1)):
                 tokens = words(text.as_py())
-                least = min_hashes(tokens, size)
-                numbers[i, 0], numbers[i, 1:], bands[i] = xxhash.xxh64_intdigest(b" ".join(tokens), 7), sketch(least), band_keys(least)
+                least, prints = min_hashes(tokens, size)
+                numbers[i] = xxhash.xxh64_intdigest(b" ".join(tokens), 7), prints, *sketch(least)
+                bands[i] = band_keys(least)
             ends = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(numbers[:, i].copy().view("<i8")) for i in range(3)),
+                [batch.column(0), *(pa.array(numbers[:, i].copy().view("<i8")) for i in range(4)),
                  pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1).view("<i8")))],
-                names=["doc_id", "same", "m0", "m1", "bands"],
+                names=["doc_id", "same", "f0", "m0", "m1", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, same long, m0 long, m1 long, bands array<long>"
+        run, "doc_id long, same long, f0 long, m0 long, m1 long, bands array<long>"
     )
 
 
@@ -155,7 +162,7 @@ def links(nodes: DataFrame, lanes: int, count: int, most: int) -> DataFrame:
     ``most``: the differing bits allowed over all lanes.
     """
     prints = [f"f{i}" for i in range(lanes)]
-    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, most)
+    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, [(prints, most)])
 
 
 def _linked(
@@ -163,16 +170,17 @@ def _linked(
     keys: Column,
     source: list[str],
     compared: list[str],
-    most: int,
+    limits: list[tuple[list[str], int]],
     verify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of all nodes that have a link; nodes: (node, the columns ``source`` that ``keys`` is made of, ``compared``).
 
-    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and their columns
-    ``compared`` differ in at most ``most`` bits; ``verify`` may drop pairs from a frame (a, b) of such nodes.
+    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and, for one of the ``limits``
+    (columns, bits), these columns differ in at most so many bits; ``verify`` may drop pairs from a frame (a, b) of such nodes.
     """
     names = list(dict.fromkeys([*source, *compared]))
-    near = lambda x, y: " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in compared) + f" <= {most}"
+    near = lambda x, y: "(" + " OR ".join(
+        " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in columns) + f" <= {most}" for columns, most in limits) + ")"
     check = verify or (lambda pairs: pairs)
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -232,7 +240,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     roots = of if joined is None else (
         of.join(joined, "node", "left").select("f0", F.coalesce("component", "node").alias("node"))
     )
-    members = known.join(roots.withColumnRenamed("node", "root"), "f0").select("doc_id", "f0", "root")
+    # Rows per fingerprint are known, so one that a share of all rows has doesn't end up in one task.
+    sizes = known.groupBy("f0").agg(F.count("*").alias("rows"))
+    facts = saved(roots.withColumnRenamed("node", "root").join(sizes, "f0"), "roots")
+    members = joined_evenly(known, facts, "f0", "rows").select("doc_id", "f0", "root")
     # A doc_id that has several fingerprints ties their components together.
     ties = members.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     tied = components(ties.select("a", "b"))
@@ -245,8 +256,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits of the 128 of two sketches that may differ before the exact check. At similarity 0.8 a bit differs with a chance of a tenth.
-SKETCH_BITS = 26
+#: Bits of the 128 of two sketches that may differ before the exact check. At similarity 0.8 a bit differs with a chance of a tenth:
+#: more than 32 do in 3 of 10 million pairs right at the bound.
+SKETCH_BITS = 32
+#: Bits of two fingerprints that may differ in links by deletion variants: two segments of 32 bits.
+PRINT_BITS = 3
+#: Sets that one task compares with a hub's set.
+HUB_PAIRS = 2000
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -267,32 +283,23 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """The rows with all their columns, but one document of each group of near copies: that with the smallest doc_id.
 
     Documents link if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is what
-    links reach. Candidates share a band of min-hashes and have close sketches; they are checked exactly. Equal words are copies whatever their spaces and A-Z case. Texts without words are copies
-    of each other. Of rows that repeat an id all stay if one does; rows with a null id stay.
+    links reach. Candidates have fingerprints that share a deletion variant and differ in at most ``PRINT_BITS`` bits, or share
+    a band of min-hashes and have close sketches; all are checked exactly. Equal words are copies whatever their spaces and
+    A-Z case. Texts without words are copies of each other. Of rows that repeat an id all stay if one does; rows with a null
+    id stay.
     """
-    names = ["same", "m0", "m1"]
+    names = ["same", "f0", "m0", "m1"]
     prints = saved(with_bands(docs, size).where("doc_id IS NOT NULL"), "prints")
     # Equal words have equal bands.
     groups = saved(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "groups")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "candidates")
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = saved(_shingle_sets(texts.join(asked, "id", "left_semi"), size).withColumn("n", F.size("set")), "sets")
-        # Sets whose sizes differ too much can't be similar; only the others travel.
-        sizes = sets.select("id", "n")
-        pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(
-            F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9).select("a", "b").distinct()
-        both = pairs.join(sets.select("id", "set").toDF("a", "x"), "a").join(sets.select("id", "set").toDF("b", "y"), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).where(
-            "size(x) > 0").select("a", "b").distinct()
-
     # A node may be the smallest id of several texts if ids repeat: one row a node and text is enough.
-    nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select("node", "row.m0", "row.m1", "row.bands")
-    keys = F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))")
-    joined = _linked(nodes, keys, ["bands"], ["m0", "m1"], SKETCH_BITS, verify)
+    nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select(
+        "node", *[f"row.{c}" for c in (*names[1:], "bands")])
+    keys = F.concat(variants(1, max(1, PRINT_BITS // 2 + 1)), F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))"))
+    joined = _linked(nodes, keys, ["f0", "bands"], ["f0", "m0", "m1"], [(["m0", "m1"], SKETCH_BITS), (["f0"], PRINT_BITS)],
+                     lambda pairs: _similar(pairs, texts, size, similarity))
     keepers = groups.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     gone = (
         prints.select("doc_id", *names).join(keepers, names).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
@@ -300,3 +307,27 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     )
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return row.join(gone, F.col("row.doc_id").cast("long") == F.col("gone_id"), "left_anti").select("row.*")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have this Jaccard similarity.
+
+    The set of ``b`` travels once a pair; that of ``a``, which may be a hub of many pairs, once for every ``HUB_PAIRS`` of them.
+    """
+    pairs = saved(pairs, "candidates")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = saved(_shingle_sets(texts.join(asked, "id", "left_semi"), size).withColumn("n", F.size("set")), "sets")
+    hubs = saved(
+        pairs.groupBy("a").agg(F.count("*").alias("pairs")).join(sets.groupBy(F.col("id").alias("a")).agg(
+            F.min("n").alias("least"), F.max("n").alias("most")), "a")
+        .withColumn("parts", F.ceil(F.col("pairs") / HUB_PAIRS).cast("long")), "hubs")
+    # Sets whose sizes differ too much can't be similar; only the others travel. (An id that repeats may have several sets.)
+    close = joined_evenly(pairs, hubs, "a", "pairs").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y"), "n"), "b").where(
+        (F.col("most") >= F.lit(similarity) * F.col("n") - 1e-9) & (F.col("n") >= F.lit(similarity) * F.col("least") - 1e-9)
+    ).select("a", "b", "y", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    spread = sets.select(F.col("id").alias("a"), F.col("set").alias("x")).join(hubs.select("a", "parts"), "a").select(
+        "a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = close.join(spread, ["a", "part"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).where(
+        "size(x) > 0").select("a", "b").distinct()
