@@ -13,6 +13,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import joined_evenly, saved
+
 #: log2 of a sketch's registers; its relative standard error is 1.04 / sqrt(2 ** LOG_K).
 LOG_K = 10
 _BLANKS = r" \t\r"
@@ -32,8 +34,8 @@ def _key(line):
 
 
 def spread(docs: DataFrame, min_sites: int) -> DataFrame:
-    """key, sites (exact near the threshold, else estimated) and keeper (smallest doc_id) of all lines on ``min_sites``
-    or more sites. A null source is a site of its own; blank lines don't count."""
+    """key, sites (exact near the threshold, else estimated), keeper (smallest doc_id) and rows (documents) of all lines on
+    ``min_sites`` or more sites. A null source is a site of its own; blank lines don't count."""
     lines = (
         docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"),
                     F.explode(F.array_distinct(F.transform(_split(F.col("text")), _trimmed))).alias("line"))
@@ -41,27 +43,26 @@ def spread(docs: DataFrame, min_sites: int) -> DataFrame:
         .select(_key(F.col("line")).alias("key"), "doc_id", "site")
     )
     sketched = lines.groupBy("key").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("sites"), F.min("doc_id").alias("keeper")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("sites"), F.min("doc_id").alias("keeper"),
+        F.count("*").alias("rows"),
     )
     band = max(1, math.ceil(4 * 1.04 / math.sqrt(2**LOG_K) * min_sites))
-    wide = sketched.where(F.col("sites") >= min_sites - band)
+    wide = saved(sketched.where(F.col("sites") >= min_sites - band), "sketched")
     near = wide.where(F.col("sites") <= min_sites + band)
-    exact = (
-        lines.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("exact"))
-    )
+    exact = joined_evenly(lines, near.select("key", "rows"), "key", "rows").groupBy("key").agg(F.countDistinct("site").alias("exact"))
     return (
         wide.join(exact, "key", "left")
-        .select("key", F.coalesce("exact", "sites").alias("sites"), "keeper").where(F.col("sites") >= min_sites)
+        .select("key", F.coalesce("exact", "sites").alias("sites"), "keeper", "rows").where(F.col("sites") >= min_sites)
     )
 
 
 def _with_hits(docs: DataFrame, min_sites: int) -> DataFrame:
     """doc_id and text with the keys of the lines to remove, ``hits`` (null: none)."""
-    boilerplate = spread(docs, min_sites).select("key", "keeper")
+    boilerplate = saved(spread(docs, min_sites).select("key", "keeper", "rows"), "boilerplate")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_split(F.col("text"))).alias("line")).select(
         "doc_id", _key(F.col("line")).alias("key"))
     hits = (
-        lines.join(boilerplate, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        joined_evenly(lines, boilerplate, "key", "rows").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id").agg(F.collect_set("key").alias("hits"))
         .select(F.col("doc_id").alias("hit_id"), "hits")
     )
