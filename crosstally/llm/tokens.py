@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import joined_evenly, saved, small_batches
 
 _SCHEMA = "content binary, version string, n_bytes long, n_tokens long"
 _ENCODE_BYTES = 1 << 20  # texts of about this many bytes are encoded in one call
@@ -86,7 +86,8 @@ def counts(docs: DataFrame, path: str, folder: str, limit: int = 1024) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content"), "text")
     rows = saved(keyed.select("doc_id", "content"), "digests")
-    missing = rows.groupBy("content").agg(F.min("doc_id").alias("first")).join(
+    contents = saved(rows.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "contents")
+    missing = contents.select("content", "first").join(
         cache(spark, folder, version).select("content"), "content", "left_anti")
     # One row for each missing text, found by its row's id and digest: equal texts have different ids.
     once = keyed.join(
@@ -94,7 +95,7 @@ def counts(docs: DataFrame, path: str, folder: str, limit: int = 1024) -> DataFr
         (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first")),
     ).select("content", "text")
     encoded(once, path, version).write.mode("append").parquet(folder)
-    known = cache(spark, folder, version).select("content", "n_bytes", "n_tokens")
-    return rows.join(known, "content").select(
+    known = saved(cache(spark, folder, version).select("content", "n_bytes", "n_tokens").join(contents.drop("first"), "content"), "known")
+    return joined_evenly(rows, known, "content", "rows").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
