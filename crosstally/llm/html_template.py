@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction.
 
 Pages of one host share a template. Its tokens are elements in their place (a chain of tags with their classes and ids)
-and short strings in their place. Each token has an occurrence vector, its count on every page of the host;
+and strings of text in their place. Each token has an occurrence vector, its count on every page of the host;
 tokens with equal vectors form an equivalence class. A vector is kept as the number of pages, the sum and an XOR of
 hashes of (page, count), so classes come from aggregation and no host is gathered. Frequent classes that nest inside
 one another make the template; what lies between its tokens are slots. The main slot is the deepest template
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,51 +40,93 @@ ASIDE = set("ad ads adv advert adverts advertisement banner breadcrumb breadcrum
             "popup popular promo promoted promotion recommended related replies reply search share sharing sidebar signup "
             "skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split())
 
+#: Words that say nothing about a part's role when they stand beside one of the above.
+NEUTRAL = set("area bar block body bottom box button buttons container content group holder inner item items left link links list "
+              "outer panel post posts right row section site text title top wrap wrapper".split())
+# Elements that hold a paragraph, heading, entry or cell.
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dt dd td th tr tbody table caption address".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
+# Where quotes are left open, a tag ends at the next bracket.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_DIGITS = re.compile(r"\d+")
-LABEL_WORDS = 8
+_DIGITS, _NUMBER = re.compile(r"\d+"), re.compile(r"\d{3,}")
 FREQUENT, MOST = 0.2, 0.7
 
 
+def _names_aside(named: list[tuple[str, str]], in_article: bool, tag: str) -> bool:
+    """Whether classes, ids or roles name a part that isn't main text.
+
+    Around the article any listed word does. Inside it only a name all of whose words are listed or neutral does, such as
+    ``share-buttons`` but not ``share-price``, and never that of a paragraph.
+    """
+    if tag in ("body", "html", "main", "article"):
+        return False
+    if not in_article:
+        return any(p.lower() in ASIDE for _, v in named for p in _PART.findall(v))
+    if tag in PARAGRAPHS or tag in INLINE:
+        return False
+    listed, known = ASIDE - {"header"}, ASIDE | NEUTRAL
+    for _, value in named:
+        for name in value.split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            if parts & listed and parts <= known:
+                return True
+    return False
+
+
 class Element:
-    __slots__ = ("aside", "article", "container", "counted", "link", "node", "parent", "tag")
+    __slots__ = ("aside", "article", "chars", "container", "depth", "direct", "link", "node", "parent", "root", "seen", "tag", "within")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         named = sorted((k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(attributes)) if attributes else []
-        sign = tag + "".join(f" {k}={_DIGITS.sub('0', v)}" for k, v in named)
-        inline = tag in INLINE
-        self.tag, self.parent, self.counted = tag, parent, False
+        # Ids belong to a page, and so do long numbers; a class such as col-8 belongs to the template.
+        sign = tag + "".join(f" {k}={(_DIGITS if k == 'id' else _NUMBER).sub('0', v)}" for k, v in named)
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.chars = self.direct = 0
+        self.seen, self.within = False, None
         self.article = tag in ("article", "main") or bool(parent and parent.article)
-        parts = {p.lower() for _, v in named for p in _PART.findall(v)}
-        self.aside = bool(parent and parent.aside) or tag in DROPPED or (tag == "header" and not self.article) or (
-            tag not in ("body", "html", "main", "article") and bool(parts & (ASIDE - {"header"} if self.article else ASIDE)))
+        self.aside = bool(parent and parent.aside) or tag in DROPPED or (tag == "header" and not self.article) or _names_aside(
+            named, self.article, tag)
         self.link = tag == "a" or bool(parent and parent.link)
         self.container = tag in CONTAINER
         # Marks of text, such as bold, don't make a place of their own.
         above = parent.node if parent else 0
-        self.node = above if inline and not self.aside else xxhash.xxh64_intdigest(f"{above} {sign}") >> 1
+        self.node = above if tag in INLINE and not self.aside else xxhash.xxh64_intdigest(f"{above} {sign}") >> 1
+        #: Place of the outermost article or main element around, itself included; 0: none.
+        self.root = parent.root if parent and parent.root else self.node if tag in ("article", "main") else 0
 
 
-def blocks(source: str | None) -> Iterator[tuple[list[Element], str, int]]:
-    """(open elements, text, characters in links) of every block of text, in page order; elements end implicitly
-    where HTML lets them, unknown ends are skipped. References are decoded and white space is one blank."""
+def blocks(source: str | None, elements: list[Element] | None = None) -> Iterator[tuple[Element | None, str, int]]:
+    """(innermost open element, text, characters in links) of every block of text, in page order; elements end implicitly
+    where HTML lets them, unknown ends are skipped. References are decoded and white space is one blank. ``elements`` gets
+    all elements that were opened, outer ones first."""
     source = source or ""
     stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
-    links, at, end = 0, 0, len(source)
+    links, at, end, last, token = 0, 0, len(source), source.rfind(">"), _TOKEN
 
     def flush():
         nonlocal held, links
         text = " ".join("".join(held).split()) if held else ""
-        out = (list(stack), text, links)
+        out = (stack[-1] if stack else None, text, links)
         held, links = [], 0
         return out
 
     while at < end:
-        m = _TOKEN.match(source, at)
+        if at > last:  # no tag ends behind the last bracket, but a comment may run to the end
+            comment = source.find("<!--", at)
+            piece = html.unescape(source[at : comment if comment >= 0 else end])
+            held.append(piece)
+            links += len(piece) if stack and stack[-1].link else 0
+            break
+        m = token.match(source, at)
+        if m[0] == "<" and token is _TOKEN and at + 1 < end and (source[at + 1].isalpha() or source[at + 1] == "/"):
+            token = _LOOSE  # some quote is never closed
+            continue
         at, tag = m.end(), m[2]
         if tag is None:
             if not m[0].startswith(("<!", "<?")):
@@ -98,52 +140,96 @@ def blocks(source: str | None) -> Iterator[tuple[list[Element], str, int]]:
         if breaks and held:
             yield flush()
         if m[1]:
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if open_tags[tag]:
+                while True:
+                    closed = stack.pop()
+                    open_tags[closed.tag] -= 1
+                    if closed.tag == tag:
+                        break
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in CONTAINER or stack[i].tag in ("ul", "ol", "dl", "table"):
-                break
+        if any(open_tags[c] for c in CLOSES.get(tag, ())):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag in CLOSES[tag]:
+                    open_tags.subtract(e.tag for e in stack[i:])
+                    del stack[i:]
+                    break
+                if stack[i].tag in CONTAINER or stack[i].tag in ("ul", "ol", "dl", "table"):
+                    break
         element = Element(tag, m[3], stack[-1] if stack else None)
+        if elements is not None:
+            elements.append(element)
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(source, at)
             at = close.start() if close else end
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
+            open_tags[tag] += 1
     if held:
         yield flush()
 
 
+class Place:
+    """What a page holds at one place: elements, text of its own and below, in characters outside links and asides."""
+
+    __slots__ = ("chars", "container", "count", "depth", "direct", "parent", "root")
+
+    def __init__(self, e: Element):
+        self.parent, self.container, self.depth, self.root = e.parent.node if e.parent else 0, e.container, e.depth, e.root
+        self.count = self.chars = self.direct = 0
+
+
 def _measured(source: str | None):
-    """Per place of a page: count, containing place, whether a container, characters of text in it that isn't aside.
-    Also the short strings in their places, and the blocks themselves that aren't aside."""
-    nodes: dict[int, list] = {}
+    """The places of a page that blocks of text lie in, the strings in their places, and the blocks that aren't aside:
+    (innermost element, text, string)."""
+    elements: list[Element] = []
     strings: dict[int, int] = defaultdict(int)
     kept = []
-    for stack, text, links in blocks(source):
-        aside = bool(stack and stack[-1].aside)
-        own = len(text) - min(links, len(text))
-        chain = {}
-        for depth, e in enumerate(stack):
-            chain[e.node] = depth
-            entry = nodes.setdefault(e.node, [0, e.parent.node if e.parent else 0, e.container, 0, depth])
-            if not e.counted:
-                e.counted = True
-                entry[0] += 1
-        if aside or not text:
+    for top, text, links in blocks(source, elements):
+        if top is not None:
+            top.seen = True
+        if top is not None and top.aside or not text:
             continue
-        for node in chain:
-            nodes[node][3] += own
+        if top is not None:
+            own = len(text) - min(links, len(text))
+            top.chars += own
+            holder = top
+            while holder.parent is not None and not holder.container and holder.tag in INLINE | PARAGRAPHS:
+                holder = holder.parent
+            holder.direct += own if holder.tag not in ("body", "html") else 0
         label = 0
-        if not (stack and stack[-1].article) and len(text.split(" ", LABEL_WORDS)) <= LABEL_WORDS:
-            label = xxhash.xxh64_intdigest(f"{stack[-1].node if stack else 0}|{text}") >> 1
+        if not (top and top.article):
+            label = xxhash.xxh64_intdigest(f"{top.node if top else 0}|{text}") >> 1
             strings[label] += 1
-        kept.append((set(chain), text, label))
-    return nodes, strings, kept
+        kept.append((top, text, label))
+    places: dict[int, Place] = {}
+    for e in elements:  # outer ones first: a place is described by the first element there
+        if e.node not in places:
+            places[e.node] = Place(e)
+    for e in reversed(elements):  # inner ones first: sums go up once
+        place, parent = places[e.node], e.parent
+        place.direct += e.direct
+        if parent is not None:
+            parent.seen = parent.seen or e.seen
+            parent.chars += e.chars
+        place.count += e.seen
+        if parent is None or parent.node != e.node:
+            place.chars += e.chars
+    return {n: p for n, p in places.items() if p.count}, strings, kept
+
+
+def _widened(main: int, places: dict[int, Place]) -> int:
+    """The article around a place, or the highest container above it up to which each has text of its own."""
+    root = places[main].root
+    if root:
+        return root if root in places else main
+    above = places[main].parent
+    while above in places:
+        if places[above].container:
+            if not places[above].direct:
+                break
+            main = above
+        above = places[above].parent
+    return main
 
 
 def _host(url):
@@ -151,7 +237,8 @@ def _host(url):
     return F.when(host == "", F.lit("-")).otherwise(host)
 
 
-_VECTORS = "host string, node long, parent long, container boolean, string boolean, n long, chars long, depth int, vector long"
+_VECTORS = ("host string, node long, parent long, root long, container boolean, string boolean, n long, chars long, direct long, "
+            "depth int, vector long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -162,20 +249,20 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                nodes, strings, _ = _measured(source)
-                for node, (n, parent, container, chars, depth) in nodes.items():
-                    rows.append((host, node, parent, container, False, n, chars, depth,
-                                 xxhash.xxh64_intdigest(f"{page} {n}") >> 1))
+                places, strings, _ = _measured(source)
+                for node, p in places.items():
+                    rows.append((host, node, p.parent, p.root, p.container, False, p.count, p.chars, p.direct, p.depth,
+                                 xxhash.xxh64_intdigest(f"{page} {p.count}") >> 1))
                 for node, n in strings.items():
-                    rows.append((host, node, 0, False, True, n, 0, 0, xxhash.xxh64_intdigest(f"{page} {n}") >> 1))
+                    rows.append((host, node, 0, 0, False, True, n, 0, 0, 0, xxhash.xxh64_intdigest(f"{page} {n}") >> 1))
             frame = pd.DataFrame(rows, columns=[x.split()[0] for x in _VECTORS.split(", ")])
             yield pa.RecordBatch.from_pandas(frame, schema=_arrow, preserve_index=False)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
     _arrow = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _VECTORS.split(", "))])
     tokens = saved(
-        pages.mapInArrow(run, _VECTORS).groupBy("host", "node", "parent", "container", "string").agg(
-            F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"),
+        pages.mapInArrow(run, _VECTORS).groupBy("host", "node", "parent", "root", "container", "string").agg(
+            F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("direct").alias("direct"),
             F.min("depth").alias("depth"), F.bit_xor("vector").alias("vector")),
         "tokens",
     )
@@ -189,6 +276,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def _deduced(tokens: pd.DataFrame) -> pd.DataFrame:
     """The template of one host from its frequent tokens (at most 1 / FREQUENT times what a page has)."""
     elements = tokens[~tokens["string"]].drop_duplicates("node").set_index("node")
+    elements["direct"] //= elements["pages"]  # at least a character on every page, or none
     classes = {node: (r.pages, r.total, r.vector) for node, r in elements.iterrows()}
     # A class nests if the places that hold its tokens belong to itself or to one other class.
     outer = defaultdict(set)
@@ -201,17 +289,34 @@ def _deduced(tokens: pd.DataFrame) -> pd.DataFrame:
     text = max([int(tokens["text"].max()), 1])
     main = max((n for n in places if elements.loc[n].chars >= MOST * text),
                key=lambda n: (elements.loc[n].depth, elements.loc[n].chars, n), default=0)
+    main = _widened(main, {n: r for n, r in elements.iterrows()}) if main else 0
     labels = sorted(tokens[tokens["string"]]["node"].tolist())
     return pd.DataFrame({"host": [tokens["host"].iloc[0]], "main": [main], "places": [places], "labels": [labels]})
 
 
+def _inside(top: Element | None, main: int) -> bool:
+    """Whether an element lies at the place or below it; what is found out is noted on the way."""
+    way = []
+    while top is not None and top.within is None and top.node != main:
+        way.append(top)
+        top = top.parent
+    found = top is not None and (top.node == main or bool(top.within))
+    for e in way:
+        e.within = found
+    return found
+
+
 def _text(source: str | None, main: int, places: set[int], labels: set[int]) -> str:
-    nodes, _, kept = _measured(source)
-    if main not in nodes or not nodes[main][3]:
-        most = MOST * max([n[3] for n in nodes.values()], default=0)
-        open_to = [n for n in nodes if nodes[n][2] and nodes[n][3] >= most and (n in places or not places)]
-        main = max(open_to, key=lambda n: (nodes[n][4], nodes[n][3], n), default=None)
-    return "\n".join(text for chain, text, label in kept if (main is None or main in chain) and label not in labels)
+    found, _, kept = _measured(source)
+    if main not in found or not found[main].chars:
+        most = MOST * max([p.chars for p in found.values()], default=0)
+        open_to = [n for n, p in found.items() if p.container and p.chars >= most and (n in places or not places)]
+        main = max(open_to, key=lambda n: (found[n].depth, found[n].chars, n), default=0)
+        main = _widened(main, found) if main else 0
+    inside = [(text, label) for top, text, label in kept if not main or _inside(top, main)]
+    # Where all strings are the template's, as on hosts whose pages are copies of one, they are the page's text.
+    own = [text for text, label in inside if label not in labels]
+    return "\n".join(own or [text for text, _ in inside])
 
 
 #: Rows of one host are dealt over so many tasks when pages meet their templates; AQE splits further.

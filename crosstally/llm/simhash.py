@@ -297,7 +297,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     # A node may be the smallest id of several texts if ids repeat: one row a node and text is enough.
     nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select(
         "node", *[f"row.{c}" for c in (*names[1:], "bands")])
-    keys = F.concat(variants(1, max(1, PRINT_BITS // 2 + 1)), F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))"))
+    keys = F.concat(variants(1, PRINT_BITS // 2 + 1), F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))"))
     joined = _linked(nodes, keys, ["f0", "bands"], ["f0", "m0", "m1"], [(["m0", "m1"], SKETCH_BITS), (["f0"], PRINT_BITS)],
                      lambda pairs: _similar(pairs, texts, size, similarity))
     keepers = groups.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
