@@ -3,8 +3,8 @@
 Payloads travel as rows (record, chunk number, bytes) of at most ``CHUNK`` bytes. The writer turns a sorted run of chunks
 into gzip members, one a record, and the reader turns archives back into chunks; both keep one chunk and a running
 SHA-1 in memory, never a record. Equal payloads are stored once: the record with the largest page_id is the response,
-the others revisit it. Which that is comes from digests and ids alone; the payloads are shuffled once, by their page's
-id, so many copies of one payload spread evenly.
+the others revisit it. Which that is comes from digests and ids alone; payloads are cut where they are read and their chunks
+shuffled once, by their row's number, so copies of one payload spread evenly and no shuffled row is longer than a chunk.
 
 Files are written below the shared folder under names no other attempt uses; only those a finished task reports are read.
 Files are opened with ``pyarrow.fs``, which knows local, HDFS, S3 and GCS addresses.
@@ -21,10 +21,10 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, saved, small_batches
+from .common import joined_evenly, new_folder, saved, small_batches
 
 CHUNK = 1 << 16
 FILE_BYTES = 64 << 20
@@ -37,50 +37,55 @@ def digest_text(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record_id(page: int, copy: int, sha1_hex: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{copy}/{sha1_hex}')}>"
+def record_id(page: int, row: int, sha1_hex: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{row}/{sha1_hex}')}>"
+
+
+def cut(pages: DataFrame) -> DataFrame:
+    """row, key, url, sha1, size, chunk, last, data: the pages' payloads in chunks, cut where they are read and written at once."""
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"),
+        F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
+    )
+    last = F.greatest(F.lit(0), F.floor((F.length("payload") - 1) / CHUNK)).cast("int")
+    return saved(
+        rows.select("row", "key", "url", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"), "payload",
+                    F.explode(F.sequence(F.lit(0), last)).alias("chunk"), last.alias("last"))
+        .select("row", "key", "url", "sha1", "size", "chunk", "last",
+                F.expr(f"substring(payload, chunk * {CHUNK} + 1, {CHUNK})").alias("data")), "chunks")
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """key, copy, url, payload, sha1, lead: one row a page; ``lead`` is the key of the response of its payload.
+    """Chunk rows with lead, lead_row and response, each record's in one partition and in order; a revisit has one row without
+    bytes. The lead is the largest key of a payload; of rows that agree in key and payload the first is the response.
 
-    ``copy`` numbers rows that agree in page_id and payload; the response is number one of the lead.
+    What is decided by digest and id moves as narrow rows; chunks move once, dealt by their row's number.
     """
-    rows = pages.select(
-        F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha1", F.sha1("payload"))
-    small = saved(rows.groupBy("key", "sha1").agg(F.count("*").alias("n")), "payloads")
-    leads = small.join(small.groupBy("sha1").agg(F.max("key").alias("lead")), "sha1").select("key", "sha1", "lead")
-    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key", "sha1").orderBy("url")))
-    return numbered.join(leads, ["key", "sha1"])
-
-
-def chunks(plan: DataFrame) -> DataFrame:
-    """The chunk rows of planned records, in order within a partition: a revisit has one without bytes."""
-    response = "key = lead AND copy = 1"
-    last = F.when(F.expr(response), F.greatest(F.lit(0), F.floor((F.length("payload") - 1) / CHUNK))).otherwise(0).cast("int")
-    return plan.select(
-        "key", "copy", "url", "sha1", "lead", F.expr(response).alias("response"), F.length("payload").cast("long").alias("size"),
-        "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"), last.alias("last"),
-    ).select(
-        "key", "copy", "url", "sha1", "lead", "response", "size", "chunk", "last",
-        F.when(F.col("response"), F.expr(f"substring(payload, chunk * {CHUNK} + 1, {CHUNK})")).otherwise(F.lit(b"")).alias("data"),
-    )
+    pieces = cut(pages)
+    rows = pieces.where("chunk = 0").select("row", "key", "sha1")
+    leads = saved(
+        rows.groupBy("sha1", "key").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+        .groupBy("sha1").agg(F.max("key").alias("lead"), F.max_by("first", "key").alias("lead_row"), F.sum("n").alias("rows")), "leads")
+    facts = joined_evenly(rows.select("row", "sha1"), leads, "sha1", "rows").select("row", "lead", "lead_row")
+    joined = pieces.join(facts, "row").withColumn("response", F.col("row") == F.col("lead_row"))
+    kept = joined.where("response OR chunk = 0").withColumns(
+        {"data": F.when(F.col("response"), F.col("data")).otherwise(F.lit(b"")),
+         "last": F.when(F.col("response"), F.col("last")).otherwise(0)})
+    return kept.sortWithinPartitions("row", "chunk")
 
 
 def _head(row: dict, date: str) -> tuple[bytes, bytes]:
     """Header lines of the record, and the head of the response that starts its block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['size']}\r\n\r\n".encode()
     lines = ["WARC/1.1", f"WARC-Type: {'response' if row['response'] else 'revisit'}",
-             f"WARC-Record-ID: {record_id(row['key'], row['copy'], row['sha1'])}", f"WARC-Date: {date}"]
+             f"WARC-Record-ID: {record_id(row['key'], row['row'], row['sha1'])}", f"WARC-Date: {date}"]
     if row["url"]:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in row["url"]))
     if row["key"] != _NO_ID:
         lines.append(f"X-Page-Id: {row['key']}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest_text(bytes.fromhex(row['sha1']))}")
     if not row["response"]:
-        lines += [f"WARC-Refers-To: {record_id(row['lead'], 1, row['sha1'])}", f"WARC-Profile: {REVISIT}"]
+        lines += [f"WARC-Refers-To: {record_id(row['lead'], row['lead_row'], row['sha1'])}", f"WARC-Profile: {REVISIT}"]
     length = len(http) + (row["size"] if row["response"] else 0)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass"), http
@@ -125,7 +130,7 @@ def written(plan: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield closed()
 
-    return saved(chunks(plan).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return saved(plan.mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
 class _Members:

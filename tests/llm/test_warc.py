@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     assert warc.round_trip(frame.where("false")).collect() == []
     alone = warc.round_trip(frame.where("page_id IS NULL")).collect()
     assert [(r.page_id, r.record_type, r.refers_to) for r in alone] == [(None, "response", None)]
+
+
+def test_payloads_are_cut_before_they_are_shuffled(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 500_000), (2, "u", "x" * 500_000), (3, "u", "y")], "page_id long, url string, html string")
+    plan = warc.planned(pages)
+    rows = plan.collect()
+    assert max(len(r.data) for r in rows) == warc.CHUNK
+    assert sum(len(r.data) for r in rows) == 500_001 and sum(r.key == 1 for r in rows) == 1
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in text and "Window" not in text
