@@ -7,8 +7,10 @@ unknown word a class, as in the base score).
 
 What is broadcast is bounded: at most ``LISTED`` words (those with at least 1 / LISTED of all tokens; there can't be more),
 and the model's matrices. Counts of all other words meet their documents in a shuffle join. Every E step runs over all
-training tokens, in pieces of ``PIECE`` tokens; its counts are summed by symbol. The score of a text is the exact
-likelihood of its whole symbol sequence by the scaled forward recursion.
+training tokens; its counts are summed by symbol. Long texts are worked on in pieces side by side, each with ``LEAD`` tokens
+before and behind it whose counts are left to the pieces they belong to: there the recursions forget where they were cut, so every
+move between tokens counts once, and starts are those of texts. The score of a text is the exact likelihood of its whole
+symbol sequence by the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, saved, small_batches, words
 
-STATES, ITERATIONS, PIECE = 8, 5, 128
+STATES, ITERATIONS = 8, 5
+#: Tokens of a piece of a text, and of the lead on either side of it.
+PIECE, LEAD = 160, 16
 OWN, CLASSES, LISTED = 8192, 1024, 400_000
 END = b"\n"  # no word holds a newline
 _FLUSH = 200_000  # words a counting task keeps before it gives them out
@@ -180,11 +184,24 @@ def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, symbols, at
 
 
+def pieces_of(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces of a sequence of symbols with their leads: twice the symbol, plus one where the token counts."""
+    for i in range(0, len(text), PIECE):
+        low, high = max(0, i - LEAD), min(len(text), i + PIECE + LEAD)
+        piece = text[low:high] * 2
+        piece[i - low : i - low + PIECE] += 1
+        yield piece
+
+
 def expected(model: Model, pieces: list[np.ndarray]):
-    """Expected starts, moves and emissions of sequences, and their log-likelihood (one E step)."""
-    _, symbols, at = _by_step(pieces)
+    """Expected starts, moves and emissions of the tokens that count in pieces (``pieces_of``), and their log-likelihood (one
+    E step). A piece whose first token counts begins a text; others begin as states are spread in the long run."""
+    _, marked, at = _by_step(pieces)
+    symbols, counts = marked >> 1, (marked & 1).astype(np.float32)
     emit, move = np.ascontiguousarray(model.emit.T, dtype=np.float32), model.move.astype(np.float32)
-    forth, start = np.ascontiguousarray(move.T), model.start.astype(np.float32)[:, None]
+    forth, usual = np.ascontiguousarray(move.T), np.linalg.matrix_power(model.move, 64)[0]
+    begins = counts[: at[1]]
+    start = (model.start[:, None] * begins + usual[:, None] * (1 - begins)).astype(np.float32)
     given = np.empty((STATES, len(symbols)), dtype=np.float32)
     for k in range(STATES):
         np.take(emit[k], symbols, out=given[k])
@@ -206,12 +223,13 @@ def expected(model: Model, pieces: list[np.ndarray]):
         n = b - a
         ahead = given[:, a:b] * back[:, :n]
         before = state[:, at[t] : at[t] + n]
-        moves += before @ ahead.T
+        moves += before @ (ahead * counts[a:b]).T  # a move counts with the token it leads to
         back[:, :n] = move @ ahead
         before *= back[:, :n]
     moves *= model.move
-    emissions = np.column_stack([np.bincount(symbols, row, len(model.emit)) for row in state])
-    return state[:, : at[1]].sum(1, dtype=float), moves, emissions, float(np.log(scale, dtype=np.float64).sum())
+    emissions = np.column_stack([np.bincount(symbols, row * counts, len(model.emit)) for row in state])
+    starts = (state[:, : at[1]] * begins).sum(1, dtype=float)
+    return starts, moves, emissions, float((np.log(scale, dtype=np.float64) * counts).sum())
 
 
 def likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -258,8 +276,7 @@ def trained(texts: DataFrame, symbols: np.ndarray, iterations: int = ITERATIONS)
             known = shared.value
             starts, moves, emissions = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(known.emit.shape)
             for group in _groups(batches, 0, _TOKENS):
-                pieces = [s[i : i + PIECE] for s in group for i in range(0, len(s), PIECE)]
-                a, b, c, _ = expected(known, pieces)
+                a, b, c, _ = expected(known, [piece for text in group for piece in pieces_of(text)])
                 starts, moves, emissions = starts + a, moves + b, emissions + c
             used = np.flatnonzero(emissions.any(1))
             rows = np.concatenate([starts[None], moves, emissions[used]])

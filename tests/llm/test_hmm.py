@@ -73,12 +73,68 @@ def test_likelihood_and_expected_counts_equal_all_paths():
                 moves[a, b] += p
             for s, k in zip(seq, states):
                 emissions[s, k] += p
-    a, b, c, log = hmm.expected(model, seqs)
+    a, b, c, log = hmm.expected(model, [p for seq in seqs for p in hmm.pieces_of(seq)])
     assert np.allclose(a, starts, atol=1e-4) and np.allclose(b, moves, atol=1e-4) and np.allclose(c, emissions, atol=1e-4)
     assert log == pytest.approx(sum(logs), rel=1e-5)
     assert np.allclose(hmm.likelihood(model, seqs), logs, rtol=1e-12)
 
 
+def test_pieces_count_what_whole_texts_do(monkeypatch):
+    """Every token and move counts once, and the leads make up for the cuts."""
+    rng = np.random.default_rng(3)
+    stay = np.full((hmm.STATES, hmm.STATES), 0.1 / (hmm.STATES - 1))
+    np.fill_diagonal(stay, 0.9)
+    emit = rng.random((40, hmm.STATES)) ** 4
+    model = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), stay, emit / emit.sum(0))
+    seqs = [rng.integers(0, 40, n) for n in (1, 159, 160, 161, 5000, 333)]
+    cut = hmm.expected(model, [p for s in seqs for p in hmm.pieces_of(s)])
+    assert cut[0].sum() == pytest.approx(6, rel=1e-4)
+    assert cut[1].sum() == pytest.approx(sum(map(len, seqs)) - 6, rel=1e-4) and cut[2].sum() == pytest.approx(sum(map(len, seqs)), rel=1e-4)
+    monkeypatch.setattr(hmm, "PIECE", 10**6)
+    whole = hmm.expected(model, [p for s in seqs for p in hmm.pieces_of(s)])
+    for a, b in zip(cut[:3], whole[:3]):
+        assert np.abs(a - b).max() <= 0.002 * np.abs(b).max()
+    assert cut[3] == pytest.approx(whole[3], rel=1e-3)
+
+
+def test_score_is_a_plain_forward_pass_over_words(docs, monkeypatch):
+    """Word by word: the state's next symbol, times the word's share of its class."""
+    kept = {}
+    real = hmm.trained
+    monkeypatch.setattr(hmm, "trained", lambda texts, symbols, n: kept.setdefault("model", real(texts, symbols, n)))
+    scored = {r.doc_id: r.score for r in hmm.scores(docs, iterations=2).collect()}
+    model = kept["model"]
+    train = [words(r.text) for r in docs.collect() if crc32(str(r.doc_id).encode()) % 7 != 2]
+    c = Counter(w for ws in train for w in ws)
+    own = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w.decode()))[: hmm.OWN])}
+    size = Counter()
+    for w, n in c.items():
+        if w not in own:
+            size[hmm.class_of(w)] += n + 1
+    for r in docs.collect()[:60]:
+        state, total = model.start, 0.0
+        for i, w in enumerate([*words(r.text), hmm.END]):
+            if i:
+                state = state @ model.move
+            if w == hmm.END:
+                symbol, share = len(own) + hmm.CLASSES, 1.0
+            elif w in own:
+                symbol, share = own[w], 1.0
+            else:
+                symbol, share = len(own) + hmm.class_of(w), (c[w] + 1) / (size[hmm.class_of(w)] + 1)
+            state = state * model.emit[symbol]
+            total += math.log10(state.sum()) + math.log10(share)
+            state = state / state.sum()
+        assert scored[r.doc_id] == pytest.approx(total, rel=1e-9)
+
+
+def test_held_out_likelihood_by_round(docs):
+    """Each round gives held-out texts a higher likelihood."""
+    fold = lambda d: crc32(str(d).encode()) % 7 == 2
+    by = [sum(r.score for r in hmm.scores(docs, iterations=n).collect() if fold(r.doc_id)) for n in (0, 1, 3, 5)]
+    assert by[0] < by[1] < by[2] and by[3] > by[1]
+
+
 def test_training_raises_the_likelihood(docs):
     counts = hmm.word_counts(docs)
     lex = hmm.lexicon(counts)
