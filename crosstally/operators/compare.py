@@ -244,20 +244,20 @@ def reconcile_counts(
     """Counts with one row per key and side: the counting mode.
 
     A key that repeats on a side is counted once and represented by its row with the greatest payload, as
-    in the detail modes. A key on both sides matches if the greatest of all its payloads is on both: so one payload a key
-    and task goes through the second step, which needs no second shuffle of copies. ``source_rows`` and
-    ``target_rows`` tell how many rows there were.
+    in the detail modes. Copies need not be counted for that, so this is one aggregation by key: each task hands on
+    at most one payload a key and side, whatever share of the rows a key has, and ``by_key`` makes no difference.
+    ``source_rows`` and ``target_rows`` tell how many rows there were.
     """
     both = align(source, target, strategy)
     per_key = _grouped(
-        both.with_payload(_copies(both.source, both.target, by_key)),
+        both.with_payload(_stacked(both.source, both.target)),
         [KEY],
-        # A payload ends where its array does, so a mark behind it doesn't change the order of different ones.
-        "max(concat(payload, if(source_rows > 0 AND target_rows > 0, '+', '-'))) AS greatest",
-        "sum(source_rows) AS source_rows",
-        "sum(target_rows) AS target_rows",
+        "max(CASE WHEN s = 1 THEN payload END) AS source_payload",
+        "max(CASE WHEN t = 1 THEN payload END) AS target_payload",
+        "sum(s) AS source_rows",
+        "sum(t) AS target_rows",
     )
-    in_source, in_target, same = "source_rows > 0", "target_rows > 0", "right(greatest, 1) = '+'"
+    in_source, in_target, same = "source_rows > 0", "target_rows > 0", "source_payload = target_payload"
     counts = (
         f"count_if({in_source})",
         f"count_if({in_target})",
