@@ -13,7 +13,8 @@ components is lost, and pairs inside one need not be written.
 ``one_of_each`` asks for a Jaccard similarity, of which fingerprints tell only part: their bits follow the cosine of shingle
 counts, so a copy with a run of words appended, cut off or inserted may differ in more bits than any number of segments can
 bridge. Its candidates are the links of deletion variants together with pairs that share a band of min-hashes, which depends
-on the similarity alone. Both kinds of keys go through the same two passes, and the exact similarity decides.
+on the similarity alone, and the exact similarity decides. In the first pass a node tries the closest of its buckets' smallest
+members only, of either kind; the second pass pairs what then carries different labels, by bands.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, joined_evenly, saved, small_batches, words
@@ -162,7 +163,37 @@ def links(nodes: DataFrame, lanes: int, count: int, most: int) -> DataFrame:
     ``most``: the differing bits allowed over all lanes.
     """
     prints = [f"f{i}" for i in range(lanes)]
-    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, [(prints, most)])
+    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, most)
+
+
+def _by_key(rows: DataFrame, keys: Column, source: list[str], compared: list[str]) -> DataFrame:
+    """A row for each key of each node: key, own, node and what is compared (and ``label``, where there is one).
+
+    A node becomes many rows, so even few bytes of nodes are dealt over all tasks first. The rows are then shuffled
+    once, by their key; what follows stays in these partitions and reads the same shuffle again.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(tasks)
+    kept = [c for c in rows.columns if c not in source or c in compared]
+    return whole.select(F.explode(keys).alias("v"), *kept).select("v.key", "v.own", *kept).where("key IS NOT NULL").repartition(
+        tasks, "key")
+
+
+def _bits(x: str, y: str, compared: list[str]) -> str:
+    return " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in compared)
+
+
+def _stars(nodes: DataFrame, keys: Column, source: list[str], compared: list[str], most: int) -> DataFrame:
+    """Pairs (a, b, bits) of each key's smallest node and its others that differ in at most ``most`` bits."""
+    keyed = _by_key(nodes.select("node", *dict.fromkeys([*source, *compared])), keys, source, compared).alias("keyed")
+    lead = keyed.groupBy("key").agg(
+        F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in compared), F.count("*").alias("n")
+    ).where("n > 1").drop("n").alias("lead")
+    bits = _bits("keyed", "lead", compared)
+    return (
+        keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {bits} <= {most}"))
+        .select(F.col("lead.node").alias("a"), F.col("keyed.node").alias("b"), F.expr(bits).alias("bits")).distinct()
+    )
 
 
 def _linked(
@@ -170,44 +201,28 @@ def _linked(
     keys: Column,
     source: list[str],
     compared: list[str],
-    limits: list[tuple[list[str], int]],
+    most: int,
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    stars: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of all nodes that have a link; nodes: (node, the columns ``source`` that ``keys`` is made of, ``compared``).
 
-    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and, for one of the ``limits``
-    (columns, bits), these columns differ in at most so many bits; ``verify`` may drop pairs from a frame (a, b) of such nodes.
+    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and their columns
+    ``compared`` differ in at most ``most`` bits; ``verify`` may drop pairs from a frame (a, b) of such nodes. ``stars`` are
+    candidates of the first pass other than all of the keys' own; what they leave out is left to the second pass.
     """
     names = list(dict.fromkeys([*source, *compared]))
-    near = lambda x, y: "(" + " OR ".join(
-        " + ".join(f"bit_count({x}.{n} ^ {y}.{n})" for n in columns) + f" <= {most}" for columns, most in limits) + ")"
     check = verify or (lambda pairs: pairs)
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def by_key(rows: DataFrame) -> DataFrame:
-        # A node becomes many rows, so even few bytes of nodes are dealt over all tasks first. The rows are then shuffled
-        # once, by their key; what follows stays in these partitions and reads the same shuffle again.
-        whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).repartition(tasks)
-        kept = [c for c in rows.columns if c not in source or c in compared]
-        keyed = whole.select(F.explode(keys).alias("v"), *kept).select("v.key", "v.own", *kept)
-        return keyed.where("key IS NOT NULL").repartition(tasks, "key")
-
-    keyed = by_key(nodes.select("node", *names)).alias("keyed")
-    lead = keyed.groupBy("key").agg(
-        F.min("node").alias("node"), *(F.min_by(n, "node").alias(n) for n in compared), F.count("*").alias("n")
-    ).where("n > 1").drop("n").alias("lead")
-    star = (
-        keyed.join(lead, F.expr(f"keyed.key = lead.key AND keyed.node <> lead.node AND {near('keyed', 'lead')}"))
-        .select(F.col("lead.node").alias("a"), F.col("keyed.node").alias("b")).distinct()
-    )
-    first = saved(check(star), "stars")
+    if stars is None:
+        stars = _stars(nodes, keys, source, compared, most)
+    first = saved(check(stars.select("a", "b").distinct()), "stars")
     labels = components(first)
 
     labelled = saved(
         nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
         "labelled",
     )
-    keyed = by_key(labelled)
+    keyed = _by_key(labelled, keys, source, compared)
     # Large buckets whose members are all linked have nothing to add.
     done = keyed.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
@@ -218,7 +233,7 @@ def _linked(
             rest.alias("y"),
             # Equal segments share all variants: they meet in the first one only.
             F.expr("x.key = y.key AND x.node < y.node AND x.label <> y.label AND (x.own <> y.own OR x.own >= 2) AND "
-                   + near("x", "y")),
+                   f"{_bits('x', 'y', compared)} <= {most}"),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     )
@@ -261,6 +276,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 SKETCH_BITS = 32
 #: Bits of two fingerprints that may differ in links by deletion variants: two segments of 32 bits.
 PRINT_BITS = 3
+#: Closest leads of either kind that a node tries in the first pass. What isn't linked there is left to the second.
+LEADS = 2
 #: Sets that one task compares with a hub's set.
 HUB_PAIRS = 2000
 
@@ -283,8 +300,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """The rows with all their columns, but one document of each group of near copies: that with the smallest doc_id.
 
     Documents link if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is what
-    links reach. Candidates have fingerprints that share a deletion variant and differ in at most ``PRINT_BITS`` bits, or share
-    a band of min-hashes and have close sketches; all are checked exactly. Equal words are copies whatever their spaces and
+    links reach. Candidates are leads whose fingerprints share a deletion variant with theirs and differ in at most ``PRINT_BITS``
+    bits, and documents that share a band of min-hashes and have close sketches; all are checked exactly. Equal words are copies whatever their spaces and
     A-Z case. Texts without words are copies of each other. Of rows that repeat an id all stay if one does; rows with a null
     id stay.
     """
@@ -297,9 +314,13 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     # A node may be the smallest id of several texts if ids repeat: one row a node and text is enough.
     nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select(
         "node", *[f"row.{c}" for c in (*names[1:], "bands")])
-    keys = F.concat(variants(1, PRINT_BITS // 2 + 1), F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))"))
-    joined = _linked(nodes, keys, ["f0", "bands"], ["f0", "m0", "m1"], [(["m0", "m1"], SKETCH_BITS), (["f0"], PRINT_BITS)],
-                     lambda pairs: _similar(pairs, texts, size, similarity))
+    bands = F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))")
+    sketches = ["m0", "m1"]
+    near = lambda stars: stars.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where(
+        F.col("turn") <= LEADS).select("a", "b")
+    stars = near(_stars(nodes, variants(1, PRINT_BITS // 2 + 1), ["f0"], ["f0"], PRINT_BITS)).unionByName(
+        near(_stars(nodes, bands, ["bands"], sketches, SKETCH_BITS)))
+    joined = _linked(nodes, bands, ["bands"], sketches, SKETCH_BITS, lambda pairs: _similar(pairs, texts, size, similarity), stars)
     keepers = groups.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     gone = (
         prints.select("doc_id", *names).join(keepers, names).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
