@@ -94,11 +94,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, kind: str) -> None:
         self._spark, self._root, self._count = spark, new_folder(spark, kind), 0
 
-    def saved(self, df: DataFrame) -> DataFrame:
+    def saved(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """The frame, written and read again."""
         self._count += 1
         path = f"{self._root}/{self._count}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

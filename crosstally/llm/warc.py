@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined_evenly, new_folder, saved, small_batches
+from .common import Scratch, joined_evenly, new_folder, saved, small_batches
 
 CHUNK = 1 << 16
 FILE_BYTES = 64 << 20
@@ -41,27 +41,27 @@ def record_id(page: int, row: int, sha1_hex: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}/{row}/{sha1_hex}')}>"
 
 
-def cut(pages: DataFrame) -> DataFrame:
+def cut(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """row, key, url, sha1, size, chunk, last, data: the pages' payloads in chunks, cut where they are read and written at once."""
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"),
         F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     last = F.greatest(F.lit(0), F.floor((F.length("payload") - 1) / CHUNK)).cast("int")
-    return saved(
+    return scratch.saved(
         rows.select("row", "key", "url", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"), "payload",
                     F.explode(F.sequence(F.lit(0), last)).alias("chunk"), last.alias("last"))
         .select("row", "key", "url", "sha1", "size", "chunk", "last",
-                F.expr(f"substring(payload, chunk * {CHUNK} + 1, {CHUNK})").alias("data")), "chunks")
+                F.expr(f"substring(payload, chunk * {CHUNK} + 1, {CHUNK})").alias("data")), "zstd")
 
 
-def planned(pages: DataFrame) -> DataFrame:
+def planned(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Chunk rows with lead, lead_row and response, each record's in one partition and in order; a revisit has one row without
     bytes. The lead is the largest key of a payload; of rows that agree in key and payload the first is the response.
 
     What is decided by digest and id moves as narrow rows; chunks move once, dealt by their row's number.
     """
-    pieces = cut(pages)
+    pieces = cut(pages, scratch or Scratch(pages.sparkSession, "chunks"))
     rows = pieces.where("chunk = 0").select("row", "key", "sha1")
     leads = saved(
         rows.groupBy("sha1", "key").agg(F.min("row").alias("first"), F.count("*").alias("n"))
@@ -252,7 +252,10 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_folder(spark, "warc")
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
-    last = saved(read(written(planned(pages), folder), folder, with_data=False).where("payload_digest IS NOT NULL"), "records")
+    scratch = Scratch(spark, "chunks")
+    archives = written(planned(pages, scratch), folder)
+    scratch.remove()  # the archives have it all
+    last = saved(read(archives, folder, with_data=False).where("payload_digest IS NOT NULL"), "records")
     responses = last.where("record_type = 'response'")
     if not responses.where("payload_digest <> stated").isEmpty():
         raise ValueError("An archived payload doesn't have the digest its record states")
