@@ -38,10 +38,9 @@ from .common import Scratch, small_batches, words
 WALKS, KEYS, SAMPLES = 3, 4, 4
 BLOCK_WORDS = 500_000
 #: Words of documents that are walked over at once.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PAD = np.uint32(0x5BD1E995)
-_FLAG_BITS = 20
 
 
 def class_of(n: int) -> tuple[int, int, int, int]:
@@ -107,6 +106,18 @@ def within(masks: dict[bytes, int], n: int, text: list[bytes], most: int) -> boo
     return False
 
 
+class Flags:
+    """Which upper bits occur among numbers: about 32 flags for each, so most others are told apart at a glance."""
+
+    def __init__(self, numbers: np.ndarray, width: int):
+        self.shift = numbers.dtype.type(width - min(22, max(12, len(numbers).bit_length() + 5)))
+        self.flags = np.zeros(1 << (width - int(self.shift)), dtype=bool)
+        self.flags[(numbers >> self.shift).astype(np.int64)] = True
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flags.take((numbers >> self.shift).astype(np.int64))
+
+
 class Index:
     """Keys of a block of items: (item_id, words)."""
 
@@ -127,16 +138,13 @@ class Index:
             first = np.cumsum([0, *(len(symbols[i]) for i in members)])
             starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(first, first[1:])])
             owner = np.searchsorted(first, starts, side="right") - 1
-            known = np.zeros(1 << _FLAG_BITS, dtype=bool)
-            known[whole[:-1] >> np.uint32(32 - _FLAG_BITS)] = True
+            known = Flags(whole[:-1], 32)
             tables = []  # (walk, for each of its keys: flags, sorted keys, items and offsets of each)
             for number in range(WALKS):
                 walk, sides = Walk(window, number), []
                 for keys in walk.keys(whole, starts):
                     order = np.argsort(keys, kind="stable")
-                    flags = np.zeros(1 << _FLAG_BITS, dtype=bool)
-                    flags[(keys >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)] = True
-                    sides.append((flags, keys[order], np.array(members)[owner[order]], (starts - first[owner])[order]))
+                    sides.append((Flags(keys, 64), keys[order], np.array(members)[owner[order]], (starts - first[owner])[order]))
                 tables.append((walk, sides))
             self.classes.append((stride, window, known, window - edits(high, similarity), tables))
 
@@ -146,13 +154,13 @@ class Index:
         for stride, window, known, fewest, tables in self.classes:
             starts = np.concatenate([np.arange(a, b - window + 1, stride, dtype=np.int64) for a, b in zip(first, first[1:])] or [first[:0]])
             if fewest > 0:
-                held = np.concatenate([[0], np.cumsum(known.take(symbols >> np.uint32(32 - _FLAG_BITS)))])
+                held = np.concatenate([[0], np.cumsum(known.of(symbols))])
                 starts = starts[held.take(starts + window) - held.take(starts) >= fewest]
             if not len(starts):
                 continue
             for walk, sides in tables:
                 for seen, (flags, keys, owners, offsets) in zip(walk.keys(symbols, starts), sides):
-                    near = np.flatnonzero(flags.take((seen >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)))
+                    near = np.flatnonzero(flags.of(seen))
                     low, high = np.searchsorted(keys, seen[near], "left"), np.searchsorted(keys, seen[near], "right")
                     count = high - low
                     at = np.repeat(starts[near], count)
