@@ -9,7 +9,7 @@ from .conftest import FOLDER
 
 def test_stages_and_queries():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "benchmark decontamination", "sentencepiece"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_decisions_take_effect(spark, docs):
