@@ -71,39 +71,33 @@ class HistoryTable:
         old = [f.path for f in self.files()]
         self.log.commit(self._write(rows, {0: []}, F.lit(0)), old)
 
-    def _spans(self, files: Sequence[Folder]) -> DataFrame:
-        """One row: first keys and last keys of the files, as arrays of pieces of about the square root of their number."""
-        size = _piece(files)
-        pieces = lambda fact: [[f.facts[fact] for f in files[i : i + size]] for i in range(0, len(files), size)]
-        texts = self.spark.createDataFrame([(pieces("first"), pieces("last"))], "firsts array<array<string>>, lasts array<array<string>>")
-        keys = lambda c: F.transform(c, lambda piece: F.transform(piece, lambda text: F.from_json(text, self._key_type)))
-        return texts.select(F.struct(keys("firsts").alias("firsts"), keys("lasts").alias("lasts")).alias("spans"))
-
-    def _with_span(self, df: DataFrame, files: Sequence[Folder]) -> DataFrame:
-        """Rows with ``_low`` and ``_high``: the files from one up to before the other hold the row's entity; none if they are equal."""
-        key = F.struct(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.ids])
-        size = _piece(files)
-
-        def passing(pieces: Column, test: Callable[[Column], Column]) -> Column:
-            """How many keys pass a test that holds up to some place: whole pieces first, then keys of the next piece."""
-            whole = F.size(F.filter(pieces, lambda piece: test(F.element_at(piece, -1))))
-            rest = F.when(whole < F.size(pieces), F.size(F.filter(F.get(pieces, whole), test))).otherwise(0)
-            return F.least(whole * size + rest, F.lit(len(files)))
-
-        looked = df.select("*", key.alias("_key"), self._spans(files).scalar().alias("_spans"))
-        return looked.select(
-            *df.columns,
-            passing(F.col("_spans.lasts"), lambda x: x < F.col("_key")).alias("_low"),
-            passing(F.col("_spans.firsts"), lambda x: x <= F.col("_key")).alias("_high"),
-        )
+    def _keys(self, files: Sequence[Folder], fact: str) -> Column:
+        """First or last keys of the files, as a constant array: part of the plan, not of any row."""
+        return F.from_json(F.lit("[" + ",".join(f.facts[fact] for f in files) + "]"), T.ArrayType(self._key_type))
+
+    def _key(self) -> Column:
+        return F.struct(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.ids])
+
+    def _passing(self, files: Sequence[Folder], fact: str, test: Callable[[Column], Column]) -> Column:
+        """How many files' keys pass a test that holds up to some place, by halving: a step is taken if the key at its end passes."""
+        keys = self._keys(files, fact)
+        steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(files).bit_length()))])
+        # A step beyond the end finds NULL, which passes no test.
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(keys, at + step - 1)), at + step).otherwise(at))
+
+    def _with_number(self, df: DataFrame, files: Sequence[Folder]) -> DataFrame:
+        """Rows with ``_n``, the file a row goes to: the first that can hold its entity, else the last before it, else the first of all."""
+        ended = df.withColumn("_ended", self._passing(files, "last", lambda last: last < self._key()))
+        held = F.get(self._keys(files, "first"), F.col("_ended")) <= self._key()
+        return ended.withColumn("_n", F.when(held, F.col("_ended")).otherwise(F.greatest(F.col("_ended") - 1, F.lit(0)))).drop("_ended")
 
     def touched(self, changes: DataFrame, files: Sequence[Folder]) -> list[int]:
         """Numbers of the files that can hold a changed entity; an entity in no file's range belongs to the file before it."""
         if not files:
             return []
-        spans = self._with_span(changes.select(*self.ids).distinct(), files)
-        held = F.sequence("_low", F.col("_high") - 1)
-        numbers = spans.select(F.explode(F.when(F.col("_low") < F.col("_high"), held).otherwise(F.array(_own()))).alias("n"))
+        spans = self._with_number(changes.select(*self.ids).distinct(), files).select(
+            "_n", self._passing(files, "first", lambda first: first <= self._key()).alias("_begun"))
+        numbers = spans.distinct().select(F.explode(F.sequence("_n", F.greatest(F.col("_n"), F.col("_begun") - 1))).alias("n"))
         return sorted(r.n for r in numbers.distinct().collect())  # numbers of files
 
     def merge(self, changes: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> tuple[int, int]:
@@ -118,7 +112,7 @@ class HistoryTable:
             rows = merged(self._read(old))
             if files:
                 places = {n: files[n].facts["place"] for n in range(len(files))}
-                new = self._write(self._with_span(rows, files), places, _own())
+                new = self._write(self._with_number(rows, files), places, F.col("_n"))
             else:
                 new = self._write(rows, {0: []}, F.lit(0))
             paths = [f.path for f in old]
@@ -129,12 +123,3 @@ class HistoryTable:
     def upsert(self, changes: DataFrame, actor: str, **more) -> tuple[int, int]:
         """``versioned.upsert`` of the stored history."""
         return self.merge(changes, lambda rows: upsert(rows, changes, self.ids, actor, **more))
-
-
-def _piece(files: Sequence[Folder]) -> int:
-    return max(1, int(len(files) ** 0.5))
-
-
-def _own() -> Column:
-    """The file a row goes to: the first that holds its entity, else the last that begins before it, else the first of all."""
-    return F.when(F.col("_low") < F.col("_high"), F.col("_low")).otherwise(F.greatest(F.col("_high") - 1, F.lit(0)))
