@@ -14,12 +14,13 @@ components is lost, and pairs inside one need not be written.
 counts, so a copy with a run of words appended, cut off or inserted may differ in more bits than any number of segments can
 bridge. Its candidates are the links of deletion variants together with pairs that share a band of min-hashes, which depends
 on the similarity alone, and the exact similarity decides. In the first pass a node tries the closest of its buckets' smallest
-members only, of either kind; the second pass pairs what then carries different labels, by bands.
+members only, of either kind; the second pass pairs what then carries different labels, by deletion variants and by bands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +164,7 @@ def links(nodes: DataFrame, lanes: int, count: int, most: int) -> DataFrame:
     ``most``: the differing bits allowed over all lanes.
     """
     prints = [f"f{i}" for i in range(lanes)]
-    return _linked(nodes.select("node", *prints), variants(lanes, count), prints, prints, most)
+    return _linked(nodes.select("node", *prints), [(variants(lanes, count), prints, prints, most)])
 
 
 def _by_key(rows: DataFrame, keys: Column, source: list[str], compared: list[str]) -> DataFrame:
@@ -196,39 +197,15 @@ def _stars(nodes: DataFrame, keys: Column, source: list[str], compared: list[str
     )
 
 
-def _linked(
-    nodes: DataFrame,
-    keys: Column,
-    source: list[str],
-    compared: list[str],
-    most: int,
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-    stars: DataFrame | None = None,
-) -> DataFrame:
-    """(node, component) of all nodes that have a link; nodes: (node, the columns ``source`` that ``keys`` is made of, ``compared``).
-
-    ``keys`` is an array of (key, own) as ``variants`` gives it. Nodes link if they share a key and their columns
-    ``compared`` differ in at most ``most`` bits; ``verify`` may drop pairs from a frame (a, b) of such nodes. ``stars`` are
-    candidates of the first pass other than all of the keys' own; what they leave out is left to the second pass.
-    """
-    names = list(dict.fromkeys([*source, *compared]))
-    check = verify or (lambda pairs: pairs)
-    if stars is None:
-        stars = _stars(nodes, keys, source, compared, most)
-    first = saved(check(stars.select("a", "b").distinct()), "stars")
-    labels = components(first)
-
-    labelled = saved(
-        nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
-        "labelled",
-    )
-    keyed = _by_key(labelled, keys, source, compared)
+def _across(labelled: DataFrame, keys: Column, source: list[str], compared: list[str], most: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key, carry different labels and differ in at most ``most`` bits."""
+    keyed = _by_key(labelled.select("node", "label", *dict.fromkeys([*source, *compared])), keys, source, compared)
     # Large buckets whose members are all linked have nothing to add.
     done = keyed.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")
     ).where(f"low = high AND n >= {DENSE}").select("key")
     rest = keyed.join(done, "key", "left_anti")
-    across = (
+    return (
         rest.alias("x").join(
             rest.alias("y"),
             # Equal segments share all variants: they meet in the first one only.
@@ -237,7 +214,37 @@ def _linked(
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     )
-    return components(first.unionByName(check(across)))
+
+
+#: Keys, the columns they are made of, the columns that are compared, and the bits that may differ.
+Kind = tuple[Column, list[str], list[str], int]
+
+
+def _linked(
+    nodes: DataFrame, kinds: list[Kind], verify: Callable[[DataFrame], DataFrame] | None = None, leads: int | None = None
+) -> DataFrame:
+    """(node, component) of all nodes that have a link; nodes: (node, the columns that the kinds name).
+
+    A kind's keys are an array of (key, own) as ``variants`` gives it. Nodes link if they share a key of some kind and the columns
+    it compares differ in at most as many bits as it allows; ``verify`` may drop pairs from a frame (a, b) of such nodes. With
+    ``leads``, a node tries only as many of each kind's closest buckets in the first pass; what they leave out is left to the
+    second pass, which tries the pairs of every kind.
+    """
+    names = list(dict.fromkeys(name for _, source, compared, _ in kinds for name in (*source, *compared)))
+    check = verify or (lambda pairs: pairs)
+    closest = Window.partitionBy("b").orderBy("bits", "a")
+    stars = [_stars(nodes, *kind) for kind in kinds]
+    if leads:
+        stars = [s.withColumn("turn", F.row_number().over(closest)).where(F.col("turn") <= leads) for s in stars]
+    first = saved(check(reduce(DataFrame.unionByName, (s.select("a", "b") for s in stars)).distinct()), "stars")
+    labels = components(first)
+
+    labelled = saved(
+        nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names),
+        "labelled",
+    )
+    across = reduce(DataFrame.unionByName, (_across(labelled, *kind) for kind in kinds))
+    return components(first.unionByName(check(across.distinct() if len(kinds) > 1 else across)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
@@ -300,9 +307,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """The rows with all their columns, but one document of each group of near copies: that with the smallest doc_id.
 
     Documents link if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more; a group is what
-    links reach. Candidates are leads whose fingerprints share a deletion variant with theirs and differ in at most ``PRINT_BITS``
-    bits, and documents that share a band of min-hashes and have close sketches; all are checked exactly. Equal words are copies whatever their spaces and
-    A-Z case. Texts without words are copies of each other. Of rows that repeat an id all stay if one does; rows with a null
+    links reach. Candidates are documents whose fingerprints share a deletion variant and differ in at most ``PRINT_BITS``
+    bits, and documents that share a band of min-hashes and have close sketches; all are checked exactly. Equal words are copies
+    whatever their spaces and A-Z case. Texts without words are copies of each other. Of rows that repeat an id all stay if one does; rows with a null
     id stay.
     """
     names = ["same", "f0", "m0", "m1"]
@@ -315,12 +322,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     nodes = groups.groupBy("node").agg(F.min(F.struct(*names, "bands")).alias("row")).select(
         "node", *[f"row.{c}" for c in (*names[1:], "bands")])
     bands = F.expr("transform(bands, b -> named_struct('key', b, 'own', 2))")
-    sketches = ["m0", "m1"]
-    near = lambda stars: stars.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("bits", "a"))).where(
-        F.col("turn") <= LEADS).select("a", "b")
-    stars = near(_stars(nodes, variants(1, PRINT_BITS // 2 + 1), ["f0"], ["f0"], PRINT_BITS)).unionByName(
-        near(_stars(nodes, bands, ["bands"], sketches, SKETCH_BITS)))
-    joined = _linked(nodes, bands, ["bands"], sketches, SKETCH_BITS, lambda pairs: _similar(pairs, texts, size, similarity), stars)
+    kinds = [(variants(1, PRINT_BITS // 2 + 1), ["f0"], ["f0"], PRINT_BITS), (bands, ["bands"], ["m0", "m1"], SKETCH_BITS)]
+    joined = _linked(nodes, kinds, lambda pairs: _similar(pairs, texts, size, similarity), LEADS)
     keepers = groups.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     gone = (
         prints.select("doc_id", *names).join(keepers, names).groupBy("doc_id").agg(F.min("keeper").alias("keeper"))

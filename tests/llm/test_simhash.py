@@ -179,6 +179,16 @@ def test_both_kinds_of_candidates_count(spark, monkeypatch):
     assert not set(light) & kept and not set(heavy) & kept
 
 
+def test_fingerprints_that_no_lead_links_are_paired(spark, monkeypatch):
+    """3 shares all of its buckets with 1, which is like nothing; its link to 2 comes from fingerprints alone."""
+    prints = [(1, 1, 0b11, 0, 0, [1]), (2, 2, 0b01, 0, 0, [2]), (3, 3, 0b11, 0, 0, [3])]
+    monkeypatch.setattr(simhash, "with_bands", lambda *_: spark.createDataFrame(
+        prints, "doc_id long, same long, f0 long, m0 long, m1 long, bands array<long>"))
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *_: pairs.where("a > 1 AND b > 1"))
+    frame = spark.createDataFrame([(n, f"t{n}") for n, *_ in prints], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == [1, 2]
+
+
 def test_hubs_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HUB_PAIRS", 7)
     rng = random.Random(13)
