@@ -1,16 +1,22 @@
 """What workbook cells show, and sheets cut into stretches."""
 
 import io
+import random
 import zipfile
-from datetime import datetime
+from datetime import date, datetime
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from crosstally.sources import files
-from crosstally.sources.cellformats import compiled
+from crosstally.sources import cellformats, files, sheets
+from crosstally.sources.cellformats import BUILT_IN, compiled, compiled_many
 from crosstally.sources.files import FileTable, parse_workbooks, read_file_table, workbook_columns
-from workloads.workbooks import workbook
+from crosstally.sources.sheets import stretch_columns, stretch_rows
+from workloads import queries
+from workloads.workbooks import batch_workbook, workbook
 
 ACCOUNTING = '_("$"* #,##0.00_);_("$"* (#,##0.00);_("$"* "-"??_);_(@_)'
 
@@ -122,3 +128,145 @@ def test_a_large_sheet_is_parsed_by_several_tasks(spark, tmp_path):
     assert len(by_task) == 4 and max(r.n for r in by_task) < 0.45 * rows
     assert sum(r.n for r in by_task) == rows and sum(r.ids for r in by_task) == rows * (rows - 1) // 2
     assert sum(r.v for r in by_task) == sum(i % 7 + 0.5 for i in range(rows))
+
+
+def _odd_numbers() -> list[float]:
+    rng = random.Random(4)
+    ties = [(2 * rng.randrange(10**6) + 1) * 5 / 10 ** rng.randrange(9) for _ in range(150)]
+    beside = [float(np.nextafter(t, t + side)) for t in ties for side in (-1, 1)]
+    moments = [rng.randrange(70_000) + rng.randrange(86_400_000) / rng.choice([86_400_000, 86_400, 1440]) for _ in range(150)]
+    sizes = [rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 20) for _ in range(150)]
+    parts = [rng.randrange(10**5) / rng.choice([8, 48, 7, 18, 99]) for _ in range(150)]
+    edges = [0.0, -0.0, 1.0, 58.9999999999, 59.5, 60.0, 60.9999999999, 61.0, 2958464.5, 2958465.0, 2958466.0, 9.995, 999.9995, 99999.5, 1e11, 1e-10, 1e14, 1e15]
+    return [*ties, *beside, *moments, *sizes, *parts, *edges, *(-v for v in edges), *(-t for t in ties)]
+
+
+@pytest.mark.parametrize("code", sorted({code for code, _, _ in SHOWN} | set(BUILT_IN.values()) | {
+    "0.0##", "#,##000.0", "0,000", "0.00,,", "#%", "ss.00", "mm/dd", "[s].000", '"9x"0;0', "0.000E-0", "#,##0.00;;", "# ???/???"}))
+def test_whole_columns_show_what_single_numbers_show(code):
+    numbers = _odd_numbers()
+    for from_1904 in (False, True):
+        one = compiled(code, from_1904)
+        assert compiled_many(code, from_1904)(np.array(numbers)).to_pylist() == [one(v) for v in numbers]
+    assert compiled_many(code)(np.array([])).to_pylist() == []
+
+
+MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+CELLS = [
+    "<v>{}</v>", "<v>{}</v>", "<v>{}</v>", "<v></v>", "", "<f>A1+1</f><v>{}</v>", "<v>{}</v><f/>", "<v> {} </v>", '<v xml:space="preserve">{}</v>',
+    "<is><t>in &lt;line</t></is>", "<is><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></is>", "<v><!-- note -->{}</v>", "<v><![CDATA[{}]]></v>"]
+
+
+def _any_sheet(rng: random.Random, prefix: str, named: str, comments: bool) -> str:
+    """Rows as different programs write them: with and without references, empty cells and rows, formulas, texts of all kinds."""
+    lines = []
+    for r in range(1, 14):
+        cells = []
+        for c in sorted(rng.sample(range(30), rng.randrange(6))):
+            attributes = [f' r="{chr(65 + c) if c < 26 else "A" + chr(39 + c)}{r}"'] * (named == "all" or named == "some" and rng.random() < 0.5)
+            kind = rng.choice(["n", "n", "", "", "", "s", "b", "str", "e", "inlineStr"])
+            attributes += [f' t="{kind}"'] * bool(kind) + [f' s="{rng.randrange(5)}"'] * (rng.random() < 0.6) + [' cm="1"'] * (rng.random() < 0.05)
+            rng.shuffle(attributes)
+            inner = rng.choice(CELLS[: len(CELLS) if comments else -2]) if kind != "s" else "<v>{}</v>"
+            text = {"s": str(rng.randrange(3)), "b": rng.choice("01"), "str": rng.choice(["a &amp; b", "x > y", "\u3000", "\x85", "é", "two\r\nlines", '"q"'])}
+            value = text.get(kind, rng.choice(["0", "45000.25", "-3", "1E+3", "0.125"]) if kind in ("n", "") else "#N/A")
+            cells.append(f"<c{''.join(attributes)}/>" if rng.random() < 0.1 else f"<c{''.join(attributes)}>{inner.format(value)}</c>")
+        lines.append(f'<row r="{r}" spans="1:9">{chr(10).join(cells)}</row>' if cells or rng.random() < 0.5 else f'<row r="{r}"/>')
+    return "".join(lines).replace("</", f"</{prefix}").replace("<c", f"<{prefix}c").replace("<row", f"<{prefix}row").replace(
+        "<v", f"<{prefix}v").replace("<f", f"<{prefix}f").replace("<is", f"<{prefix}is").replace("<t", f"<{prefix}t").replace("<r>", f"<{prefix}r>").replace("<rPh", f"<{prefix}rPh")
+
+
+@pytest.mark.parametrize("prefix", ["", "x:"])
+@pytest.mark.parametrize("named", ["all", "none", "some"])
+@pytest.mark.parametrize("comments", [False, True])
+@pytest.mark.parametrize("block", [1 << 20, 300, 1])
+def test_columns_are_what_rows_show(prefix, named, comments, block, monkeypatch):
+    monkeypatch.setattr(sheets, "_BLOCK_BYTES", block)
+    head = f"<{prefix}worksheet {MAIN if not prefix else MAIN.replace('xmlns', 'xmlns:x')}>".encode()
+    strings, formats = ["shared", " ", "é"], {0: "General", 1: "yyyy-mm-dd", 2: "0.0%", 3: "# ?/?", 4: "0;;"}
+    for seed in range(40):
+        rows = _any_sheet(random.Random(seed), prefix, named, comments).encode()
+        for width, skip in ((30, 0), (4, 1)):
+            padded = [(row + [None] * width)[:width] for row in stretch_rows(head, rows, strings, formats, False)][skip:]
+            kept = [[c if c and sheets._VISIBLE.search(c) else None for c in row] for row in padded if any(c is not None and c.strip() for c in row)]
+            found = stretch_columns(head, rows, strings, formats, False, width, skip)
+            assert [list(row) for row in zip(*(column.to_pylist() for column in found))] == kept
+
+
+@pytest.mark.parametrize("rows", [
+    '<row><c r="A1"><v>1</c></v></row>', '<row><c r="A1"><v>1</v></row></c>', "<row><c r=A1><v>1</v></c></row>", '<row><c r="A1" r="B1"><v>1</v></c></row>',
+    '<row><c r="A1"><v>&no;</v></c></row>', '<row><c r="A1" t="str"><v>\x01</v></c></row>', '<row><c r="A1"><v>1x</v></c></row>', '<row><c r="A1" t="s"><v>9</v></c></row>'])
+def test_broken_sheets_fail(rows):
+    with pytest.raises(Exception):
+        stretch_columns(f"<worksheet {MAIN}>".encode(), rows.encode(), ["a"], {}, False, 2)
+
+
+@pytest.mark.parametrize("items", [
+    "<si><t>a</t></si><si><t xml:space=\"preserve\"> b </t></si>", "<si><t>a &amp; &#233;</t></si><si><t></t></si>", "<si/><si><t>a</t></si>",
+    "<si><t/></si><si><t>b</t></si>", "<si><r><t>ri</t></r><r><t>ch</t></r></si>", "<!-- <si><t>no</t></si> --><si><t>a</t></si>", "<si><t>a\r\nb</t></si>", ""])
+def test_shared_strings_of_all_kinds(items, monkeypatch):
+    xml = f"<sst {MAIN}>{items}</sst>"
+    found = {}
+    for text, encoding in ((xml, "utf-8"), (xml.replace("<", "<x:").replace("<x:/", "</x:").replace("xmlns", "xmlns:x").replace("<x:!", "<!"), "utf-8"), (xml, "utf-16")):
+        with zipfile.ZipFile(io.BytesIO(_sheet(b"", sharedStrings=text.encode(encoding)))) as book:
+            found[len(found)] = files._shared_strings(book)
+            monkeypatch.setattr(files, "_plain_strings", lambda xml: None)
+            assert found[len(found) - 1] == files._shared_strings(book) == found[0]
+            monkeypatch.undo()
+
+
+def test_no_number_of_a_plain_sheet_is_shown_by_itself(monkeypatch):
+    calls = []
+    monkeypatch.setattr(cellformats, "compiled", lambda code, from_1904=False: calls.append)
+    monkeypatch.setattr(sheets, "compiled", lambda code, from_1904=False: calls.append)
+    compiled_many.cache_clear()
+    codes = ["yyyy-mm-dd hh:mm:ss", 10, 40, "# ?/?", "0.000E+00", "[h]:mm", "0"]
+    book = workbook([[i + 0.125 * (i % 9) for _ in codes] for i in range(61, 5000)], formats=dict(enumerate(codes)))
+    found = [stretch_columns(head, rows, strings, dict(enumerate(used)), old, len(codes)) for head, rows, _, old, strings, used in files._opened(book, None)]
+    compiled_many.cache_clear()
+    assert sum(len(columns[0]) for columns in found) == 4939 and not calls
+
+
+def test_workbooks_over_and_under_the_size_give_the_same_rows(spark, monkeypatch):
+    books = spark.createDataFrame([(workbook([["id"], [n], [n + 0.5]]),) for n in range(6)], "content binary")
+    found = parse_workbooks(books, ["id"]).collect()
+    assert sorted(float(r.id) for r in found) == [n + half for n in range(6) for half in (0, 0.5)]
+    monkeypatch.setattr(files, "_WHOLE_BYTES", 1)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, parse_workbooks(books, ["id"]).collect()))
+
+
+def test_batches_become_the_workbooks_of_their_rows():
+    values = {
+        "name": pa.array(["x", None, "y&<z", "x"]), "flag": pa.array([True, None, False, True]), "whole": pa.array([1, None, 3, -4], pa.int64()),
+        "real": pa.array([1.5, None, 1e-20, 12345678.125]), "short": pa.array([0.1, None, 2, 3], pa.float32()),
+        "day": pa.array([date(2024, 2, 29), None, date(1901, 1, 1), date(1999, 12, 31)]),
+        "at": pa.array([datetime(2024, 2, 29, 13, 5, 1), None, datetime(1999, 1, 1), datetime(2001, 2, 3, 4, 5, 6, 789123)], pa.timestamp("us")),
+        "paid": pa.array([Decimal("1.50"), None, Decimal("-2.00"), None]), "none": pa.array([None] * 4, pa.string())}
+    formats = {5: "yyyy-mm-dd", 6: "yyyy-mm-dd hh:mm:ss.000"}
+    batch = pa.RecordBatch.from_pydict(values)
+    rows = [list(values), *map(list, zip(*(column.to_pylist() if name != "short" else [np.float32(v).item() if v is not None else None for v in column.to_pylist()]
+                                           for name, column in values.items())))]
+    shown = [[(head, list(stretch_rows(head, xml, strings, dict(enumerate(codes)), False))) for head, xml, _, _, strings, codes in files._opened(book, None)]
+             for book in (batch_workbook(batch, formats=formats), workbook(rows, formats=formats))]
+    assert shown[0] == shown[1]
+
+
+def test_workbooks_of_formats_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: str(tmp_path / "books"))
+    spark.sql("""
+      SELECT id AS l_orderkey, 7 * id AS l_partkey, id % 100 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity,
+             id * 10.25D AS l_extendedprice, 0.04D AS l_discount, 0.025D AS l_tax, TIMESTAMP_NTZ '1996-09-13 00:00:00' AS l_shipdate
+      FROM range(1, 401, 1, 1)""").createOrReplaceTempView("lineitem")
+    found = {r.migration_key: r for r in queries.extract_xlsx_formats(spark).collect()}
+    parts = {path.name.split("-")[1] for path in (tmp_path / "books").glob("book-*.xlsx")}
+    assert len(found) == 400 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tuple(found["13-7"])[1:] == ("1996-09-13", "9/20/96", "13.09.1996 13:31:13", "45:30", "4.00%", "2.5%", "-", "13,000 pcs", "1 5/8", "9.100E+01")
+
+
+def test_rows_are_dealt_unless_they_lie_evenly(spark):
+    rows = spark.range(0, 4000, 1, 4)
+    assert queries.spread(rows, rows) is rows
+    uneven = rows.where("id < 1100 OR id = 3000")
+    sizes = [r["count"] for r in queries.spread(uneven, uneven).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 500 and sum(sizes) == 1101
+    assert queries.spread(rows.limit(0), rows.limit(0)).count() == 0
